@@ -3,43 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from quietlog.functions import rules as R
-from quietlog.functions.text import contains_any, trim_space
+from quietlog.functions.sqltext import any_literal, apply, q
 
 
-def looks_like_path(c: Column) -> Column:
-    """A slash or backslash anywhere; the listed prefixes all hold one."""
-    return trim_space(c).contains("/") | c.contains("\\")
+def looks_like_path_sql(p: str) -> str:
+    """A slash or backslash anywhere; the prefixes / ~/ ./ ../ all hold one."""
+    return any_literal(p, ("/", "\\"))
 
 
-def matches_path_rule(c: Column, path_rules) -> Column:
+def path_rule_sql(p: str, path_rules) -> str:
     """A rule hits as a lower-cased substring, or as a glob over the whole path."""
-    low = F.lower(c)
-    hit = contains_any(low, [p.lower() for p in path_rules])
-    for glob in filter(None, (R.glob_regex(p.lower()) for p in path_rules)):
-        hit = hit | low.rlike(glob)
-    return hit
+    tests = [any_literal(f"lower({p})", [r.lower() for r in path_rules])]
+    tests += [f"rlike(lower({p}), {q(g)})" for g in (R.glob_regex(r.lower()) for r in path_rules) if g]
+    return "(" + " OR ".join(tests) + ")"
 
 
-def has_file_marker(c: Column) -> Column:
-    low = F.lower(c)
-    hit = contains_any(low, R.FILE_WORDS)
-    for suffix in R.FILE_SUFFIXES:
-        hit = hit | low.endswith(suffix)
-    return hit
+def file_marker_sql(p: str) -> str:
+    tests = [any_literal(f"lower({p})", R.FILE_WORDS)] + [f"endswith(lower({p}), {q(s)})" for s in R.FILE_SUFFIXES]
+    return "(" + " OR ".join(tests) + ")"
 
 
-def sensitive_path(c: Column, rules: R.Rules) -> Column:
-    return looks_like_path(c) & (matches_path_rule(c, rules.paths_s3 + rules.paths_s2) | has_file_marker(c))
+def sensitive_path_sql(p: str, rules: R.Rules) -> str:
+    return (
+        f"({looks_like_path_sql(p)} AND ({path_rule_sql(p, rules.paths_s3 + rules.paths_s2)} OR {file_marker_sql(p)}))"
+    )
 
 
-def maybe_sensitive_path(low: Column, rules: R.Rules) -> Column:
-    """Cheap test on lower-cased text: could any token in it be a sensitive path?"""
+def maybe_sensitive_sql(low: str, rules: R.Rules) -> str:
+    """Cheap test on a whole lower-cased text: could any token in it be a sensitive path?"""
     paths = rules.paths_s3 + rules.paths_s2
+    slashes = any_literal(low, ("/", "\\"))
     if any(R.glob_regex(p.lower()) for p in paths):
-        return contains_any(low, ("/", "\\"))
-    return contains_any(low, ("/", "\\")) & contains_any(
-        low, [p.lower() for p in paths] + list(R.FILE_WORDS) + list(R.FILE_SUFFIXES)
-    )
+        return slashes
+    words = [p.lower() for p in paths] + list(R.FILE_WORDS) + list(R.FILE_SUFFIXES)
+    return f"({slashes} AND {any_literal(low, words)})"
+
+
+def looks_like_path(c: Column) -> Column:
+    return apply(c, f"p -> {looks_like_path_sql('p')}")
+
+
+def sensitive_path(c: Column, rules: R.Rules = R.Rules()) -> Column:
+    return apply(c, f"p -> {sensitive_path_sql('p', rules)}")

@@ -8,80 +8,91 @@ without a shuffle.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quietlog.functions import rules as R
-from quietlog.functions.paths import sensitive_path, maybe_sensitive_path
-from quietlog.functions.text import contains_any, is_blank, let, normalize
+from quietlog.functions.paths import maybe_sensitive_sql, sensitive_path_sql
+from quietlog.functions.sqltext import any_literal, apply, q
+from quietlog.functions.text import SPACE_CHARS, contains_any, let, normalize
 
 OPEN, CLOSE = "\ue000", "\ue001"
-NONE = "cast(array() as array<struct<original:string,tag:string>>)"
+STATE = "struct<text:string,replacements:array<struct<original:string,tag:string>>>"
 
 
 def tag_of(rule) -> str:
     return f"[REDACTED:{rule.tag}]"
 
 
-def _records(originals: Column, tag: str) -> Column:
+# The steps below are SQL text over `s` (text, replacements) and `x` (the input: text, low, switches).
+
+
+def _records(originals: str, tag: str) -> str:
     """Replacement records; white-space-only values are replaced but not recorded."""
-    kept = F.filter(originals, lambda o: ~is_blank(o))
-    return F.transform(kept, lambda o: F.struct(o.alias("original"), F.lit(tag).alias("tag")))
+    kept = f"filter({originals}, o -> btrim(o, {q(SPACE_CHARS)}) <> '')"
+    return f"transform({kept}, o -> named_struct('original', o, 'tag', {q(tag)}))"
 
 
-def _state(text: Column, hits: Column) -> Column:
-    return F.struct(text.alias("text"), hits.alias("replacements"))
+def _state(text: str, hits: str) -> str:
+    return f"named_struct('text', {text}, 'replacements', concat(s.replacements, {hits}))"
 
 
-def _pattern_step(s: Column, rule: R.PatternRule) -> Column:
-    java = R.pattern_java(rule)
-    cheap = contains_any(s.text, rule.anchors) if rule.anchors else s.text.rlike(R.java_regex(rule.probe))
-    found = cheap & s.text.rlike(java)
+def _pattern_step(rule: R.PatternRule) -> str:
+    java = q(R.pattern_java(rule))
+    cheap = any_literal("s.text", rule.anchors) if rule.anchors else f"rlike(s.text, {q(R.java_regex(rule.probe))})"
     hit = _state(
-        F.regexp_replace(s.text, java, tag_of(rule)),
-        F.concat(s.replacements, _records(F.regexp_extract_all(s.text, F.lit(java), F.lit(0)), tag_of(rule))),
+        f"regexp_replace(s.text, {java}, {q(tag_of(rule))})",
+        _records(f"regexp_extract_all(s.text, {java}, 0)", tag_of(rule)),
     )
-    return F.when(found, hit).otherwise(s)
+    return f"CASE WHEN {cheap} AND rlike(s.text, {java}) THEN {hit} ELSE s END"
 
 
-def _label_step(s: Column, low: Column, rule: R.LabelRule) -> Column:
+def _label_step(rule: R.LabelRule) -> str:
     """Mark the word after each label, unmark words that hold a placeholder, then replace what is left."""
     java = R.java_regex(rule.pattern, "(?i)", word_edges=True)
     word = R.java_regex(r"(\S+)")
     stop = rf"\t\n\f\r {OPEN}{CLOSE}"
-    marked = F.regexp_replace(s.text, f"({java}){word}", f"$1{OPEN}$2{CLOSE}")
-    kept = F.regexp_replace(marked, f"{OPEN}([^{stop}]*{R.PLACEHOLDER}[^{stop}]*){CLOSE}", "$1")
-    found = contains_any(low, rule.anchors) & s.text.rlike(java)
-    hit = let(
-        kept,
-        lambda m: _state(
-            F.regexp_replace(m, f"{OPEN}[^{CLOSE}]*{CLOSE}", tag_of(rule)),
-            F.concat(
-                s.replacements,
-                _records(F.regexp_extract_all(m, F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)), tag_of(rule)),
-            ),
-        ),
+    marked = f"regexp_replace(s.text, {q(f'({java}){word}')}, {q(f'$1{OPEN}$2{CLOSE}')})"
+    kept = f"regexp_replace({marked}, {q(f'{OPEN}([^{stop}]*{R.PLACEHOLDER}[^{stop}]*){CLOSE}')}, '$1')"
+    hit = _state(
+        f"regexp_replace(m, {q(f'{OPEN}[^{CLOSE}]*{CLOSE}')}, {q(tag_of(rule))})",
+        _records(f"regexp_extract_all(m, {q(f'{OPEN}([^{CLOSE}]*){CLOSE}')}, 1)", tag_of(rule)),
     )
-    return F.when(found, hit).otherwise(s)
+    found = f"{any_literal('x.low', rule.anchors)} AND rlike(s.text, {q(java)})"
+    return f"CASE WHEN {found} THEN transform(array({kept}), m -> {hit})[0] ELSE s END"
 
 
-def _path_step(s: Column, low: Column, rules: R.Rules) -> Column:
-    java = R.java_regex(R.PATH_TOKEN)
-    tag = "[REDACTED:PATH]"
+def _path_step(rules: R.Rules) -> str:
+    java, tag = q(R.java_regex(R.PATH_TOKEN)), "[REDACTED:PATH]"
+    words = f"transform(tokens, p -> IF({sensitive_path_sql('p', rules)}, {q(tag)}, p))"
+    gaps = f"split(s.text, {java}, -1)"
+    joined = f"array_join(zip_with({gaps}, {words}, (g, w) -> concat(g, coalesce(w, ''))), '')"
+    hit = _state(joined, _records(f"filter(tokens, p -> {sensitive_path_sql('p', rules)})", tag))
+    bound = f"transform(array(regexp_extract_all(s.text, {java}, 0)), tokens -> {hit})[0]"
+    return f"CASE WHEN {maybe_sensitive_sql('x.low', rules)} THEN {bound} ELSE s END"
 
-    def swap(tokens):
-        gaps = F.split(s.text, java, -1)
-        words = F.transform(tokens, lambda p: F.when(sensitive_path(p, rules), F.lit(tag)).otherwise(p))
-        return let(
-            words,
-            lambda w: _state(
-                F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(w, i), F.lit("")))), ""),
-                F.concat(s.replacements, _records(F.filter(tokens, lambda p: sensitive_path(p, rules)), tag)),
-            ),
-        )
 
-    hit = let(F.regexp_extract_all(s.text, F.lit(java), F.lit(0)), swap)
-    return F.when(maybe_sensitive_path(low, rules), hit).otherwise(s)
+@lru_cache(maxsize=64)
+def _chain(options: frozenset[str], per_row: frozenset[str], rules: R.Rules) -> str:
+    """Lambda text: input struct -> (text, replacements)."""
+
+    def gated(rule, step):
+        return f"CASE WHEN x.{rule.option} THEN {step} ELSE s END" if rule.option in per_row else step
+
+    def enabled(rule):
+        return rule.option is None or rule.option in options or rule.option in per_row
+
+    steps = [gated(r, _pattern_step(r)) for r in R.PATTERN_RULES if enabled(r)]
+    steps += [gated(r, _label_step(r)) for r in R.LABEL_RULES if enabled(r)]
+    steps.append(_path_step(rules))
+    cases = " ".join(f"WHEN {i} THEN {step}" for i, step in enumerate(steps))
+    order = ", ".join(map(str, range(len(steps))))
+    return (
+        f"x -> aggregate(array({order}), cast(named_struct('text', x.text, 'replacements', array()) as {STATE}),"
+        f" (s, n) -> CASE n {cases} ELSE s END)"
+    )
 
 
 def redact_normalized(
@@ -90,39 +101,19 @@ def redact_normalized(
     """Redact text that is already normalised.
 
     `options`: names switched on for all rows; `option_columns`: boolean columns deciding per row.
-    Text above the size limit gives null (see `sources.sizes.split_by_size` for the quarantine).
+    Text above the size limit gives null (see `sources.request_log.split_by_size` for the quarantine).
     """
     per_row = option_columns or {}
-
-    def enabled(rule):
-        return rule.option is None or rule.option in options or rule.option in per_row
-
-    def gated(rule, step, s):
-        return F.when(per_row[rule.option], step).otherwise(s) if rule.option in per_row else step
-
-    def steps(s, low):
-        for rule in filter(enabled, R.PATTERN_RULES):
-            yield gated(rule, _pattern_step(s, rule), s)
-        for rule in filter(enabled, R.LABEL_RULES):
-            yield gated(rule, _label_step(s, low, rule), s)
-        yield _path_step(s, low, rules)
-
-    def fold(first, low):
-        count = sum(map(enabled, R.PATTERN_RULES + R.LABEL_RULES)) + 1
-
-        def one(s, n):
-            out = s
-            for i, step in enumerate(steps(s, low)):
-                out = F.when(n == i, step) if i == 0 else out.when(n == i, step)
-            return out
-
-        return F.aggregate(F.array(*map(F.lit, range(count))), _state(first, F.expr(NONE)), one)
-
+    chain = _chain(frozenset(options).difference(per_row), frozenset(per_row), rules)
     # private-use marks may not come in from outside
     clean = F.when(contains_any(text, (OPEN, CLOSE)), F.translate(text, OPEN + CLOSE, "")).otherwise(text)
-    # rules write only tags, and no tag is followed by a separator, so label guards can use the first text
-    out = let(clean, lambda t: let(F.lower(t), lambda low: fold(t, low)))
-    return F.when(F.octet_length(text) <= R.MAX_TEXT_BYTES, out)
+
+    def run(t):
+        # rules write only tags, and no tag is followed by a separator, so label guards can use the first text
+        switches = [c.alias(name) for name, c in per_row.items()]
+        return apply(F.struct(t.alias("text"), F.lower(t).alias("low"), *switches), chain)
+
+    return F.when(F.octet_length(text) <= R.MAX_TEXT_BYTES, let(clean, run))
 
 
 def redact(text: Column, options=R.DEFAULT_ON, rules: R.Rules = R.Rules(), option_columns=None) -> Column:

@@ -31,6 +31,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def pin(c: Column) -> Column:
+    """The same value, but never folded into the expressions that use it.
+
+    The optimizer merges a projection with the Arrow-backed one above it and then evaluates a costly
+    column once per use; it leaves non-deterministic expressions where they are.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def trim_space(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
@@ -58,7 +67,7 @@ def needs_normalizing(c: Column) -> Column:
     return c.contains("&") | (c.contains("%") & c.rlike("%[0-9A-Fa-f]{2}")) | (~plain_bytes & ~c.rlike(STABLE))
 
 
-def _clean(text: str) -> str:
+def clean_text(text: str) -> str:
     import codecs
     import html
     import re
@@ -86,17 +95,7 @@ def _clean(text: str) -> str:
 def _normalize_batch(texts):
     import pyarrow as pa
 
-    return pa.array([None if t is None else _clean(t) for t in texts.to_pylist()], pa.string())
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _normalize_array_batch(lists):
-    import pyarrow as pa
-
-    return pa.array(
-        [None if ts is None else [None if t is None else _clean(t) for t in ts] for ts in lists.to_pylist()],
-        pa.list_(pa.string()),
-    )
+    return pa.array([None if t is None else clean_text(t) for t in texts.to_pylist()], pa.string())
 
 
 def normalize(c: Column) -> Column:
@@ -106,9 +105,3 @@ def normalize(c: Column) -> Column:
     """
     need = needs_normalizing(c)
     return F.coalesce(_normalize_batch(F.when(need, c)), c)
-
-
-def normalize_array(c: Column) -> Column:
-    """`normalize` for every element of an array<string> column."""
-    need = F.exists(c, needs_normalizing)
-    return F.coalesce(_normalize_array_batch(F.when(need, c)), c)
