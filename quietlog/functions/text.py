@@ -98,6 +98,15 @@ def _normalize_batch(texts):
     return pa.array([None if t is None else clean_text(t) for t in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def nfkc_batch(texts):
+    import unicodedata
+
+    import pyarrow as pa
+
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
 def normalize(c: Column) -> Column:
     """HTML-unescape, percent-decode, NFKC, drop invisible characters.
 
