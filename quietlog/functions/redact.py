@@ -74,8 +74,11 @@ def _path_step(rules: R.Rules) -> str:
     return f"CASE WHEN {maybe_sensitive_sql('x.low', rules)} THEN {bound} ELSE s END"
 
 
+STAGES = ("private_key", "keys", "opt_in", "labels", "paths")
+
+
 @lru_cache(maxsize=64)
-def _chain(options: frozenset[str], per_row: frozenset[str], rules: R.Rules) -> str:
+def _chain(options: frozenset[str], per_row: frozenset[str], rules: R.Rules, stages: tuple[str, ...]) -> str:
     """Lambda text: input struct -> (text, replacements)."""
 
     def gated(rule, step):
@@ -84,9 +87,12 @@ def _chain(options: frozenset[str], per_row: frozenset[str], rules: R.Rules) ->
     def enabled(rule):
         return rule.option is None or rule.option in options or rule.option in per_row
 
-    steps = [gated(r, _pattern_step(r)) for r in R.PATTERN_RULES if enabled(r)]
-    steps += [gated(r, _label_step(r)) for r in R.LABEL_RULES if enabled(r)]
-    steps.append(_path_step(rules))
+    def stage(rule):
+        return "opt_in" if rule.option else "private_key" if rule.tag == "PRIVATE_KEY" else "keys"
+
+    steps = [gated(r, _pattern_step(r)) for r in R.PATTERN_RULES if enabled(r) and stage(r) in stages]
+    steps += [gated(r, _label_step(r)) for r in R.LABEL_RULES if enabled(r) and "labels" in stages]
+    steps += [_path_step(rules)] if "paths" in stages else []
     cases = " ".join(f"WHEN {i} THEN {step}" for i, step in enumerate(steps))
     order = ", ".join(map(str, range(len(steps))))
     return (
@@ -96,15 +102,20 @@ def _chain(options: frozenset[str], per_row: frozenset[str], rules: R.Rules) ->
 
 
 def redact_normalized(
-    text: Column, options=R.DEFAULT_ON, rules: R.Rules = R.Rules(), option_columns: dict[str, Column] | None = None
+    text: Column,
+    options=R.DEFAULT_ON,
+    rules: R.Rules = R.Rules(),
+    option_columns: dict[str, Column] | None = None,
+    stages: tuple[str, ...] = STAGES,
 ) -> Column:
     """Redact text that is already normalised.
 
-    `options`: names switched on for all rows; `option_columns`: boolean columns deciding per row.
+    `options`: names switched on for all rows; `option_columns`: boolean columns deciding per row;
+    `stages`: which groups of rules to run.
     Text above the size limit gives null (see `sources.request_log.split_by_size` for the quarantine).
     """
     per_row = option_columns or {}
-    chain = _chain(frozenset(options).difference(per_row), frozenset(per_row), rules)
+    chain = _chain(frozenset(options).difference(per_row), frozenset(per_row), rules, tuple(stages))
     # private-use marks may not come in from outside
     clean = F.when(contains_any(text, (OPEN, CLOSE)), F.translate(text, OPEN + CLOSE, "")).otherwise(text)
 
@@ -116,10 +127,10 @@ def redact_normalized(
     return F.when(F.octet_length(text) <= R.MAX_TEXT_BYTES, let(clean, run))
 
 
-def redact(text: Column, options=R.DEFAULT_ON, rules: R.Rules = R.Rules(), option_columns=None) -> Column:
+def redact(text: Column, options=R.DEFAULT_ON, rules: R.Rules = R.Rules(), option_columns=None, stages=STAGES) -> Column:
     """Normalise and redact.  The size limit applies to the raw text."""
     small = F.when(F.octet_length(text) <= R.MAX_TEXT_BYTES, text)
-    return redact_normalized(normalize(small), options, rules, option_columns)
+    return redact_normalized(normalize(small), options, rules, option_columns, stages)
 
 
 def mapping_of(replacements: Column) -> Column:

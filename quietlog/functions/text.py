@@ -64,7 +64,7 @@ def contains_any(c: Column, literals) -> Column:
 def needs_normalizing(c: Column) -> Column:
     """True when unescaping, percent-decoding or NFKC could change the text."""
     plain_bytes = F.octet_length(c) == F.char_length(c)
-    return c.contains("&") | (c.contains("%") & c.rlike("%[0-9A-Fa-f]{2}")) | (~plain_bytes & ~c.rlike(STABLE))
+    return (c.contains("&") & c.rlike("&[#A-Za-z]")) | (c.contains("%") & c.rlike("%[0-9A-Fa-f]{2}")) | (~plain_bytes & ~c.rlike(STABLE))
 
 
 def clean_text(text: str) -> str:
