@@ -51,7 +51,7 @@ def is_blank(c: Column) -> Column:
 
 def byte_prefix(c: Column, n: int) -> Column:
     """First n bytes; a character cut in half decodes as U+FFFD."""
-    return F.decode(F.substring(c.cast("binary"), 1, n), F.lit("UTF-8"))
+    return F.decode(F.substring(c.cast("binary"), 1, n), "UTF-8")
 
 
 def contains_any(c: Column, literals) -> Column:

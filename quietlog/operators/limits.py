@@ -192,15 +192,17 @@ def token_bucket(events: DataFrame, requests: int = 100, window_seconds: float =
     )
 
 
-def limiter_state(audited: DataFrame, max_requests: int, size_seconds: int, as_of_us: int | None = None) -> DataFrame:
-    """One row: requests counted in the newest window, the limit, and microseconds until it ends."""
-    newest = audited.agg(
-        F.max_by(F.struct("key", "window_start_us"), F.struct("ts_us", "id")).alias("w"), F.max("ts_us").alias("seen")
-    )
-    rows = audited.join(F.broadcast(newest), (F.col("key") == F.col("w.key")) & (F.col("window_start_us") == F.col("w.window_start_us")))
-    now = F.max("seen") if as_of_us is None else F.lit(as_of_us)
-    return rows.agg(
-        F.count_if("allowed").alias("request_count"),
+def limiter_state(audited: DataFrame, max_requests: int, size_seconds: int, as_of_us: int | None = None, per_key: bool = False) -> DataFrame:
+    """Requests counted in the newest window, the limit, and microseconds until it ends: one row, or one per key.
+
+    A plain aggregate over audited events: the newest event knows its window and what is left in it.
+    """
+    newest = F.max_by(F.struct("window_start_us", "remaining", "ts_us"), F.struct("ts_us", "id")).alias("w")
+    rows = (audited.groupBy("key") if per_key else audited).agg(newest)
+    now = F.col("w.ts_us") if as_of_us is None else F.lit(as_of_us)
+    return rows.select(
+        *(["key"] if per_key else []),
+        (F.lit(max_requests) - F.col("w.remaining")).cast("long").alias("request_count"),
         F.lit(max_requests).cast("long").alias("rate_limit"),
-        F.greatest(F.lit(0).cast("long"), F.max("window_start_us") + size_seconds * ONE - now).alias("window_remaining_us"),
+        F.greatest(F.lit(0).cast("long"), F.col("w.window_start_us") + size_seconds * ONE - now).alias("window_remaining_us"),
     )

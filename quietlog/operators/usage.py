@@ -151,7 +151,7 @@ def errors_by_model(requests: DataFrame, body_limit: int = 500) -> DataFrame:
 def mask(c: Column) -> Column:
     """**** for up to 8 bytes, else first four + **** + last four bytes."""
     head = byte_prefix(c, 4)
-    tail = F.decode(F.substring(c.cast("binary"), -4, 4), F.lit("UTF-8"))
+    tail = F.decode(F.substring(c.cast("binary"), -4, 4), "UTF-8")
     return F.when(F.octet_length(c) <= 8, "****").otherwise(F.concat(head, F.lit("****"), tail))
 
 

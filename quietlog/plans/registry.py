@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quietlog.plans import privacy
+from quietlog.plans import privacy, transcripts, usage
 
-QUERIES = {**privacy.QUERIES}
-ORACLE = {**privacy.ORACLE}
+QUERIES = {**usage.QUERIES, **privacy.QUERIES, **transcripts.QUERIES}
+ORACLE = {**usage.ORACLE, **privacy.ORACLE, **transcripts.ORACLE}

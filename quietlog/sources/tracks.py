@@ -7,6 +7,7 @@ itself: sessions are many and small, and one of them may be huge.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quietlog.functions.rules import DEFAULT_ON, Rules
@@ -114,45 +115,57 @@ def list_sessions(spark: SparkSession, path: str) -> DataFrame:
     return names[0].unionByName(names[1]).distinct().orderBy("session_id")
 
 
-def trim(tracks: DataFrame, max_entries: int = MAX_ENTRIES, min_bytes: int = TRIM_BYTES) -> DataFrame:
-    """Keep the last `max_entries` rows of every (track, session) larger than `min_bytes`."""
+def trim(
+    tracks: DataFrame, max_entries: int = MAX_ENTRIES, min_bytes: int = TRIM_BYTES, line_bytes: Column | None = None
+) -> DataFrame:
+    """Keep the last `max_entries` rows of every (track, session) larger than `min_bytes`.
+
+    `line_bytes`: size of a row; by default that of its JSON line.
+    """
     keys = ["track", "session_id"]
-    line = F.octet_length(F.to_json(F.struct("role", "content", "timestamp_ms", "metadata"))) + 1
+    json_line = F.octet_length(F.to_json(F.struct("role", "content", "timestamp_ms", "metadata"))) + 1
+    line = json_line if line_bytes is None else line_bytes
     sizes = tracks.groupBy(*keys).agg(F.sum(line).alias("bytes"), F.count("*").alias("rows"))
     large = sizes.filter((F.col("bytes") > min_bytes) & (F.col("rows") > max_entries)).select(*keys)
     small_part = tracks.join(large, keys, "left_anti")
     return small_part.unionByName(last_n(tracks.join(large, keys, "left_semi"), keys, "seq", max_entries))
 
 
-def import_track_files(spark: SparkSession, path: str) -> DataFrame:
-    """Read `<path>/<track>/<session>.jsonl` files; `seq` is the position among the usable lines.
+LAYOUTS = {
+    # layout: (glob below the folder, session in the path, track in the path)
+    "files": ("*/*.jsonl", r"([^/]*)\.jsonl$", r"([^/]*)/[^/]*$"),
+    "folders": ("*/session_id=*/*", r"session_id=([^/]*)/", r"([^/]*)/session_id="),
+}
+_LINE = "role string, content string, timestamp_ms long, metadata map<string,string>, _bad string"
+
 
+def import_track_files(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    """Read JSONL tracks; `seq` is the position among the usable lines of a session file.
+
+    layout 'files': `<path>/<track>/<session>.jsonl`; 'folders': `<path>/<track>/session_id=<session>/<one file>`.
     Lines are numbered inside each file block and shifted by the number of lines in earlier blocks,
     so a huge file is read by many tasks.
     """
+    glob, session, track = LAYOUTS[layout]
     lines = (
-        spark.read.text(f"{path}/*/*.jsonl")
+        spark.read.text(f"{path}/{glob}")
         .withColumn("file", F.col("_metadata.file_path"))
         .withColumn("block", F.col("_metadata.file_block_start"))
-        .withColumn("r", F.from_json("value", "role string, content string, timestamp_ms long, metadata map<string,string>, _bad string",
-                                     {"columnNameOfCorruptRecord": "_bad"}))
+        .withColumn("r", F.from_json("value", _LINE, {"columnNameOfCorruptRecord": "_bad"}))
         .filter(~is_blank(F.col("value")) & F.col("r._bad").isNull())
         .withColumn("line", F.monotonically_increasing_id())
     )
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("line").alias("first"))
-    # blocks per file are few: a file of 1 TB has some thousands
-    before = F.collect_list(F.struct("block", "n", "first"))
-    starts = (
-        blocks.groupBy("file").agg(before.alias("bs"))
-        .select("file", F.explode(F.transform("bs", lambda b: F.struct(
-            b.block.alias("block"), b.first.alias("first"),
-            F.aggregate(F.filter("bs", lambda o: o.block < b.block), F.lit(0).cast("long"), lambda a, o: a + o.n).alias("shift"),
-        ))).alias("s"))
-        .select("file", "s.*")
-    )
+    # a running sum over the blocks of one file: a file of 1 TB has some thousands
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    starts = blocks.select("file", "block", (shift - F.col("first")).alias("shift"))
     return lines.join(starts, ["file", "block"]).select(
-        "r.role", "r.content", "r.timestamp_ms", "r.metadata",
-        F.regexp_extract("file", r"([^/]*)\.jsonl$", 1).alias("session_id"),
-        (F.col("line") - F.col("first") + F.col("shift")).alias("seq"),
-        F.regexp_extract("file", r"([^/]*)/[^/]*$", 1).alias("track"),
-    )
+        "r.role",
+        "r.content",
+        "r.timestamp_ms",
+        "r.metadata",
+        F.regexp_extract("file", session, 1).alias("session_id"),
+        (F.col("line") + F.col("shift")).alias("seq"),
+        F.regexp_extract("file", track, 1).alias("track"),
+    )
