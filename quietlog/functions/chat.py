@@ -291,6 +291,12 @@ def chat_messages(m: Column) -> Column:
     )
 
 
+def flatten_messages(v: Column) -> Column:
+    """Chat messages of all messages of a flat request."""
+    rows = F.flatten(F.transform(vget(v, "$.messages", "array<variant>"), chat_messages))
+    return F.coalesce(rows, F.expr(f"cast(array() as array<{CHAT_MESSAGE}>)"))
+
+
 def message_json(m: Column) -> Column:
     return json_object(
         content=json_string(m.content),
@@ -307,13 +313,12 @@ def with_chat_request(df: DataFrame, body: str = "body") -> DataFrame:
     lead = F.when(~is_blank(system), F.array(_chat(F.lit("system"), system))).otherwise(
         F.expr(f"cast(array() as array<{CHAT_MESSAGE}>)")
     )
-    rest = F.flatten(F.transform(vget(v, "$.messages", "array<variant>"), chat_messages))
     copied = {k: json_text(vget(v, f"$.{k}")) for k in COPIED_KEYS}
     choice = vget(v, "$.tool_choice")
     out = (
         df.withColumn("_flat", pin(flat_request(F.col(body))))
-        .withColumn("chat_messages", pin(F.concat(lead, F.coalesce(rest, F.expr(f"cast(array() as array<{CHAT_MESSAGE}>)")))))
-        .withColumn("_tools", tools_as_functions(F.transform(vget(v, "$.tools", "array<variant>"), F.to_json)))
+        .withColumn("chat_messages", pin(F.concat(lead, flatten_messages(v))))
+        .withColumn("_tools", tools_as_functions(F.transform(vget(v, "$.tools", "array<variant>"), lambda t: F.to_json(t))))
     )
     chat_body = json_object(
         **copied,

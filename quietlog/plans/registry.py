@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from quietlog.plans import privacy, transcripts, usage
+from quietlog.plans import chat, flow, privacy, transcripts, usage
 
-QUERIES = {**usage.QUERIES, **privacy.QUERIES, **transcripts.QUERIES}
-ORACLE = {**usage.ORACLE, **privacy.ORACLE, **transcripts.ORACLE}
+_PLANS = (usage, privacy, transcripts, chat, flow)
+QUERIES = {name: fn for plan in _PLANS for name, fn in plan.QUERIES.items()}
+ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}

@@ -86,7 +86,10 @@ def append_tracks(entries: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_track(spark: SparkSession, path: str, track: str = "clean", session: str | None = None) -> DataFrame:
-    """One track; malformed lines are skipped.  A session reads only its bucket."""
+    """One track; malformed lines are skipped.  A session reads only its bucket.
+
+    `path` may hold one folder per streaming batch (`batch=<n>`).
+    """
     if track not in TRACKS:
         raise ValueError("track must be 'full' or 'clean'")
     df = (
@@ -98,7 +101,7 @@ def read_track(spark: SparkSession, path: str, track: str = "clean", session: st
     )
     if session is not None:
         df = df.filter((F.col("bucket") == bucket_of(F.lit(session))) & (F.col("session_id") == session))
-    return df.drop("bucket")
+    return df.drop("bucket", "batch")
 
 
 def load_session(spark: SparkSession, path: str, session: str, track: str | None = None, limit: int = 0) -> DataFrame:
