@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quietlog.functions import rules as R
 from quietlog.functions.paths import file_marker_sql, looks_like_path_sql, path_rule_sql
-from quietlog.functions.sqltext import where
+from quietlog.functions.sqltext import apply, q, where
 from quietlog.functions.text import contains_any, is_blank, let, trim_space
 
 FOUND = "struct<rank:int,reason:string>"
@@ -21,89 +21,76 @@ def found(rank: int, reason: Column | None) -> Column:
     return F.struct(F.lit(rank).alias("rank"), text.alias("reason"))
 
 
-def first_of(cases: list[tuple[Column, Column]]) -> Column:
+# Detectors are SQL lambdas: some dozens of tests each, built as one text.
+
+
+def _found_sql(rank: int, reason: str) -> str:
+    return f"named_struct('rank', {rank}, 'reason', {reason})"
+
+
+def _first_of(cases: list[tuple[str, str]]) -> str:
     """Value of the first case that holds, else 'nothing found'."""
-    out = None
-    for test, value in cases:
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return found(1, None) if out is None else out.otherwise(found(1, None))
+    nothing = f"cast({_found_sql(1, 'cast(null as string)')} as {FOUND})"
+    tests = "".join(f" WHEN {test} THEN {value}" for test, value in cases)
+    return f"CASE{tests} ELSE {nothing} END" if cases else nothing
 
 
-def keyword_matches(low: Column, keyword: str) -> Column:
+def _keyword_sql(low: str, keyword: str) -> str:
     """Keyword between ASCII non-alphanumerics, on lower-cased text; a leading dot frees the left side."""
     kw = keyword.lower()
-    if kw == "":
-        return F.lit(True) if keyword else low.isNotNull()
     left = "" if keyword.startswith(".") else "(?<![A-Za-z0-9])"
-    return low.contains(kw) & low.rlike(left + R.re.escape(kw) + "(?![A-Za-z0-9])")
+    return f"(contains({low}, {q(kw)}) AND rlike({low}, {q(left + R.re.escape(kw) + '(?![A-Za-z0-9])')}))"
 
 
-def detect_keywords(text: Column, rules: R.Rules, prefix: str = "") -> Column:
-    def body(low):
-        return first_of(
-            [
-                (keyword_matches(low, kw), found(rank, F.lit(f"{prefix}S{rank} keyword detected: {kw}")))
-                for rank, words in ((3, rules.keywords_s3), (2, rules.keywords_s2))
-                for kw in words
-            ]
-        )
-
-    return let(F.lower(text), body)
+def keyword_matches(low: Column, keyword: str) -> Column:
+    return apply(low, f"t -> {_keyword_sql('t', keyword)}")
 
 
-def pattern_matches(text: Column, pattern: str) -> Column:
-    """Case-insensitive search; an unanchored look at the literal head of a pattern comes first."""
-    return text.rlike(R.java_regex(pattern, "(?iu)"))
+def detect_keywords(text: Column, rules: R.Rules, prefix: str = "") -> Column:
+    cases = [
+        (_keyword_sql("t", kw), _found_sql(rank, q(f"{prefix}S{rank} keyword detected: {kw}")))
+        for rank, words in ((3, rules.keywords_s3), (2, rules.keywords_s2))
+        for kw in words
+    ]
+    return apply(F.lower(text), f"t -> {_first_of(cases)}")
 
 
 def detect_patterns(text: Column, rules: R.Rules, prefix: str = "") -> Column:
-    return first_of(
-        [
-            (pattern_matches(text, p), found(rank, F.lit(f"{prefix}S{rank} pattern matched: {p}")))
-            for rank, patterns in ((3, rules.patterns_s3), (2, rules.patterns_s2))
-            for p in patterns
-        ]
-    )
+    cases = [
+        (f"rlike(t, {q(R.java_regex(p, '(?iu)'))})", _found_sql(rank, q(f"{prefix}S{rank} pattern matched: {p}")))
+        for rank, patterns in ((3, rules.patterns_s3), (2, rules.patterns_s2))
+        for p in patterns
+    ]
+    return apply(text, f"t -> {_first_of(cases)}")
 
 
-def tool_matches(name: Column, tool: str) -> Column:
-    """The tool is a whole segment of the name, segments being cut at . _ and -."""
-    seg = tool.strip().lower()
-    return (name == seg) | name.rlike("(?:^|[._-])" + R.re.escape(seg) + r"(?:\z|[._-])")
+def detect_tool(tool_name: Column, rules: R.Rules) -> Column:
+    """A tool hits as a whole segment of the name, segments being cut at . _ and -."""
 
+    def test(tool):
+        seg = tool.strip().lower()
+        return f"(t.name = {q(seg)} OR rlike(t.name, {q('(?:^|[._-])' + R.re.escape(seg) + '(?:$|[._-])')}))"
 
-def detect_tool(tool_name: Column, rules: R.Rules) -> Column:
-    name = F.lower(trim_space(tool_name))
-    return first_of(
-        [
-            (tool_matches(name, t), found(rank, F.concat(F.lit(f"S{rank} tool detected: "), tool_name)))
-            for rank, tools in ((3, rules.tools_s3), (2, rules.tools_s2))
-            for t in tools
-        ]
-    )
+    cases = [
+        (test(tool), _found_sql(rank, f"concat('S{rank} tool detected: ', t.raw)"))
+        for rank, tools in ((3, rules.tools_s3), (2, rules.tools_s2))
+        for tool in tools
+    ]
+    return apply(F.struct(F.lower(trim_space(tool_name)).alias("name"), tool_name.alias("raw")), f"t -> {_first_of(cases)}")
 
 
 def detect_paths(paths: Column, rules: R.Rules) -> Column:
     """Three passes over an array of paths: S3 rule, S2 rule, sensitive file name (S3)."""
-
-    def first(test):
-        return F.get(where(paths, f"p -> {test}"), F.lit(0))
-
-    hits = F.struct(
-        first(path_rule_sql("p", rules.paths_s3)).alias("s3"),
-        first(path_rule_sql("p", rules.paths_s2)).alias("s2"),
-        first(file_marker_sql("p")).alias("marker"),
-    )
-    return let(
-        hits,
-        lambda h: first_of(
-            [
-                (h.s3.isNotNull(), found(3, F.concat(F.lit("S3 path detected: "), h.s3))),
-                (h.s2.isNotNull(), found(2, F.concat(F.lit("S2 path detected: "), h.s2))),
-                (h.marker.isNotNull(), found(3, F.concat(F.lit("Sensitive file extension detected: "), h.marker))),
-            ]
-        ),
+    passes = (
+        (3, "S3 path detected: ", path_rule_sql("p", rules.paths_s3)),
+        (2, "S2 path detected: ", path_rule_sql("p", rules.paths_s2)),
+        (3, "Sensitive file extension detected: ", file_marker_sql("p")),
     )
+    cases = [
+        (f"exists(ps, p -> {test})", _found_sql(rank, f"concat({q(label)}, filter(ps, p -> {test})[0])"))
+        for rank, label, test in passes
+    ]
+    return apply(paths, f"ps -> {_first_of(cases)}")
 
 
 def json_strings(body: Column) -> Column:

@@ -36,8 +36,8 @@ def vstring(v: Column, path: str) -> Column:
 
 
 def parse_object(body: Column) -> Column:
-    """Request body as a variant; null unless it is a JSON object."""
-    return let(F.try_parse_json(body), lambda v: F.when(vkind(v) == "OBJECT", v))
+    """Request body as a variant; null unless it is a JSON object (told by its first character)."""
+    return F.when(F.ltrim(body, F.lit(" \t\n\r")).startswith("{"), F.try_parse_json(body))
 
 
 def _root(role, kind, prefix, addr, text) -> Column:

@@ -12,6 +12,7 @@ from quietlog.functions.chat import map_finish_reason
 from quietlog.functions.payload import parse_object, vget, vkind, vstring
 from quietlog.functions.text import SPACE_CHARS, let, pin
 from quietlog.functions.tokens import response_text, usage_tokens, whole
+from quietlog.session import staged
 
 DATA, DONE = "data: ", "[DONE]"
 
@@ -68,6 +69,7 @@ def stream_usage(lines: DataFrame) -> DataFrame:
     parsed = chunks(lines).select(
         "stream_id", "seq", usage_tokens(F.col("chunk")).alias("tokens"), pin(response_text(F.col("chunk"))).alias("text")
     )
+    parsed = staged(parsed, "chunks")  # JSON is parsed once for the passes below
     reported = parsed.groupBy("stream_id").agg(
         F.max_by("tokens", F.when(F.col("tokens").isNotNull(), F.col("seq"))).alias("reported"), F.count("*").alias("n_chunks")
     )
@@ -105,7 +107,7 @@ def block_events(lines: DataFrame, requests: DataFrame) -> DataFrame:
         ).alias("finish"),
         whole(F.col("chunk"), "$.usage.completion_tokens").alias("tokens"),
     )
-    parsed = parsed.withColumn("text", pin(F.col("text")))
+    parsed = staged(parsed, "chunks")
     per_stream = parsed.groupBy("stream_id").agg(
         F.max_by("finish", F.when(F.col("finish").isNotNull(), F.col("seq"))).alias("finish"),
         F.max_by("tokens", F.when(F.col("tokens") > 0, F.col("seq"))).alias("tokens"),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quietlog.operators import limits as L
 from quietlog.plans import data
-from quietlog.plans.usage import LOG, TOKENS, log
+from quietlog.plans.transcripts import GRADING, _duck_nodes
+from quietlog.plans.usage import LOG, TOKENS
 from quietlog.session import scratch
 from quietlog.sources import tracks
 from quietlog.streaming import jobs
@@ -123,7 +124,11 @@ def usage_incremental(spark, sf):
     return jobs.latest(spark, out, ["shard"], ["requests", "input_tokens", "output_tokens"])
 
 
-@query("request_two_phase_stream")
+@query(
+    "request_two_phase_stream",
+    f"""{LOG}, x as (select *, timestamp + interval 120 second < (select max(timestamp) from requests) - interval 600 second as due from requests)
+    select status, count(*) as n, case when status = 'completed' then sum(output_tokens)::bigint end as output_tokens from x where status = 'completed' or due group by 1""",
+)
 def request_two_phase_stream(spark, sf):
     """Arrivals joined with completions that come 30 s later; unmatched ones leave at the watermark."""
     arrivals = _requests_stream(spark, sf).select("id", "timestamp", "input_tokens")
@@ -145,7 +150,18 @@ def window_limit_stream(spark, sf):
     return _drain(spark, jobs.window_limit_stream(raw, MAX, SIZE), "limits").select("id", "allowed")
 
 
-@query("guard_stream")
+GUARD_TEXT = "text || case turn % 3 when 0 then ' my password is pw' || turn when 1 then ' see ~/.ssh/id_rsa' else '' end"
+
+
+@query(
+    "guard_stream",
+    f"""with payloads as (select conv_id * 1000 + turn as payload_id, conv_id, json_object('messages', json_array(json_object('role', role, 'content', {GUARD_TEXT}))) as body
+      from conversations), {_duck_nodes()}, {GRADING},
+    hits as (select payload_id, bool_or(decision = 'redact') as red from entries group by 1),
+    ended as (select case when base = 'allow' and coalesce(red, false) then 'redact' else base end as action, base from decided left join hits using (payload_id))
+    select 'released ' || action as what, count(*) filter (base <> 'block') as n from ended group by 1
+    union all select 'audited ' || track || ' ' || decision, count(*) from entries, (values ('full'), ('clean')) v(track) group by 1""",
+)
 def guard_stream(spark, sf):
     """Live guard over payloads made from the conversation stream; result: what the audit and the output hold."""
     raw = jobs.read_table(spark, sf, "conversations").select(
@@ -154,7 +170,7 @@ def guard_stream(spark, sf):
         F.to_json(
             F.struct(
                 F.array(
-                    F.struct("role", F.expr("text || case turn % 3 when 0 then ' my password is pw' || turn when 1 then ' see ~/.ssh/id_rsa' else '' end").alias("content"))
+                    F.struct("role", F.expr(GUARD_TEXT).alias("content"))
                 ).alias("messages")
             )
         ).alias("body"),

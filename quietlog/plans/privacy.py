@@ -12,7 +12,7 @@ from quietlog.functions.text import is_blank, normalize, pin
 from quietlog.operators import corpus as C
 from quietlog.plans import data
 from quietlog.plans import redact_sql as S
-from quietlog.session import scratch
+from quietlog.session import staged
 from quietlog.sources.request_log import split_by_size
 
 POLICY, RULES = R.Policy(), R.Rules()
@@ -284,9 +284,7 @@ def redact_messages(spark, sf):
     join (select conv_id, count(*) as segments_processed from conv group by 1) s using (conv_id)""",
 )
 def mapping_merge(spark, sf):
-    path = scratch(spark, "redacted")
-    C.redact_corpus(_conv(spark, sf)).select("conv_id", "turn", "redacted", "replacements").write.parquet(path)
-    done = spark.read.parquet(path)
+    done = staged(C.redact_corpus(_conv(spark, sf)).select("conv_id", "turn", "redacted", "replacements"), "redacted")
     merged = C.merged_mapping(done, "conv_id", "turn")
     return merged.join(C.redaction_counts(done, merged, "conv_id"), "conv_id")
 
@@ -320,8 +318,6 @@ def replacement_vault(spark, sf):
 )
 def restore_text(spark, sf):
     """Redact, keep text and vault apart, join them again and restore."""
-    path = scratch(spark, "redacted")
-    C.redact_corpus(data.corpus(spark, sf), options=ALL).select("doc_id", "redacted", "replacements").write.parquet(path)
-    done = spark.read.parquet(path)
+    done = staged(C.redact_corpus(data.corpus(spark, sf), options=ALL).select("doc_id", "redacted", "replacements"), "redacted")
     out = C.restore_corpus(done.select("doc_id", "redacted"), C.vault(done, "doc_id"), "doc_id")
     return out.select("doc_id", "restored")

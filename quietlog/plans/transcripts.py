@@ -91,7 +91,7 @@ def json_argument_nodes(spark, sf):
     )
 
 
-GRADED = f"""{NODES}, paths as (select p.payload_id, json_extract_string(p.body, t.fullkey) as path, t.id as pos from payloads p, json_tree(p.body) t
+GRADING = f"""paths as (select p.payload_id, json_extract_string(p.body, t.fullkey) as path, t.id as pos from payloads p, json_tree(p.body) t
     where t.type = 'VARCHAR' and (contains(json_extract_string(p.body, t.fullkey), '/') or contains(json_extract_string(p.body, t.fullkey), chr(92)))),
   pl as (select payload_id, list(path order by pos) as ps from paths group by 1),
   params as (select payload_id, {S.path_reason('ps', RULES)} as c from pl),
@@ -108,6 +108,7 @@ GRADED = f"""{NODES}, paths as (select p.payload_id, json_extract_string(p.body,
     case when base = 'block' then '[PRIVATE]' when base = 'redact' or len(r) > 0 then case when starts_with(t, pre) then substr(t, len(pre) + 1) else t end
       else full_text end as clean_text,
     case when base = 'block' then 'block' when base = 'redact' or len(r) > 0 then 'redact' else 'allow' end as decision from redacted)"""
+GRADED = f"{NODES}, {GRADING}"
 
 
 @query(

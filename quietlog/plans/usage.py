@@ -269,7 +269,17 @@ def usage_hourly(spark, sf):
     return U.hourly(log(spark, sf), data.as_of(), 240)
 
 
-@query("usage_dashboard")
+@query(
+    "usage_dashboard",
+    f"""with recursive {data.duck_requests()}, ev as (select provider, epoch_us(timestamp) as t, row_number() over (partition by provider order by timestamp, id) as n from requests),
+    walk as (select provider, n, t, t as w, 1 as nth from ev where n = 1 union all
+      select e.provider, e.n, e.t, case when e.t - k.w > 3600000000 then e.t else k.w end, case when e.t - k.w > 3600000000 then 1 else k.nth + 1 end
+      from walk k join ev e on e.provider = k.provider and e.n = k.n + 1),
+    state as (select provider, arg_max(least(nth, 3), n)::bigint as request_count, arg_max(greatest(0, w + 3600000000 - t), n)::bigint as window_remaining_us from walk group by 1),
+    dim as (select * from (values {", ".join(f"('{p}', '{n}', '{','.join(m)}')" for p, n, _, _, m in PROVIDERS)}) v(provider, name, models)),
+    used as (select provider, {TOKENS}, (sum(input_tokens) + sum(output_tokens))::bigint as total_tokens from requests group by 1)
+    select used.*, request_count, 3::bigint as rate_limit, window_remaining_us, name, models from used join state using (provider) join dim using (provider)""",
+)
 def usage_dashboard(spark, sf):
     """Stats and limiter state per provider, one row each, with name and models."""
     df = log(spark, sf)
