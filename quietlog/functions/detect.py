@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quietlog.functions import rules as R
 from quietlog.functions.paths import file_marker_sql, looks_like_path_sql, path_rule_sql
-from quietlog.functions.sqltext import apply, q, where
+from quietlog.functions.sqltext import any_literal, apply, q, where
 from quietlog.functions.text import contains_any, is_blank, let, trim_space
 
 FOUND = "struct<rank:int,reason:string>"
@@ -56,12 +56,20 @@ def detect_keywords(text: Column, rules: R.Rules, prefix: str = "") -> Column:
 
 
 def detect_patterns(text: Column, rules: R.Rules, prefix: str = "") -> Column:
+    def test(pattern):
+        regex = f"rlike(t.raw, {q(R.java_regex(pattern, '(?iu)'))})"
+        anchors = R.PATTERN_ANCHORS.get(pattern)
+        return f"({any_literal('t.low', anchors)} AND {regex})" if anchors else regex
+
     cases = [
-        (f"rlike(t, {q(R.java_regex(p, '(?iu)'))})", _found_sql(rank, q(f"{prefix}S{rank} pattern matched: {p}")))
+        (test(p), _found_sql(rank, q(f"{prefix}S{rank} pattern matched: {p}")))
         for rank, patterns in ((3, rules.patterns_s3), (2, rules.patterns_s2))
         for p in patterns
     ]
-    return apply(text, f"t -> {_first_of(cases)}")
+    # the few letters that only Unicode folding maps to ASCII are folded for the anchors, too
+    folded = F.translate(F.lower(text), "\u017f\u212a", "sk")
+    low = F.when(contains_any(text, ("\u017f", "\u212a")), folded).otherwise(F.lower(text))
+    return apply(F.struct(text.alias("raw"), low.alias("low")), f"t -> {_first_of(cases)}")
 
 
 def detect_tool(tool_name: Column, rules: R.Rules) -> Column:

@@ -19,7 +19,7 @@ SESSION_KEYS = ("session_id", "conversation_id", "thread_id")
 
 def vkind(v: Column) -> Column:
     """OBJECT / ARRAY / STRING / ...: the head of the variant's schema."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def vget(v: Column, path: str, kind: str = "variant") -> Column:
@@ -28,7 +28,7 @@ def vget(v: Column, path: str, kind: str = "variant") -> Column:
 
 def as_text(v: Column) -> Column:
     """The string a variant holds, null when it holds anything else."""
-    return F.when(vkind(v) == "STRING", vget(v, "$", "string"))
+    return F.when(F.schema_of_variant(v) == "STRING", vget(v, "$", "string"))
 
 
 def vstring(v: Column, path: str) -> Column:
@@ -190,7 +190,7 @@ def text_nodes(roots: Column, opened: Column) -> Column:
 def with_text_nodes(df: DataFrame, body: str = "body") -> DataFrame:
     """Add `payload` (variant, null if not an object) and `nodes`."""
     return (
-        df.withColumn("payload", parse_object(F.col(body)))
+        df.withColumn("payload", pin(parse_object(F.col(body))))
         .withColumn("_roots", pin(text_roots(F.col("payload"))))
         .withColumn("_opened", open_roots(F.col("_roots")))
         .withColumn("nodes", pin(text_nodes(F.col("_roots"), F.col("_opened"))))

@@ -126,6 +126,16 @@ LABEL_RULES = (
     LabelRule(r"pin|pin\s*code|pin\s*number", "PIN", ("pin",), needs_separator=True, option="pin"),
 )
 
+# literals (lower case) one of which any match of a default grading pattern holds
+PATTERN_ANCHORS = {
+    PRIVATE_IP: ("10.", "172.", "192.168."),
+    r"""(?:mysql|postgres|postgresql|mongodb|redis|amqp)://[^\s"']+""": ("://",),
+    PREFIXED_KEY: ("sk-", "key-", "token-"),
+    rf"-----BEGIN {PEM_KIND}PRIVATE KEY-----": ("private key-----",),
+    r"AKIA[0-9A-Z]{16}": ("akia",),
+    r"ASIA[0-9A-Z]{16}": ("asia",),
+}
+
 PLACEHOLDER = r"\[REDACTED:[A-Z_]+\]"
 PATH_TOKEN = r"""(?:~|\.{1,2}|/)[^\s"'<>]+|[A-Za-z]:\\[^\s"'<>]+"""
 FILE_SUFFIXES = (".pem", ".key", ".p12", ".pfx", ".env")

@@ -37,6 +37,11 @@ def whole(v: Column, path: str) -> Column:
 TEXT_KEYS = ("output_text", "content", "text", "message", "delta")
 
 
+# a message or delta, and a choice, with all fields that could hold text
+PART = "struct<content:variant,output_text:variant,text:variant,message:variant,delta:variant,choices:variant>"
+CHOICE = PART
+
+
 @F.arrow_udf(T.StringType())
 def _response_text_batch(bodies):
     """Depth-first text of responses of any shape."""
@@ -62,33 +67,42 @@ def response_text(v: Column) -> Column:
     The usual shape, choices[] > message or delta > content string, stays in the JVM; anything else,
     at whatever depth, goes through an Arrow function.
     """
-    from quietlog.functions.payload import vget, vkind
+    from quietlog.functions.payload import as_text, vget
 
-    def absent(x, *keys):
-        return F.coalesce(*[vget(x, f"$.{k}") for k in keys]).isNull()
+    def absent(*values):
+        return F.coalesce(*values).isNull()
 
     def content(x):
-        """(is usual, text) of a message or delta."""
-        c = vget(x, "$.content")
-        usual = x.isNull() | (
-            (vkind(x) == "OBJECT")
-            & absent(x, "output_text", "text", "message", "delta", "choices")
-            & (c.isNull() | vkind(c).isin("STRING", "VOID"))
-        )
-        return usual, F.when(vkind(c) == "STRING", vget(c, "$", "string")).otherwise("")
+        """Is a message or delta of the usual shape, and its text."""
+
+        def body(p):
+            others = absent(p.output_text, p.text, p.message, p.delta, p.choices)
+            text = as_text(p.content)
+            usual = p.isNotNull() & others & (p.content.isNull() | F.is_variant_null(p.content) | text.isNotNull())
+            return F.struct((x.isNull() | usual).alias("ok"), F.coalesce(text, F.lit("")).alias("text"))
+
+        return let(vget(x, "$", PART), body)
 
     def choice(c):
-        (ok_m, text_m), (ok_d, text_d) = content(vget(c, "$.message")), content(vget(c, "$.delta"))
-        flat = (vkind(c) == "OBJECT") & absent(c, "output_text", "content", "text", "choices") & ok_m & ok_d
-        return F.struct(F.coalesce(flat, F.lit(False)).alias("ok"), F.concat(text_m, text_d).alias("text"))
+        def join(m, d):
+            flat = c.isNotNull() & absent(c.output_text, c.content, c.text, c.choices) & m.ok & d.ok
+            return F.struct(F.coalesce(flat, F.lit(False)).alias("ok"), F.concat(m.text, d.text).alias("text"))
+
+        return let(content(c.message), lambda m: let(content(c.delta), lambda d: join(m, d)))
+
+    def assemble(choices):
+        parts = F.transform(choices, choice)
+        return let(
+            parts,
+            lambda ps: F.when(
+                F.coalesce(F.forall(ps, lambda p: p.ok), F.lit(False)), F.array_join(F.transform(ps, lambda p: p.text), "")
+            ),
+        )
 
-    parts = F.transform(vget(v, "$.choices", "array<variant>"), choice)
-    usual = F.coalesce(
-        absent(v, *TEXT_KEYS) & (vkind(vget(v, "$.choices")) == "ARRAY") & F.forall(parts, lambda p: p.ok), F.lit(False)
-    )
-    joined = F.array_join(F.transform(parts, lambda p: p.text), "")
-    odd = _response_text_batch(F.when(~usual, F.to_json(v)))
-    return F.when(usual, joined).otherwise(F.coalesce(odd, F.lit("")))
+    plain = absent(*[vget(v, f"$.{k}") for k in TEXT_KEYS])
+    usual_text = F.when(plain, let(vget(v, "$.choices", f"array<{CHOICE}>"), assemble))
+    odd = _response_text_batch(F.when(usual_text.isNull(), F.to_json(v)))
+    return F.coalesce(usual_text, odd, F.lit(""))
 
 
 def usage_tokens(v: Column) -> Column:

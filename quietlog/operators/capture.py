@@ -25,7 +25,7 @@ def chunks(lines: DataFrame) -> DataFrame:
     return (
         data.join(done, "stream_id", "left")
         .filter(F.col("done_seq").isNull() | (F.col("seq") < F.col("done_seq")))
-        .select("stream_id", "seq", parse_object(body).alias("chunk"))
+        .select("stream_id", "seq", pin(parse_object(body)).alias("chunk"))
         .filter(F.col("chunk").isNotNull())
     )
 

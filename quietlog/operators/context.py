@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quietlog.functions.text import is_blank, let, normalize
 from quietlog.operators.ranks import top_n
+from quietlog.session import staged
 
 TOKEN = r"[a-z0-9_]+|\p{IsHan}+|[\p{IsHiragana}\p{IsKatakana}]+|\p{IsHangul}+"
 # Feature weights, and the range that counts as Han when choosing the split.
@@ -24,19 +25,17 @@ def tokenize(text: Column, normalized: bool = False) -> Column:
             count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.lit(prefix), F.substring(s, i, size)))
         ).otherwise(F.array().cast("array<string>"))
 
+    def word(w):
+        grams = windows(w, "g:", NGRAM, F.least(F.length(w) - (NGRAM - 1), F.lit(MAX_NGRAMS)))
+        return F.concat(F.array(F.concat(F.lit("w:"), w)), grams)
+
     def features(seg):
         n = F.length(seg)
         han = F.concat(windows(seg, "u:", 1, n), windows(seg, "b:", 2, n - 1))
         # kana segments may hold marks that are neither letter nor number
-        word = F.regexp_replace(seg, r"[^\p{L}\p{N}_-]", "")
-        latin = let(
-            word,
-            lambda w: F.when(
-                w != "",
-                F.concat(F.array(F.concat(F.lit("w:"), w)), windows(w, "g:", NGRAM, F.least(F.length(w) - (NGRAM - 1), F.lit(MAX_NGRAMS)))),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-        return F.when(seg.rlike(HAN), han).otherwise(latin)
+        letters = F.regexp_replace(seg, r"[^\p{L}\p{N}_-]", "")
+        other = let(letters, lambda w: F.when(w != "", word(w)).otherwise(F.array().cast("array<string>")))
+        return F.when(seg < "\u0080", word(seg)).when(seg.rlike(HAN), han).otherwise(other)
 
     return F.flatten(F.transform(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), features))
 
@@ -65,8 +64,7 @@ def postings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def doc_frequency(posts: DataFrame, session: str) -> DataFrame:
     """Texts per (session, token); postings are distinct per text already."""
-    # reading the weight keeps the plan equal to the scoring branch, so both share one exchange
-    return posts.groupBy(session, "token").agg(F.count_if(F.col("weight") > 0).alias("df"))
+    return posts.groupBy(session, "token").agg(F.count("*").alias("df"))
 
 
 def tfidf(posts: DataFrame, df: DataFrame, sizes: DataFrame, totals: DataFrame, keys: list[str], session: str) -> DataFrame:
@@ -83,26 +81,29 @@ def tfidf(posts: DataFrame, df: DataFrame, sizes: DataFrame, totals: DataFrame,
 def scores(messages: DataFrame, queries: DataFrame, session: str = "session_id", index: str = "index", text: str = "text") -> DataFrame:
     """Cosine of every non-blank message with its session's query; messages sharing no token score 0.
 
-    Only the norm needs all tokens of a message, the dot product only those of the query.
+    Indexes are positions, 0 and up; queries ride along with index -1.
     """
     docs = messages.filter(~is_blank(F.col(text))).select(session, index, text)
-    asked = queries.filter(~is_blank(F.col("query"))).select(session, F.col("query").alias(text))
+    asked = queries.filter(~is_blank(F.col("query"))).select(session, F.lit(-1).cast("long").alias(index), F.col("query").alias(text))
     wanted = docs.join(asked.select(session), session, "left_semi")
-    posts = postings(wanted, [session, index], text)
-    q_posts = postings(asked, [session], text)
-    df = doc_frequency(posts, session)
-    sizes = wanted.groupBy(session).agg(F.count("*").alias("n_docs"))
-
-    q_total = q_posts.groupBy(session).agg(F.sum("weight").alias("total"))
-    q_vec = tfidf(q_posts, df, sizes, q_total, [session], session).withColumnRenamed("x", "qx")
-    q_norm = q_vec.groupBy(session).agg(F.sqrt(F.sum(F.col("qx") * F.col("qx"))).alias("q_norm"))
+    is_query = F.col(index) < 0
 
-    # the weight share's divisor is constant in a message and cancels in the cosine
-    idf = (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")
-    table = df.join(sizes, session).join(q_vec, [session, "token"], "left").select(session, "token", idf, "qx")
+    # texts and queries are taken apart in one pass and kept, as both the table below and the scores read them
+    posts = staged(postings(wanted.unionByName(asked), [session, index], text), "postings")
+    sizes = wanted.groupBy(session).agg(F.count("*").alias("n_docs"))
+    # weight shares have one divisor per text, which cancels in the cosine
+    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    table = (
+        posts.groupBy(session, "token")
+        .agg(F.count_if(~is_query).alias("df"), F.max(F.when(is_query, F.col("weight"))).alias("qw"))
+        .join(sizes, session)
+        .select(session, "token", idf.alias("idf"), (F.col("qw") * idf).alias("qx"))
+    )
+    q_norm = table.groupBy(session).agg(F.sqrt(F.sum(F.col("qx") * F.col("qx"))).alias("q_norm"))
     x = F.col("weight") * F.col("idf")
     per_doc = (
-        posts.join(table, [session, "token"])
+        posts.filter(~is_query)
+        .join(table, [session, "token"])
         .groupBy(session, index)
         .agg(F.sqrt(F.sum(x * x)).alias("norm"), F.coalesce(F.sum(x * F.col("qx")), F.lit(0.0)).alias("dot"))
     )

@@ -25,7 +25,10 @@ def _chunked(events: DataFrame, chunk_rows: int) -> DataFrame:
     chunks = F.ceil(F.col("n") / chunk_rows)
     width = F.greatest(F.ceil(F.col("span") / chunks), F.lit(1)).cast("long")
     plan = per_key.select("key", "t0", chunks.cast("long").alias("chunks"), width.alias("width"))
-    return events.join(plan, "key").withColumn("chunk", F.floor((F.col("ts_us") - F.col("t0")) / F.col("width")).cast("long"))
+    chunk = F.floor((F.col("ts_us") - F.col("t0")) / F.col("width")).cast("long")
+    # a fixed number of partitions: the Python work per byte is too high for merging small ones
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.join(plan, "key").withColumn("chunk", chunk).repartition(parts, "key", "chunk")
 
 
 def _fold(events: DataFrame, chunk_rows: int, summarize: Callable, summary: str, compose: Callable, state: str, replay: Callable, out: str):
@@ -149,7 +152,12 @@ def token_bucket(events: DataFrame, requests: int = 100, window_seconds: float =
                         moved += [(at, v, 1), (at + cap - v, cap, 0)]
                     else:
                         moved.append((at, v, slope))
-            pieces = [p for i, p in enumerate(moved) if i == 0 or p[2] or moved[i - 1][2] or p[1] != moved[i - 1][1]]
+            # a piece that only continues the one before it is no piece of its own
+            pieces = moved[:1]
+            for at, v, slope in moved[1:]:
+                lo, base, rise = pieces[-1]
+                if slope != rise or v != base + rise * (at - lo):
+                    pieces.append((at, v, slope))
         out = pd.DataFrame(pieces, columns=["lo", "base", "slope"])
         out.insert(0, "key", pdf["key"].iloc[0])
         out.insert(1, "chunk", pdf["chunk"].iloc[0])

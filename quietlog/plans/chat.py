@@ -177,7 +177,7 @@ def schema_null_fix(spark, sf):
         "when 2 then '{\"type\": \"object\", \"additionalProperties\": null, \"properties\": {\"a\": {\"type\": \"object\"}}}' "
         "else concat('{\"title\": null, \"x\": ', conv_id, '}') end"
     )
-    df = data.table(spark, sf, "conversations").withColumn("fixed", F.get(H.repair_schemas(F.array(schema)), F.lit(0)))
+    df = data.turns_or_texts(spark, sf, "conversations").withColumn("fixed", F.get(H.repair_schemas(F.array(schema)), F.lit(0)))
     return df.groupBy("fixed").agg(F.count("*").alias("n"))
 
 
@@ -268,7 +268,7 @@ def stream_usage(spark, sf):
     union all select stream_id, 5, 0, 'message_stop', '' from per""",
 )
 def stream_to_block_events(spark, sf):
-    requests = data.table(spark, sf, "conversations").filter("role = 'assistant'").select(
+    requests = data.turns_or_texts(spark, sf, "conversations").filter("role = 'assistant'").select(
         F.expr("conv_id * 1000 + turn").alias("stream_id"),
         F.concat(F.lit("msg_"), F.expr("conv_id * 1000 + turn")).alias("message_id"),
         F.lit("m").alias("model"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietlog.functions.payload import parse_object
+from quietlog.session import spread
 
 AS_OF = "2024-01-30 12:00:00"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
@@ -163,16 +164,26 @@ from (select stream_id, n, unnest(range(n + 4)) as seq, unnest(list_concat(list_
 """
 
 
+COLUMNS = {"conversations": ("conv_id", "turn", "role", "text"), "documents": ("doc_id", "text", "lang", "source")}
+
+
+def turns_or_texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Texts, dealt out over the cores where the table comes in few pieces."""
+    return spread(table(spark, sf, name).select(*COLUMNS[name]))
+
+
 def _sql(spark: SparkSession, sf: str, text: str, source: str) -> DataFrame:
     query = re.sub(rf"\bfrom {source}\b", "from {src}", text)
     # braces of JSON text must survive the formatter
     marked = query.replace("{src}", "\x00")
     marked = marked.replace("{", "{{").replace("}", "}}").replace("\x00", "{src}")
-    return spark.sql(marked, src=table(spark, sf, source))
+    return spark.sql(marked, src=table(spark, sf, source) if source == "events" else turns_or_texts(spark, sf, source))
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return _sql(spark, sf, spark_text(REQUESTS), "events")
+def requests(spark: SparkSession, sf: str, bodies: bool = False) -> DataFrame:
+    """`bodies`: the query parses bodies, so deal a small table out over the cores."""
+    df = _sql(spark, sf, spark_text(REQUESTS), "events")
+    return spread(df) if bodies else df
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +200,7 @@ def sse_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as session messages."""
-    return table(spark, sf, "conversations").select(
+    return turns_or_texts(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", "text"
     )
 

@@ -47,7 +47,7 @@ def events(spark, sf):
 )
 def window_limit_audit(spark, sf):
     """Small chunks, so that every key is cut and chained."""
-    out = L.window_limit(events(spark, sf), MAX, SIZE, chunk_rows=150)
+    out = L.window_limit(events(spark, sf), MAX, SIZE, chunk_rows=400)
     return out.select("key", "id", "window_start_us", "allowed", "remaining")
 
 
@@ -68,7 +68,7 @@ RATE, BURST = 1, 2
 def token_bucket_audit(spark, sf):
     """Time squeezed, so that buckets run dry; small chunks, so that every key is cut and chained."""
     fast = events(spark, sf).withColumn("ts_us", F.floor(F.col("ts_us") / 2000))
-    out = L.token_bucket(fast, requests=20, window_seconds=20, chunk_rows=150)
+    out = L.token_bucket(fast, requests=20, window_seconds=20, chunk_rows=400)
     return out.select("key", "id", "allowed", "tokens")
 
 
@@ -176,7 +176,7 @@ def guard_stream(spark, sf):
         ).alias("body"),
     )
     audit, out = scratch(spark, "audit"), scratch(spark, "guarded")
-    jobs.guard_stream(raw, F.col("session"), "payload_id", audit, out, scratch(spark, "guard-checkpoint")).awaitTermination()
+    jobs.guard_stream(raw, F.col("session"), "payload_id", audit, out, scratch(spark, "guard-checkpoint"), buckets=8).awaitTermination()
     released = spark.read.parquet(f"{out}/released")
     counts = released.groupBy(F.concat(F.lit("released "), "decision.action").alias("what")).agg(F.count("body_out").alias("n"))
     rows = tracks.read_track(spark, audit, "full").unionByName(tracks.read_track(spark, audit, "clean"))

@@ -141,7 +141,7 @@ RESULT_SQL = "case when turn % 3 = 0 then null else '{\"out\": ' || {jq:text} ||
 )
 def tool_result_detect(spark, sf):
     res = F.to_json(F.try_parse_json(F.expr(data.spark_text(RESULT_SQL))))
-    df = data.table(spark, sf, "conversations").withColumn("res", pin(res))
+    df = data.turns_or_texts(spark, sf, "conversations").withColumn("res", pin(res))
     return df.select("conv_id", "turn", D.combine(D.detector_results(RULES, tool_result=F.col("res")))["reason"].alias("reason"))
 
 
@@ -267,7 +267,7 @@ CONV = f"with conv as (select conv_id, turn, role, text || ' mail user' || (turn
 
 def _conv(spark, sf):
     tail = F.expr("' mail user' || (turn % 2) || '@example.com password: user' || (turn % 2) || '@example.com token pw' || turn")
-    return data.table(spark, sf, "conversations").withColumn("text", F.concat("text", tail))
+    return data.turns_or_texts(spark, sf, "conversations").withColumn("text", F.concat("text", tail))
 
 
 @query("redact_messages", f"{CONV} select conv_id, turn, role, t as content, len(r) as n_values from redacted")

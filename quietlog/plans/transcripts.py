@@ -153,7 +153,7 @@ PLANTED_TURN = "text || case turn % 4 when 1 then ' my secret' when 2 then ' hos
 )
 def policy_rollup(spark, sf):
     """Turns as nodes, folded per conversation."""
-    df = data.table(spark, sf, "conversations").withColumn("text", F.expr(PLANTED_TURN))
+    df = data.turns_or_texts(spark, sf, "conversations").withColumn("text", F.expr(PLANTED_TURN))
     nodes = df.withColumn("d", pin(D.combine(D.detector_results(RULES, message=F.col("text")))))
     return rollup_nodes(nodes.select("conv_id", F.col("turn").alias("node_idx"), "d.rank", "d.reason"), "conv_id")
 
@@ -175,6 +175,8 @@ def context_payload_select(spark, sf):
 
 # ---- tracks
 
+FEW = 8  # buckets for test data
+
 
 def _entries(spark, sf):
     """Messages with an optional clean text or placeholder, some of them invalid."""
@@ -201,7 +203,7 @@ DUCK_CLEAN = f"""with {DUCK_ENTRIES}, src as (select *, full_text as text from e
 def _stored(spark, sf):
     path = scratch(spark, "tracks")
     usable, _ = T.valid(_entries(spark, sf))
-    T.append_tracks(T.ingest(usable, redact_flag="redact"), path)
+    T.append_tracks(T.ingest(usable, redact_flag="redact"), path, buckets=FEW)
     return path
 
 
@@ -257,7 +259,7 @@ def session_list(spark, sf):
 
 @query("session_load", f"{DUCK_CLEAN} select session_id, seq, role, 'clean' as track, clean_text as content from msgs where session_id = '3' order by seq desc limit 3")
 def session_load(spark, sf):
-    return T.load_session(spark, _stored(spark, sf), "3", limit=3).select("session_id", "seq", "role", "track", "content")
+    return T.load_session(spark, _stored(spark, sf), "3", limit=3, buckets=FEW).select("session_id", "seq", "role", "track", "content")
 
 
 @query(
@@ -294,7 +296,7 @@ WEIGHTED = f"""with {SRC}, {TOKENS}, w as (select s, i, token, count(*) * case s
 
 
 def _docs(spark, sf):
-    turns = data.table(spark, sf, "conversations")
+    turns = data.turns_or_texts(spark, sf, "conversations")
     docs = turns.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("index"), F.expr(CTX_TEXT).alias("text"))
     asks = turns.filter("turn = 0").select(F.col("conv_id").alias("session_id"), F.expr(ASK).alias("query"))
     return docs, asks

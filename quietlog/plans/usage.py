@@ -40,9 +40,9 @@ def with_stamp(df):
     return df.withColumn("ts_us", F.unix_micros("timestamp")).drop("timestamp")
 
 
-def log(spark, sf):
+def log(spark, sf, bodies=False):
     """The log as the reference stores it: client address resolved, helper columns gone."""
-    df = data.requests(spark, sf).withColumn("client_ip", U.client_of(F.col("xff"), F.col("remote")))
+    df = data.requests(spark, sf, bodies).withColumn("client_ip", U.client_of(F.col("xff"), F.col("remote")))
     return df.drop("xff", "remote", "session_header")
 
 
@@ -114,7 +114,7 @@ BODY_LEN = "strlen('ask ' || id || ' é')"
       (select id, case when id % 97 = 0 then '{{}}' else request_body end as request_body from requests) r""",
 )
 def request_body_parse(spark, sf):
-    df = request_log.parse_bodies(data.requests(spark, sf).select("id", "request_body"))
+    df = request_log.parse_bodies(data.requests(spark, sf, bodies=True).select("id", "request_body"))
     return df.select("id", "model", "stream", "input_tokens")
 
 
@@ -204,7 +204,7 @@ SESSION = f"""{LOG}, s as (select input_tokens, output_tokens, coalesce(nullif(t
 def sessionize_requests(spark, sf):
     """Requests without a session get one of their own (the row id stands in for a random one)."""
     headers = F.create_map(F.lit("X-Session-Id"), F.col("session_header"))
-    df = data.requests(spark, sf).withColumn("payload", parse_object(F.col("request_body")))
+    df = data.requests(spark, sf, bodies=True).withColumn("payload", pin(parse_object(F.col("request_body"))))
     sid = session_of(headers, F.col("payload"), F.concat(F.lit("request-"), F.col("id")))
     return U.usage_by(df, sid.alias("session_id"))
 
@@ -326,7 +326,7 @@ ODD_TEXT = """case id % 5 when 0 then 'ab' || id || 't' when 1 then 'o' || id ||
 def extract_response_text(spark, sf):
     from quietlog.functions.tokens import response_text
 
-    df = log(spark, sf).filter("status = 'completed'").select("id", parse_object(F.expr(ODD_BODY)).alias("v"))
+    df = log(spark, sf, bodies=True).filter("status = 'completed'").select("id", pin(parse_object(F.expr(ODD_BODY))).alias("v"))
     return df.select("id", F.when(F.col("v").isNotNull(), response_text(F.col("v"))).alias("text"))
 
 
@@ -339,7 +339,7 @@ def extract_response_text(spark, sf):
       (input_tokens + coalesce(nullif(reported, 0), nullif(length(text) // 2, 0), length(body) // 2))::int as total_tokens from u""",
 )
 def usage_extract(spark, sf):
-    df = log(spark, sf).filter("status = 'completed'").withColumn("b", F.expr(ODD_BODY))
+    df = log(spark, sf, bodies=True).filter("status = 'completed'").withColumn("b", F.expr(ODD_BODY))
     df = df.withColumn("v", pin(parse_object(F.col("b"))))
     out = df.select("id", "input_tokens", pin(output_tokens(F.col("b"), F.col("v"))).alias("output_tokens"))
     return out.select("id", "output_tokens", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))

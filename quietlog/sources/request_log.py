@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietlog.functions.payload import parse_object, vget, vkind, vstring
-from quietlog.functions.text import let
+from quietlog.functions.text import let, pin
 from quietlog.functions.tokens import input_tokens_of
 from quietlog.schemas import REQUESTS
 
@@ -74,7 +74,7 @@ def parse_bodies(df: DataFrame, body: str = "request_body") -> DataFrame:
     v = F.col("payload")
     streaming = let(vget(v, "$.stream"), lambda s: F.when(vkind(s) == "BOOLEAN", vget(s, "$", "boolean")))
     return (
-        df.withColumn("payload", parse_object(F.col(body)))
+        df.withColumn("payload", pin(parse_object(F.col(body))))
         .withColumn("model", F.coalesce(vstring(v, "$.model"), F.lit("")))
         .withColumn("stream", F.coalesce(streaming, F.lit(False)))
         .withColumn("input_tokens", F.coalesce(input_tokens_of(v), F.lit(0)))

@@ -23,8 +23,8 @@ TRIM_BYTES = 8 * 1024 * 1024
 MAX_ENTRIES = 2000
 
 
-def bucket_of(session: Column) -> Column:
-    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+def bucket_of(session: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int")
 
 
 def valid(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,11 +73,11 @@ def dual_rows(entries: DataFrame) -> DataFrame:
     )
 
 
-def append_tracks(entries: DataFrame, path: str, mode: str = "append") -> None:
-    """Append entries to both tracks.  Rebalancing merges small pieces and splits a heavy bucket."""
+def append_tracks(entries: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
+    """Append entries to both tracks; `buckets` is a property of the table.  Rebalancing merges small pieces and splits a heavy bucket."""
     (
         dual_rows(entries)
-        .withColumn("bucket", bucket_of(F.col("session_id")))
+        .withColumn("bucket", bucket_of(F.col("session_id"), buckets))
         .hint("rebalance", "track", "bucket")
         .write.mode(mode)
         .partitionBy("track", "bucket")
@@ -85,7 +85,7 @@ def append_tracks(entries: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def read_track(spark: SparkSession, path: str, track: str = "clean", session: str | None = None) -> DataFrame:
+def read_track(spark: SparkSession, path: str, track: str = "clean", session: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """One track; malformed lines are skipped.  A session reads only its bucket.
 
     `path` may hold one folder per streaming batch (`batch=<n>`).
@@ -100,13 +100,15 @@ def read_track(spark: SparkSession, path: str, track: str = "clean", session: st
         .filter(F.col("track") == track)
     )
     if session is not None:
-        df = df.filter((F.col("bucket") == bucket_of(F.lit(session))) & (F.col("session_id") == session))
+        df = df.filter((F.col("bucket") == bucket_of(F.lit(session), buckets)) & (F.col("session_id") == session))
     return df.drop("bucket", "batch")
 
 
-def load_session(spark: SparkSession, path: str, session: str, track: str | None = None, limit: int = 0) -> DataFrame:
+def load_session(
+    spark: SparkSession, path: str, session: str, track: str | None = None, limit: int = 0, buckets: int = BUCKETS
+) -> DataFrame:
     """A session in order, optionally only its last `limit` messages; track defaults to clean."""
-    df = read_track(spark, path, (track or "").strip() or "clean", session)
+    df = read_track(spark, path, (track or "").strip() or "clean", session, buckets)
     if limit > 0:
         df = df.orderBy(F.desc("seq")).limit(limit)
     return df.orderBy("seq").select("session_id", "track", "seq", "role", "content", "timestamp_ms", "metadata")

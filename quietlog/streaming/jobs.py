@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quietlog.functions.rules import Policy
 from quietlog.operators.guard import audit_entries, guard
 from quietlog.sources.request_log import RESPONSE_COLUMNS
-from quietlog.sources.tracks import append_tracks
+from quietlog.sources.tracks import BUCKETS, append_tracks
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -141,6 +141,7 @@ def guard_stream(
     checkpoint: str,
     policy: Policy = Policy(),
     body: str = "body",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Guard a stream of payloads and keep both audit tracks, failing closed.
 
@@ -155,7 +156,7 @@ def guard_stream(
         guard(batch.withColumn("_session", session), policy, body).write.mode("overwrite").parquet(staged)
         done = spark.read.parquet(staged)
         entries = audit_entries(done, F.col("_session"), key).withColumn("timestamp_ms", F.unix_millis(F.current_timestamp()))
-        append_tracks(entries, f"{audit_path}/batch={batch_id}", mode="overwrite")
+        append_tracks(entries, f"{audit_path}/batch={batch_id}", mode="overwrite", buckets=buckets)
         released = done.select(key, "decision", "status_code", "body_out")
         released.write.mode("overwrite").parquet(f"{out_path}/released/batch={batch_id}")
 

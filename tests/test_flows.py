@@ -132,8 +132,9 @@ def test_context(spark):
     top = select_context(docs, ask, top_k=1).collect()
     assert [(r.session_id, r["index"]) for r in top] == [("s", 0)]
     everything = select_context(docs, ask, top_k=0).orderBy("rank").collect()
-    assert [(r["index"], r.score > 0) for r in everything] == [(0, True), (2, False)]
-    assert select_context(docs, ask, min_score=0.01).count() == 1
+    # the second text shares only the 3-grams nin and ing
+    assert [(r["index"], r.score > 0.5) for r in everything] == [(0, True), (2, False)]
+    assert select_context(docs, ask, min_score=0.5).count() == 1
 
 
 def test_block_request(spark):
