@@ -72,35 +72,25 @@ def response_text(v: Column) -> Column:
     def absent(*values):
         return F.coalesce(*values).isNull()
 
-    def content(x):
-        """Is a message or delta of the usual shape, and its text."""
-
-        def body(p):
-            others = absent(p.output_text, p.text, p.message, p.delta, p.choices)
-            text = as_text(p.content)
-            usual = p.isNotNull() & others & (p.content.isNull() | F.is_variant_null(p.content) | text.isNotNull())
-            return F.struct((x.isNull() | usual).alias("ok"), F.coalesce(text, F.lit("")).alias("text"))
-
-        return let(vget(x, "$", PART), body)
-
-    def choice(c):
-        def join(m, d):
-            flat = c.isNotNull() & absent(c.output_text, c.content, c.text, c.choices) & m.ok & d.ok
-            return F.struct(F.coalesce(flat, F.lit(False)).alias("ok"), F.concat(m.text, d.text).alias("text"))
-
-        return let(content(c.message), lambda m: let(content(c.delta), lambda d: join(m, d)))
-
-    def assemble(choices):
-        parts = F.transform(choices, choice)
-        return let(
-            parts,
-            lambda ps: F.when(
-                F.coalesce(F.forall(ps, lambda p: p.ok), F.lit(False)), F.array_join(F.transform(ps, lambda p: p.text), "")
-            ),
-        )
-
+    def piece(given, p):
+        """Text of a message or delta; null where its shape is not the usual one."""
+        text = as_text(p.content)
+        flat = p.isNotNull() & absent(p.output_text, p.text, p.message, p.delta, p.choices)
+        none = p.content.isNull() | F.is_variant_null(p.content)
+        return F.when(given.isNull(), "").when(flat & none, "").when(flat, text)
+
+    def choice_text(s):
+        c = s.c
+        flat = c.isNotNull() & absent(c.output_text, c.content, c.text, c.choices)
+        return F.when(flat, F.concat(piece(c.message, s.m), piece(c.delta, s.d)))
+
+    def opened(c):
+        return F.struct(c.alias("c"), vget(c.message, "$", PART).alias("m"), vget(c.delta, "$", PART).alias("d"))
+
+    # one flat step after the other: Arrow arguments must not hold lambdas inside lambdas
     plain = absent(*[vget(v, f"$.{k}") for k in TEXT_KEYS])
-    usual_text = F.when(plain, let(vget(v, "$.choices", f"array<{CHOICE}>"), assemble))
+    texts = F.transform(F.transform(vget(v, "$.choices", f"array<{CHOICE}>"), opened), choice_text)
+    usual_text = F.when(plain, F.aggregate(texts, F.lit(""), lambda a, t: F.concat(a, t)))
     odd = _response_text_batch(F.when(usual_text.isNull(), F.to_json(v)))
     return F.coalesce(usual_text, odd, F.lit(""))
 
