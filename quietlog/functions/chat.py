@@ -34,8 +34,8 @@ def json_text(v: Column) -> Column:
 
 
 def json_string(s: Column) -> Column:
-    """A string as a JSON literal."""
-    return F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]\z", "")
+    """A string as a JSON literal; null stays null."""
+    return F.when(s.isNotNull(), F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]\z", ""))
 
 
 def json_object(**fields: Column) -> Column:
