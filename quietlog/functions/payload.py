@@ -248,6 +248,25 @@ def write_back(body: Column, changes: Column) -> Column:
     )
 
 
+def request_options(v: Column, configured=R.DEFAULT_ON, from_scratch: bool = False) -> dict[str, Column]:
+    """Redaction switches of a request: booleans below `options` (or `redaction_options`) over the configured ones.
+
+    `from_scratch`: once a request brings options, all others are off.
+    """
+
+    def objects(path):
+        return let(vget(v, path), lambda o: F.when(vkind(o) == "OBJECT", o))
+
+    given = F.coalesce(objects("$.options"), objects("$.redaction_options"))
+
+    def switch(name):
+        asked = let(vget(given, f"$.{name}"), lambda b: F.when(vkind(b) == "BOOLEAN", vget(b, "$", "boolean")))
+        default = F.lit(name in configured)
+        return F.coalesce(asked, F.when(given.isNotNull(), False).otherwise(default) if from_scratch else default)
+
+    return {name: switch(name) for name in R.OPTION_NAMES}
+
+
 def context_payload(v: Column) -> Column:
     """struct<mode, value variant>: first present context key; mode 'text', 'messages', 'error' or 'missing'."""
     pick = F.coalesce(*[vget(v, f"$.{k}") for k in CONTEXT_KEYS])

@@ -155,11 +155,6 @@ def mask(c: Column) -> Column:
     return F.when(F.octet_length(c) <= 8, "****").otherwise(F.concat(head, F.lit("****"), tail))
 
 
-def dashboard(stats_row: DataFrame, limiter: DataFrame, provider: DataFrame) -> DataFrame:
-    """Stats, limiter state and provider, all single rows, side by side."""
-    return stats_row.crossJoin(F.broadcast(limiter)).crossJoin(F.broadcast(provider))
-
-
 def pending_timeouts(requests: DataFrame, completions: DataFrame, as_of: Column, seconds: int = 120) -> DataFrame:
     """Requests older than the time-out that no completion exists for."""
     old = requests.filter(F.col("timestamp") < as_of - F.make_interval(secs=F.lit(seconds)))

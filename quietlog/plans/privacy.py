@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quietlog.functions import detect as D
 from quietlog.functions import rules as R
+from quietlog.functions.payload import parse_object, request_options
 from quietlog.functions.redact import redact
 from quietlog.functions.restore import decode_token, encode_token, html_escape
 from quietlog.functions.text import is_blank, normalize, pin
@@ -247,10 +248,11 @@ PER_ROW = {"credit_card": "doc_id % 2 = 0", "email": "doc_id % 64 < 32", "pin":
     select doc_id, t as redacted, {S.shown()} as replaced from redacted""",
 )
 def redaction_options(spark, sf):
-    """Options given per row over the defaults."""
-    switches = {k: F.expr(v) for k, v in PER_ROW.items()}
-    df = C.redact_corpus(data.corpus(spark, sf), options=R.DEFAULT_ON, option_columns=switches)
-    return df.select("doc_id", "redacted", shown(F.col("replacements")).alias("replaced"))
+    """Options brought along per row as JSON, over the defaults."""
+    flags = F.struct(*[F.expr(v).alias(k) for k, v in PER_ROW.items()]).alias("options")
+    df = data.corpus(spark, sf).withColumn("request", pin(parse_object(F.to_json(F.struct(flags)))))
+    done = C.redact_corpus(df, options=(), option_columns=request_options(F.col("request")))
+    return done.select("doc_id", "redacted", shown(F.col("replacements")).alias("replaced"))
 
 
 @query(

@@ -158,3 +158,15 @@ def test_session_ids(spark):
     v = P.parse_object(F.lit('{"session_id": 4, "thread_id": "t/1"}'))
     row = spark.range(1).select(session_of(headers, v, F.lit("f")).alias("a"), session_of(none, v, F.lit("f")).alias("b")).first()
     assert (row.a, row.b) == ("h", "t_1")
+
+
+def test_request_options(spark):
+    bodies = ['{"options": {"email": false, "pin": true, "env_var": "yes"}}', '{"redaction_options": {"pin": true}}', "{}"]
+    df = spark.createDataFrame([(b,) for b in bodies], "b string").withColumn("v", P.parse_object(F.col("b")))
+
+    def on(**kw):
+        flags = P.request_options(F.col("v"), **kw)
+        return [{k for k, x in r.asDict().items() if x} for r in df.select(*[c.alias(k) for k, c in flags.items()]).collect()]
+
+    assert on() == [{"pin", "chinese_phone", "chinese_id"}, {"pin", *R.DEFAULT_ON}, set(R.DEFAULT_ON)]
+    assert on(from_scratch=True) == [{"pin"}, {"pin"}, set(R.DEFAULT_ON)]
