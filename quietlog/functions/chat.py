@@ -12,7 +12,6 @@ from quietlog.functions.tokens import whole
 
 # Finish reasons, and field names whose null means an empty list or object.
 FINISH_REASONS = {"stop": "end_turn", "length": "max_tokens", "tool_calls": "tool_use"}
-DEFAULT_MESSAGE_ID = "msg_coding_plan_mask"
 LIST_FIELDS = """
 required enum examples prefixItems context anyOf allOf oneOf commands options arguments parameters variables
 includes excludes defs definitions $defs schemas security servers paths tags externalDocs discriminator xml
@@ -22,6 +21,8 @@ OBJECT_FIELDS = """
 properties patternProperties dependencies dependentSchemas propertyNames unevaluatedItems unevaluatedProperties
 contentSchema
 """.split()
+# id of messages that come without one; callers may give their own
+DEFAULT_MESSAGE_ID = "msg_converted"
 COPIED_KEYS = ("model", "max_tokens", "temperature", "top_p", "stream")
 
 
@@ -330,7 +331,7 @@ def with_chat_request(df: DataFrame, body: str = "body") -> DataFrame:
     return out.withColumn("chat_body", chat_body).drop("_flat", "_tools")
 
 
-def block_message(body: Column) -> Column:
+def block_message(body: Column, default_id: str = DEFAULT_MESSAGE_ID) -> Column:
     """struct<error, id, model, content array<string>, stop_reason, input_tokens, output_tokens> of a chat response.
 
     `content` holds the JSON of the text block and the tool_use blocks.
@@ -359,7 +360,7 @@ def block_message(body: Column) -> Column:
         missing = vget(v, "$.choices[0]").isNull()
         return F.struct(
             F.when(v.isNull(), "invalid json").when(missing, "missing choices").alias("error"),
-            F.coalesce(F.nullif(vstring(v, "$.id"), F.lit("")), F.lit(DEFAULT_MESSAGE_ID)).alias("id"),
+            F.coalesce(F.nullif(vstring(v, "$.id"), F.lit("")), F.lit(default_id)).alias("id"),
             F.coalesce(vstring(v, "$.model"), F.lit("")).alias("model"),
             F.concat(F.coalesce(text_block, none), F.coalesce(uses, none)).alias("content"),
             map_finish_reason(reason).alias("stop_reason"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 200_000
+MAX_CHUNKS = 20_000  # per key, which bounds the chain of summaries; beyond it chunks grow instead
 ONE = 1_000_000  # a token, in millionths; also a second in microseconds
 
 
@@ -22,7 +23,7 @@ def _chunked(events: DataFrame, chunk_rows: int) -> DataFrame:
     per_key = events.groupBy("key").agg(
         F.count("*").alias("n"), F.min("ts_us").alias("t0"), (F.max("ts_us") - F.min("ts_us") + 1).alias("span")
     )
-    chunks = F.ceil(F.col("n") / chunk_rows)
+    chunks = F.least(F.ceil(F.col("n") / chunk_rows), F.lit(MAX_CHUNKS))
     width = F.greatest(F.ceil(F.col("span") / chunks), F.lit(1)).cast("long")
     plan = per_key.select("key", "t0", chunks.cast("long").alias("chunks"), width.alias("width"))
     chunk = F.floor((F.col("ts_us") - F.col("t0")) / F.col("width")).cast("long")
@@ -66,6 +67,8 @@ def window_limit(events: DataFrame, max_requests: int = 100, size_seconds: int =
             root = further
         # consecutive starts with the same end are one step of the function
         last = np.flatnonzero(np.append(np.diff(root) != 0, True))
+        # a window open on entry began before the chunk, so it ends within `size` of the first event
+        last = last[: np.searchsorted(t[last], t[0] + size, side="right") + 1]
         key, chunk = pdf["key"].iloc[0], pdf["chunk"].iloc[0]
         return pd.DataFrame(
             {"key": key, "chunk": chunk, "n": n, "upto": t[last], "start": t[root[last]], "count": n - root[last]}

@@ -202,7 +202,7 @@ def chat(spark, sf):
 @query(
     "chat_to_blocks",
     f"""with {CHAT_DUCK} select id, case when id % 7 = 6 then 'missing choices' end as error,
-      case when id % 7 = 6 then 'e' when id % 2 = 0 then 'r' || id else 'msg_coding_plan_mask' end as message_id,
+      case when id % 7 = 6 then 'e' when id % 2 = 0 then 'r' || id else 'msg_converted' end as message_id,
       case when id % 7 = 6 then null else {REASON} end as stop_reason,
       case when id % 7 = 6 then 0 else turn end as input_tokens, case when id % 7 = 6 then 0 else 2 end::bigint as output_tokens,
       case when id % 7 = 6 or id % 3 = 2 then null else text end as text,

@@ -182,7 +182,7 @@ def test_chat_response(spark):
     df = spark.createDataFrame([(json.dumps(body),), ('{"choices": []}',), ("nope",)], "b string")
     a, b, c = [r.x for r in df.select(H.block_message(F.col("b")).alias("x")).collect()]
     assert [json.loads(x) for x in a.content] == [{"type": "text", "text": "pong"}, {"type": "tool_use", "id": "c", "name": "f", "input": {"a": 1}}]
-    assert (a.id, a.stop_reason, a.input_tokens, a.output_tokens, a.error) == ("msg_coding_plan_mask", "end_turn", 3, 2, None)
+    assert (a.id, a.stop_reason, a.input_tokens, a.output_tokens, a.error) == ("msg_converted", "end_turn", 3, 2, None)
     assert (b.error, c.error) == ("missing choices", "invalid json")
 
 
