@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -30,13 +33,46 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder of `spark.checkpoint.dir`; a temporary one only if unset."""
+_own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; on a local master, where it may be unset, a temporary one.
+
+    Executors of a cluster do not see the driver's disk, so there an unset folder is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quietlog-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="quietlog-")
+    return _own[context.applicationId]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared folder; `release` or the end of the driver removes the folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all scratch folders of the session; results that still read them are not to be used any more."""
+    for entry in [e for e in _made if e[0] is spark]:
+        _made.remove(entry)
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in {id(s): s for s, _ in _made}.values():
+        with contextlib.suppress(Exception):  # a stopped session or a closed gateway
+            release(spark)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quietlog.plans.registry import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -48,5 +48,9 @@ def test_query_matches_oracle(spark, duck, name):
     assert table(df.columns, df.collect()) == table(want.columns, want.fetchall())
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
