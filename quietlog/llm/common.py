@@ -60,3 +60,10 @@ def mixed(values: np.ndarray) -> np.ndarray:
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
+
+
+def ranges(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of equal neighbours."""
+    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
+    bounds = np.concatenate([[0], cut, [len(values)]]) if len(values) else np.zeros(1, np.int64)
+    return bounds[:-1], bounds[1:]

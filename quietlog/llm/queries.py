@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import bpe, chat_format, language, warc
+from quietlog.llm import bpe, chat_format, fingerprints, language, near_dups, packing, repeats, warc
 from quietlog.llm.common import table
 
 #: the tokenizer's file on every executor
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, language.fit(docs.where(~language.held_out() & F.col("doc_id").isNotNull())))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(table(spark, folder, "documents"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), TOKENIZER)
 
@@ -38,11 +42,27 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.formatted(rows))
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compared(table(spark, folder, "documents"))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), TOKENIZER)
+
+
+def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.groups(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe": op5_bpe,
     "op7_chat_format": op7_chat_format,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_packing": op9_packing,
+    "op10_near_dups": op10_near_dups,
 }
 
 ORACLE: dict[str, str] = {
