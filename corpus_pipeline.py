@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import language
+from quietlog.llm import language, near_dups, packing, pii, repeats
 from quietlog.llm.common import table
+from quietlog.llm.queries import TOKENIZER
 from quietlog.session import staged
 
 
@@ -17,7 +18,33 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.accepted(docs, language.fit(docs.where(~language.held_out() & F.col("doc_id").isNotNull())))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language_id", identify)]
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    return near_dups.deduplicated(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that come earlier in the corpus."""
+    return repeats.removed(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with placeholders for personal data."""
+    return pii.redacted(docs, pii.train(pii.labelled()))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents in sequences."""
+    return packing.packed(docs, TOKENIZER)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify),
+    ("near_dups", deduplicate),
+    ("suffix_dedup", cut_repeats),
+    ("pii", redact),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
