@@ -52,7 +52,7 @@ def cuts(place: list[int], price: list[int], width: int = WIDTH) -> list[int]:
         least = value[low] + width - p
         for power in POWERS:
             i = at.get(p - power)
-            if i is not None and cost[i] < least:
+            if i is not None and power < width and cost[i] < least:
                 least, low = cost[i], i
         cost[j], back[j] = least + price[j], low
         value[j] = v = least + price[j] + p
