@@ -40,6 +40,43 @@ def parse_object(body: Column) -> Column:
     return F.when(F.ltrim(body, F.lit(" \t\n\r")).startswith("{"), F.try_parse_json(body))
 
 
+@F.arrow_udf(T.StringType())
+def _respelled_batch(bodies):
+    """JSON objects spelled anew, the last of equal keys kept; null for what is no JSON, '' for what is too deep."""
+    import json
+
+    import pyarrow as pa
+
+    def one(body):
+        try:
+            doc = json.loads(body)
+            return json.dumps(doc, ensure_ascii=False) if isinstance(doc, dict) else None
+        except RecursionError:
+            return ""
+        except ValueError:
+            return None
+
+    return pa.array([None if b is None else one(b) for b in bodies.to_pylist()], pa.string())
+
+
+def with_payload(df: DataFrame, body: str = "body") -> DataFrame:
+    """Add `payload` (variant, null if the body is no JSON object), `unread` ('size', 'depth' or null) and `read_body`.
+
+    A body with equal keys is read with the last of them.  What is an object but can't be taken apart is
+    `unread`, and must not be taken for one without text.
+    """
+    fits = F.coalesce(F.octet_length(body) <= R.MAX_BODY_BYTES, F.lit(True))
+    first = parse_object(F.when(fits, F.col(body)))
+    df = df.withColumn("_fits", fits).withColumn("_first", pin(first))
+    again = F.when(F.col("_fits") & F.col("_first").isNull() & F.ltrim(F.col(body), F.lit(" \t\n\r")).startswith("{"), F.col(body))
+    df = df.withColumn("_again", _respelled_batch(again))
+    df = df.withColumn("payload", pin(F.coalesce("_first", F.try_parse_json("_again"))))
+    deep = F.col("_again").isNotNull() & F.col("payload").isNull()
+    unread = F.when(~F.col("_fits"), "size").when(deep, "depth")
+    df = df.withColumn("unread", pin(unread)).withColumn("read_body", F.coalesce("_again", body))
+    return df.drop("_fits", "_first", "_again")
+
+
 def _root(role, kind, prefix, addr, text) -> Column:
     return F.struct(
         role.alias("role"), F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), addr.alias("addr"), text.alias("text")
@@ -188,9 +225,9 @@ def text_nodes(roots: Column, opened: Column) -> Column:
 
 
 def with_text_nodes(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add `payload` (variant, null if not an object) and `nodes`."""
+    """Add `payload` (variant, null if not an object), `unread`, `read_body` and `nodes`."""
     return (
-        df.withColumn("payload", pin(parse_object(F.col(body))))
+        with_payload(df, body)
         .withColumn("_roots", pin(text_roots(F.col("payload"))))
         .withColumn("_opened", open_roots(F.col("_roots")))
         .withColumn("nodes", pin(text_nodes(F.col("_roots"), F.col("_opened"))))
@@ -321,7 +358,8 @@ def redact_nodes(nodes: Column, policy: R.Policy, forced: Column) -> Column:
 
     def one(n):
         prefix = F.when(n.context_prefix == "", "").otherwise(F.concat(n.context_prefix, F.lit(": ")))
-        red = redact_normalized(n.clean, tuple(sorted(policy.options)), policy.rules, per_row)
+        fits = F.octet_length(n.detect_text) <= R.MAX_TEXT_BYTES  # path and raw text
+        red = redact_normalized(F.when(fits, n.clean), tuple(sorted(policy.options)), policy.rules, per_row)
         return let(
             red,
             lambda r: F.struct(

@@ -112,7 +112,7 @@ def redact_normalized(
 
     `options`: names switched on for all rows; `option_columns`: boolean columns deciding per row;
     `stages`: which groups of rules to run.
-    Text above the size limit gives null (see `sources.request_log.split_by_size` for the quarantine).
+    The size limit is one of raw text, so it is the caller's to apply (`redact`, `payload.redact_nodes`).
     """
     per_row = option_columns or {}
     chain = _chain(frozenset(options).difference(per_row), frozenset(per_row), rules, tuple(stages))
@@ -124,11 +124,11 @@ def redact_normalized(
         switches = [c.alias(name) for name, c in per_row.items()]
         return apply(F.struct(t.alias("text"), F.lower(t).alias("low"), *switches), chain)
 
-    return F.when(F.octet_length(text) <= R.MAX_TEXT_BYTES, let(clean, run))
+    return let(clean, run)
 
 
 def redact(text: Column, options=R.DEFAULT_ON, rules: R.Rules = R.Rules(), option_columns=None, stages=STAGES) -> Column:
-    """Normalise and redact.  The size limit applies to the raw text."""
+    """Normalise and redact.  Raw text above the size limit gives null (`sources.request_log.split_by_size`)."""
     small = F.when(F.octet_length(text) <= R.MAX_TEXT_BYTES, text)
     return redact_normalized(normalize(small), options, rules, option_columns, stages)
 

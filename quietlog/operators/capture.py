@@ -21,7 +21,7 @@ def chunks(lines: DataFrame) -> DataFrame:
     """Parsed chunks (stream_id, seq, chunk variant) ahead of the first [DONE]; other lines are dropped."""
     done = lines.filter(F.col("line") == DATA + DONE).groupBy("stream_id").agg(F.min("seq").alias("done_seq"))
     data = lines.filter(F.col("line").startswith(DATA) & (F.col("line") != DATA + DONE))
-    body = F.substring("line", len(DATA) + 1, 1 << 30)
+    body = F.substr("line", F.lit(len(DATA) + 1))
     return (
         data.join(done, "stream_id", "left")
         .filter(F.col("done_seq").isNull() | (F.col("seq") < F.col("done_seq")))

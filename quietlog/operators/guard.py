@@ -18,7 +18,8 @@ def guard(df: DataFrame, policy: R.Policy = R.Policy(), body: str = "body") -> D
 
     `entries`: array<struct<role, full_text, clean_text, decision>>, one per text node, for the audit
     tracks.  `body_out` is null when the payload is held back (403).  A node above the redaction size
-    limit fails the payload with 413.  Everything happens inside the row.
+    limit, or a body above the body limit, fails the payload with 413.  An object that is nested too deep
+    to be read is held back unread.  Everything happens inside the row.
     """
     if not policy.enabled:
         allow = F.struct(F.lit("S1").alias("level"), F.lit("allow").alias("action"), F.lit(None).cast("string").alias("reason"))
@@ -29,9 +30,10 @@ def guard(df: DataFrame, policy: R.Policy = R.Policy(), body: str = "body") -> D
     graded = P.with_text_nodes(df, body).withColumn("nodes", F.coalesce("nodes", F.expr(NO_NODES)))
     graded = graded.withColumn(
         "_policy",
-        pin(P.policy_rollup(P.node_decisions(F.col("nodes"), D.param_paths(F.col(body)), policy), policy)),
+        pin(P.policy_rollup(P.node_decisions(F.col("nodes"), D.param_paths(F.col("read_body")), policy), policy)),
     )
-    level_action = F.col("_policy.action")
+    too_large = F.col("unread").eqNullSafe("size")
+    level_action = F.when(F.col("unread").isNotNull(), "block").otherwise(F.col("_policy.action"))
     held = level_action.isin("review", "block")
     graded = graded.withColumn(
         "_redacted", P.redact_nodes(F.when(~held, F.col("nodes")), policy, level_action == "redact")
@@ -44,7 +46,8 @@ def guard(df: DataFrame, policy: R.Policy = R.Policy(), body: str = "body") -> D
             n.role.alias("role"),
             n.addr.alias("addr"),
             n.text.alias("full_text"),
-            F.when(held, hold_text).when(replaced, r.text).otherwise(n.text).alias("clean_text"),
+            # no redacted text: the node is above the limit, and has no clean text either
+            F.when(held, hold_text).when(replaced, r.text).when(r.text.isNotNull(), n.text).alias("clean_text"),
             F.when(held, level_action).when(replaced, "redact").otherwise("allow").alias("decision"),
         )
 
@@ -57,10 +60,10 @@ def guard(df: DataFrame, policy: R.Policy = R.Policy(), body: str = "body") -> D
         lambda e: F.struct(e.addr.alias("addr"), e.clean_text.alias("text")),
     )
     decision = F.struct(
-        F.col("_policy.level").alias("level"),
+        F.when(F.col("unread").isNotNull(), "S3").otherwise(F.col("_policy.level")).alias("level"),
         F.when((level_action == "allow") & any_redacted, "redact").otherwise(level_action).alias("action"),
         F.when((level_action == "allow") & any_redacted, F.coalesce("_policy.reason", F.lit(DEFAULT_REASON)))
-        .otherwise(F.col("_policy.reason"))
+        .otherwise(F.coalesce(F.concat(F.lit("payload not readable: "), F.col("unread")), F.col("_policy.reason")))
         .alias("reason"),
     )
     pass_on = ~held & ~too_long
@@ -69,7 +72,7 @@ def guard(df: DataFrame, policy: R.Policy = R.Policy(), body: str = "body") -> D
     return graded.select(
         *[F.col(c) for c in df.columns],
         decision.alias("decision"),
-        F.when(held, 403).when(too_long, 413).otherwise(200).alias("status_code"),
+        F.when(too_large, 413).when(held, 403).when(too_long, 413).otherwise(200).alias("status_code"),
         "entries",
         F.when(pass_on, rewritten).alias("body_out"),
     )
@@ -80,23 +83,40 @@ NO_ENTRIES = "cast(array() as array<struct<role:string,addr:string,full_text:str
 NO_CHANGES = "cast(array() as array<struct<addr:string,text:string>>)"
 
 
-def audit_entries(guarded: DataFrame, session: Column, key: str) -> DataFrame:
+#: bits of `seq` for the place of an entry in its payload: a text takes three bytes of a body at least, and a comma
+PLACE_BITS = 22
+
+
+def audit_entries(
+    guarded: DataFrame, session: Column, key: str, order: Column | None = None, path: Column | None = None, method: Column | None = None
+) -> DataFrame:
     """Audit rows of guarded payloads, ready for `sources.tracks.append_tracks`.
 
-    `seq` orders entries inside a payload; a session's order is (payload key, seq).
+    `order`: a payload's place in its session (0 and up, below 2^41); with it, `seq` is the order of the whole
+    session, without it, of the entries of a payload.  `path` and `method` of the request go into the metadata.
+    Entries of a payload that failed for size have no clean text and are not kept.
     """
-    rows = guarded.select(F.col(key), session.alias("session_id"), "decision", F.posexplode("entries").alias("seq", "e"))
+    given = [F.map_from_entries(F.array(F.struct(F.lit(n), F.coalesce(c, F.lit(""))))) for n, c in (("path", path), ("method", method)) if c is not None]
+    place = F.col("place") if order is None else F.shiftleft(F.col("order"), PLACE_BITS) + F.col("place")
+    rows = guarded.select(
+        F.col(key),
+        session.alias("session_id"),
+        "decision",
+        (F.lit(0) if order is None else order).cast("long").alias("order"),
+        (F.map_concat(*given) if given else F.expr("cast(map() as map<string,string>)")).alias("request"),
+        F.posexplode("entries").alias("place", "e"),
+    ).filter(F.col("e.clean_text").isNotNull())
     held = F.col("decision.action").isin("review", "block")
     meta = F.create_map(F.lit("decision"), F.col("e.decision"), F.lit("level"), F.col("decision.level"))
     reason = F.create_map(F.lit("reason"), F.coalesce("decision.reason", F.lit("")))
     return rows.select(
         key,
         "session_id",
-        F.col("seq").cast("long").alias("seq"),
+        place.cast("long").alias("seq"),
         F.col("e.role").alias("role"),
         F.col("e.full_text").alias("full_text"),
         F.col("e.clean_text").alias("clean_text"),
-        F.when(held, F.map_concat(meta, reason)).otherwise(meta).alias("metadata"),
+        F.map_concat("request", F.when(held, F.map_concat(meta, reason)).otherwise(meta)).alias("metadata"),
     )
 
 

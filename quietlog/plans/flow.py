@@ -176,7 +176,7 @@ def guard_stream(spark, sf):
         ).alias("body"),
     )
     audit, out = scratch(spark, "audit"), scratch(spark, "guarded")
-    jobs.guard_stream(raw, F.col("session"), "payload_id", audit, out, scratch(spark, "guard-checkpoint"), buckets=8).awaitTermination()
+    jobs.guard_stream(raw, F.col("session"), "payload_id", audit, out, scratch(spark, "guard-checkpoint"), buckets=8, order=F.col("payload_id")).awaitTermination()
     released = spark.read.parquet(f"{out}/released")
     counts = released.groupBy(F.concat(F.lit("released "), "decision.action").alias("what")).agg(F.count("body_out").alias("n"))
     rows = tracks.read_track(spark, audit, "full").unionByName(tracks.read_track(spark, audit, "clean"))

@@ -235,7 +235,7 @@ for _name, _stages, _options in (
 def redact_with_prefix(spark, sf):
     prefix = F.lit("config.password: ")
     df = data.corpus(spark, sf).withColumn("r", pin(redact(F.concat(prefix, "text"))["text"]))
-    cut = F.when(F.col("r").startswith(prefix), F.substring("r", 18, 1 << 30)).otherwise(F.col("r"))
+    cut = F.when(F.col("r").startswith(prefix), F.substr("r", F.lit(18))).otherwise(F.col("r"))
     return df.select("doc_id", cut.alias("redacted"))
 
 

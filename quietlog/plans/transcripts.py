@@ -194,7 +194,7 @@ def _entries(spark, sf):
 
 
 DUCK_ENTRIES = """entries as (select conv_id::varchar as session_id, turn as seq, role, text || ' token tk' as full_text,
-  case turn when 1 then 'clean 1' when 2 then '[HIDDEN]' when 3 then null else text || ' token tk' end as given from conversations where turn < 5)"""
+  case turn when 1 then 'clean 1' when 2 then '[HIDDEN]' when 3 then null else text || ' token tk' end as given from conversations where turn not in (5, 6, 7))"""
 # the clean text of redacted turns needs the redaction chain
 DUCK_CLEAN = f"""with {DUCK_ENTRIES}, src as (select *, full_text as text from entries),
   {S.redaction_ctes('src', 'seq', R.DEFAULT_ON)}, msgs as (select session_id, seq, role, full_text, coalesce(given, t) as clean_text from redacted)"""
@@ -202,7 +202,7 @@ DUCK_CLEAN = f"""with {DUCK_ENTRIES}, src as (select *, full_text as text from e
 
 def _stored(spark, sf):
     path = scratch(spark, "tracks")
-    usable, _ = T.valid(_entries(spark, sf))
+    usable, _ = T.valid(_entries(spark, sf), "redact")
     T.append_tracks(T.ingest(usable, redact_flag="redact"), path, buckets=FEW)
     return path
 
@@ -211,10 +211,10 @@ def _stored(spark, sf):
     "message_ingest",
     f"{DUCK_CLEAN} select session_id, seq, role, full_text, clean_text, '{{\"n\":\"' || seq || '\",\"s\":\"x\",\"z\":\"<nil>\"}}' as metadata, 'ok' as state from msgs"
     " union all select conv_id::varchar, turn, case turn when 6 then ' ' else role end, case turn when 5 then null else text || ' token tk' end,"
-    " case turn when 7 then 'clean 7' end, null, 'refused' from conversations where turn >= 5",
+    " case turn when 7 then 'clean 7' end, null, 'refused' from conversations where turn in (5, 6, 7)",
 )
 def message_ingest(spark, sf):
-    usable, refused = T.valid(_entries(spark, sf))
+    usable, refused = T.valid(_entries(spark, sf), "redact")
     done = T.ingest(usable, redact_flag="redact")
     cols = ["session_id", "seq", "role", "full_text", "clean_text"]
     return done.select(*cols, F.to_json("metadata").alias("metadata"), F.lit("ok").alias("state")).unionByName(
@@ -232,11 +232,11 @@ def audit_dual_append(spark, sf):
     return both.select("session_id", "seq", "role", "track", "content")
 
 
-@query("audit_track_scan", f"{DUCK_CLEAN} select session_id, seq, role, content, seq * 1000 as timestamp_ms from ({TRACK_ROWS}) x where track = 'full' and seq < 4")
+@query("audit_track_scan", f"{DUCK_CLEAN} select session_id, seq, role, content, seq * 1000 as timestamp_ms from ({TRACK_ROWS}) x where track = 'full'")
 def audit_track_scan(spark, sf):
     """JSONL files as the reference lays them out, blank and broken lines among them, numbered on reading."""
     path = scratch(spark, "jsonl")
-    usable, _ = T.valid(_entries(spark, sf).filter("seq < 4"))
+    usable, _ = T.valid(_entries(spark, sf), "redact")
     rows = T.dual_rows(T.ingest(usable, redact_flag="redact")).filter("track = 'full'")
     line = F.to_json(F.struct("role", "content", "timestamp_ms", "metadata"))
     lines = F.when(F.col("seq") % 2 == 0, F.array(line, F.lit(""), F.lit("{broken"))).otherwise(F.array(line))
@@ -279,7 +279,7 @@ def track_trim(spark, sf):
 # ---- context
 
 CTX_TEXT = "case when turn = 3 then '  ' else text || case turn % 3 when 0 then ' 北京市 Ünit_7' when 1 then ' テスト 한국 part' else '' end end"
-ASK = "substr(text, 1, 60) || ' 北京'"
+ASK = "text || ' 北京'"
 TOKENS = """toks as (select s, i, unnest(case when regexp_matches(seg, '[\\x{3400}-\\x{9fff}]') then
     list_concat(list_transform(range(1, len(seg) + 1), lambda k: 'u:' || substr(seg, k, 1)), list_transform(range(1, len(seg)), lambda k: 'b:' || substr(seg, k, 2)))
     else list_concat(['w:' || seg], list_transform(range(1, least(len(seg) - 1, 9)), lambda k: 'g:' || substr(seg, k, 3))) end) as token

@@ -118,12 +118,22 @@ def request_body_parse(spark, sf):
     return df.select("id", "model", "stream", "input_tokens")
 
 
-@query("stats_json_sink", f"{LOG} select count(*) as total_requests, sum(input_tokens)::bigint as total_input_tokens, sum(output_tokens)::bigint as total_output_tokens from requests")
+STATS = f"""select count(*) as total_requests, sum(input_tokens)::bigint as total_input_tokens, sum(output_tokens)::bigint as total_output_tokens,
+  sum(input_tokens + output_tokens)::bigint as total_tokens, count(*) filter (d) as today_requests,
+  coalesce(sum(input_tokens) filter (d), 0)::bigint as today_input_tokens, coalesce(sum(output_tokens) filter (d), 0)::bigint as today_output_tokens,
+  coalesce(sum(input_tokens + output_tokens) filter (d), 0)::bigint as today_tokens,
+  (count(*) filter (m)) / 5 as requests_per_min, coalesce(sum(input_tokens) filter (m), 0) / 5 as input_per_min,
+  coalesce(sum(output_tokens) filter (m), 0) / 5 as output_per_min
+  from (select *, timestamp::date = {NOW}::date as d, timestamp >= {NOW} - interval 5 minute as m from requests) x"""
+
+
+@query("stats_json_sink", f"{LOG} {STATS}")
 def stats_json_sink(spark, sf):
     """Stats row written as JSON and read back."""
     path = scratch(spark, "stats")
-    U.stats(log(spark, sf), data.as_of()).write.json(path)
-    return spark.read.schema("total_requests long, total_input_tokens long, total_output_tokens long").json(path)
+    stats = U.stats(log(spark, sf), data.as_of())
+    stats.write.json(path)
+    return spark.read.schema(stats.schema).json(path)
 
 
 _VALUES = ", ".join(f"('{p}', '{n}', {len(m)}, {repr(m[-1]) if m else 'null'})" for p, n, _, _, m in PROVIDERS)
@@ -211,11 +221,12 @@ def sessionize_requests(spark, sf):
 
 @query(
     "safe_session_id",
-    """select url, case when trim(substr(url, 1, (page_id % 200)::int)) = '' then 'default'
-      else substr(regexp_replace(repeat(substr(url, 1, (page_id % 200)::int), 4), '[^A-Za-z0-9_-]', '_', 'g'), 1, 128) end as session_id from pages""",
+    """select url, case when page_id % 20 = 0 then 'default'
+      else substr(regexp_replace(repeat(url, page_id::int % 4 + 1), '[^A-Za-z0-9_-]', '_', 'g'), 1, 128) end as session_id from pages""",
 )
 def safe_session_ids(spark, sf):
-    url = F.expr("repeat(substr(url, 1, cast(page_id % 200 as int)), 4)")
+    """Urls once to four times over, so that some are too long; some names are blank."""
+    url = F.expr("case when page_id % 20 = 0 then ' ' else repeat(url, cast(page_id % 4 as int) + 1) end")
     return data.table(spark, sf, "pages").select("url", safe_session_id(url).alias("session_id"))
 
 
@@ -246,15 +257,6 @@ def usage_totals(spark, sf):
     return U.totals(log(spark, sf))
 
 
-STATS = f"""select count(*) as total_requests, sum(input_tokens)::bigint as total_input_tokens, sum(output_tokens)::bigint as total_output_tokens,
-  sum(input_tokens + output_tokens)::bigint as total_tokens, count(*) filter (d) as today_requests,
-  coalesce(sum(input_tokens) filter (d), 0)::bigint as today_input_tokens, coalesce(sum(output_tokens) filter (d), 0)::bigint as today_output_tokens,
-  coalesce(sum(input_tokens + output_tokens) filter (d), 0)::bigint as today_tokens,
-  (count(*) filter (m)) / 5 as requests_per_min, coalesce(sum(input_tokens) filter (m), 0) / 5 as input_per_min,
-  coalesce(sum(output_tokens) filter (m), 0) / 5 as output_per_min
-  from (select *, timestamp::date = {NOW}::date as d, timestamp >= {NOW} - interval 5 minute as m from requests) x"""
-
-
 @query("usage_stats", f"{LOG} {STATS}")
 def usage_stats(spark, sf):
     return U.stats(log(spark, sf), data.as_of())
@@ -295,16 +297,14 @@ def usage_dashboard(spark, sf):
 
 @query(
     "estimate_input_tokens",
-    "select conv_id, (sum(strlen(text)) // 2)::int as input_tokens from conversations where turn < 2 group by conv_id",
+    "select conv_id, (sum(strlen(text)) // 2)::int as input_tokens from conversations group by conv_id",
 )
 def estimate_input_tokens(spark, sf):
-    """Two messages per request body (the first two turns of a conversation)."""
-    two = data.table(spark, sf, "conversations").filter("turn < 2").groupBy("conv_id").agg(
-        F.max_by("text", F.when(F.col("turn") == 0, 1)).alias("a"), F.max_by("text", F.when(F.col("turn") == 1, 1)).alias("b")
-    )
-    message = [F.struct(F.lit("user").alias("role"), F.col(c).alias("content")) for c in ("a", "b")]
-    body = F.to_json(F.struct(F.array(*message).alias("messages")))
-    return two.select("conv_id", input_tokens_of(parse_object(body)).alias("input_tokens"))
+    """One request body per conversation, with all its turns; a body is bounded by what a service takes."""
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    bodies = data.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    body = F.to_json(F.struct("messages"))
+    return bodies.select("conv_id", input_tokens_of(parse_object(body)).alias("input_tokens"))
 
 
 @query(

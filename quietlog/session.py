@@ -37,6 +37,11 @@ _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; on a local master, where it may be unset, a temporary one.
 
@@ -45,12 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    context = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if context.applicationId not in _own:
-        _own[context.applicationId] = tempfile.mkdtemp(prefix="quietlog-")
-    return _own[context.applicationId]
+    own = spark.sparkContext.applicationId
+    if own not in _own:
+        _own[own] = tempfile.mkdtemp(prefix="quietlog-")
+    return _own[own]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -86,10 +91,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly column work at least one partition per core.
+    """On a local master, give costly column work at least one partition per core; on a cluster, nothing.
 
-    Large inputs have more partitions than cores and stay as they are; only a small input in few
-    pieces is dealt out.
+    Small local tables are single row groups, which no reader setting can split. A cluster's inputs have splits enough.
     """
+    if not is_local(df.sparkSession):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietlog.functions.rules import DEFAULT_ON, Rules
+from quietlog.functions.rules import DEFAULT_ON, MAX_TEXT_BYTES, Rules
 from quietlog.functions.redact import redact
 from quietlog.functions.payload import vget, vkind
 from quietlog.functions.text import is_blank, let
@@ -27,10 +27,12 @@ def bucket_of(session: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int")
 
 
-def valid(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, refused) messages: role must not be blank, full text must be there, and clean text
-    and placeholder exclude each other."""
+def valid(messages: DataFrame, redact_flag: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(usable, refused) messages: role must not be blank, full text must be there, clean text and placeholder
+    exclude each other, and where redaction is asked for, full text must be within its size limit."""
     ok = ~is_blank(F.col("role")) & F.col("full_text").isNotNull()
+    if redact_flag is not None:
+        ok = ok & ~(F.coalesce(F.col(redact_flag), F.lit(False)) & (F.octet_length("full_text") > MAX_TEXT_BYTES))
     ok = ok & ~(F.col("clean_text").isNotNull() & (F.coalesce("placeholder", F.lit("")) != ""))
     return messages.filter(ok), messages.filter(~ok)
 
@@ -49,7 +51,8 @@ def metadata_strings(metadata: Column) -> Column:
 def ingest(messages: DataFrame, options=DEFAULT_ON, rules: Rules = Rules(), redact_flag: str | None = None) -> DataFrame:
     """Valid messages with final clean text; `redact_flag` names a boolean column that asks for redaction.
 
-    Redacted text fills clean_text only where neither clean text nor placeholder was given.
+    Redacted text fills clean_text only where neither clean text nor placeholder was given.  Rows that are too long to
+    be redacted are refused by `valid`; here they would be an error rather than go into the clean track as they are.
     """
     placeholder = F.when(F.col("placeholder") != "", F.col("placeholder"))
     given = F.coalesce("clean_text", placeholder)
@@ -58,7 +61,8 @@ def ingest(messages: DataFrame, options=DEFAULT_ON, rules: Rules = Rules(), reda
     else:
         wanted = F.coalesce(F.col(redact_flag), F.lit(False)) & given.isNull()
         auto = redact(F.when(wanted, F.col("full_text")), options, rules)
-        clean = F.coalesce(given, auto["text"], F.col("full_text"))
+        refuse = F.raise_error(F.lit("text above the redaction limit: refuse it with valid(..., redact_flag)")).cast("string")
+        clean = F.when(wanted, F.coalesce(auto["text"], refuse)).otherwise(F.coalesce(given, "full_text"))
     return messages.withColumn("clean_text", clean).withColumn("metadata", metadata_strings(F.col("metadata")))
 
 

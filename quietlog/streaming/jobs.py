@@ -142,23 +142,29 @@ def guard_stream(
     policy: Policy = Policy(),
     body: str = "body",
     buckets: int = BUCKETS,
+    order: Column | None = None,
 ) -> StreamingQuery:
     """Guard a stream of payloads and keep both audit tracks, failing closed.
 
-    A batch is guarded once into a staging folder; the audit rows are written from it before anything
-    is released.  An audit error fails the batch.  All folders carry the batch id, so a repeated batch
-    replaces what it wrote before.
+    A batch is guarded once into a staging folder below the audit folder, without the bodies that came in; the
+    audit rows are written from it before anything is released, and then it is removed.  An audit error fails the
+    batch.  All folders carry the batch id, so a repeated batch replaces what it wrote before.  `order` is a
+    payload's place in its session, which the tracks keep.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        staged = f"{out_path}/staged/batch={batch_id}"
-        guard(batch.withColumn("_session", session), policy, body).write.mode("overwrite").parquet(staged)
+        staged = f"{audit_path}/_staged/batch={batch_id}"
+        batch = batch.withColumn("_session", session).withColumn("_order", F.lit(0) if order is None else order)
+        kept = guard(batch, policy, body).select(key, "_session", "_order", "decision", "status_code", "entries", "body_out")
+        kept.write.mode("overwrite").parquet(staged)
         done = spark.read.parquet(staged)
-        entries = audit_entries(done, F.col("_session"), key).withColumn("timestamp_ms", F.unix_millis(F.current_timestamp()))
+        entries = audit_entries(done, F.col("_session"), key, None if order is None else F.col("_order")).withColumn("timestamp_ms", F.unix_millis(F.current_timestamp()))
         append_tracks(entries, f"{audit_path}/batch={batch_id}", mode="overwrite", buckets=buckets)
         released = done.select(key, "decision", "status_code", "body_out")
         released.write.mode("overwrite").parquet(f"{out_path}/released/batch={batch_id}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return (
         payloads.writeStream.foreachBatch(write)

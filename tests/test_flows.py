@@ -247,3 +247,14 @@ def test_limits_do_not_depend_on_chunks(spark, chunk_rows):
     assert limits.bucket_settings(30, 15) == (2, 3) and limits.bucket_settings(5, 100) == (1, 1)
     for k, xs in events.items():
         assert [(r.allowed, r.tokens) for r in got if r.key == k] == list(bucket_plainly(xs, 2, 3))
+
+
+def test_long_text_never_reaches_the_clean_track(spark):
+    text = "my password is hunter2 " * 60_000
+    rows = [("s", 0, "user", text, None, None, 0, None, True), ("s", 1, "user", text, None, None, 0, None, False), ("s", 2, "user", "my password is pw", None, None, 0, None, True)]
+    df = spark.createDataFrame(rows, "session_id string, seq long, role string, full_text string, clean_text string, placeholder string, timestamp_ms long, metadata string, redact boolean")
+    usable, refused = tracks.valid(df, "redact")
+    assert [r.seq for r in refused.collect()] == [0]
+    assert {r.seq: "hunter2" in r.clean_text for r in tracks.ingest(usable, redact_flag="redact").collect()} == {1: True, 2: False}
+    with pytest.raises(Exception, match="redaction limit"):
+        tracks.ingest(df, redact_flag="redact").collect()

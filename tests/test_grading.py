@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quietlog.functions import detect as D
 from quietlog.functions import payload as P
 from quietlog.functions import rules as R
+from quietlog.functions.redact import redact
 from quietlog.operators.guard import audit_entries, decision_counts, guard, rollup_nodes, safe_session_id, session_of
 
 
@@ -170,3 +171,41 @@ def test_request_options(spark):
 
     assert on() == [{"pin", "chinese_phone", "chinese_id"}, {"pin", *R.DEFAULT_ON}, set(R.DEFAULT_ON)]
     assert on(from_scratch=True) == [{"pin"}, {"pin"}, set(R.DEFAULT_ON)]
+
+
+def test_guard_reads_what_it_can_and_holds_the_rest(spark):
+    """Equal keys: the last counts. Too deep, or above the body limit: not released. No JSON: passed on as it is."""
+    secret = '"messages": [{"role": "user", "content": "my password is hunter2 in ~/.ssh/id_rsa"}]'
+    deep = "[" * 100_000 + "]" * 100_000
+    bodies = {
+        "plain": "{" + secret + "}",
+        "twice": '{"a": 1, "a": 2, ' + secret + "}",
+        "last": '{"input": "~/.ssh/id_rsa", "input": "fine"}',
+        "deep": '{"x": ' + deep + ", " + secret + "}",
+        "large": '{"x": "' + "y" * R.MAX_BODY_BYTES + '", ' + secret + "}",
+        "broken": '{"a": ' + secret,
+    }
+    df = spark.createDataFrame(list(bodies.items()), "id string, body string")
+    got = {r.id: r for r in guard(df).collect()}
+    assert {k: (r.decision.action, r.status_code, r.body_out is None) for k, r in got.items()} == {
+        "plain": ("block", 403, True), "twice": ("block", 403, True), "last": ("allow", 200, False), "deep": ("block", 403, True),
+        "large": ("block", 413, True), "broken": ("allow", 200, False),
+    }
+    assert got["deep"].decision.level == "S3" and got["deep"].decision.reason == "payload not readable: depth"
+
+
+def test_size_rule_is_on_raw_text(spark):
+    """One test, on the bytes that come in: text that grows when normalised passes, text that shrinks does not."""
+    grows, shrinks = "ﷺ" * 300_000, "%41" * 400_000
+    texts = [grows[: R.MAX_TEXT_BYTES // 3], shrinks, "x" * R.MAX_TEXT_BYTES, "x" * (R.MAX_TEXT_BYTES + 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert [r.ok for r in df.select("id", redact(F.col("text"))["text"].isNotNull().alias("ok")).orderBy("id").collect()] == [True, False, True, False]
+    body = spark.createDataFrame([(i, json.dumps({"input": t})) for i, t in enumerate(texts)], "id int, body string")
+    assert {r.id: r.status_code for r in guard(body).collect()} == {0: 200, 1: 413, 2: 200, 3: 413}
+
+
+def test_audit_order_and_request_metadata(spark):
+    df = spark.createDataFrame([(2, json.dumps({"input": "c", "prompt": "d"})), (1, json.dumps({"input": "a", "prompt": "b"}))], "id long, body string")
+    rows = audit_entries(guard(df), F.lit("s"), "id", order=F.col("id"), path=F.lit("/v1"), method=F.lit("POST")).orderBy("seq").collect()
+    assert [r.full_text for r in rows] == ["a", "b", "c", "d"]
+    assert all((r.metadata["path"], r.metadata["method"], r.metadata["decision"]) == ("/v1", "POST", "allow") for r in rows)
