@@ -65,6 +65,7 @@ def detect_patterns(text: Column, rules: R.Rules, prefix: str = "") -> Column:
         (test(p), _found_sql(rank, q(f"{prefix}S{rank} pattern matched: {p}")))
         for rank, patterns in ((3, rules.patterns_s3), (2, rules.patterns_s2))
         for p in patterns
+        if R.pattern_compiles(p)  # others are ignored
     ]
     # the few letters that only Unicode folding maps to ASCII are folded for the anchors, too
     folded = F.translate(F.lower(text), "\u017f\u212a", "sk")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, fields, replace
+from functools import lru_cache
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 LEVELS = ("S1", "S2", "S3")
 ACTIONS = ("allow", "redact", "review", "block")
@@ -178,7 +180,7 @@ class Rules:
     def requested(self, spark: SparkSession, **lists) -> "Rules":
         """Per-request override: any given list replaces, even an empty one; bad regexes are refused."""
         out = replace(self, **{k: tuple(str(x) for x in v) for k, v in lists.items() if v is not None})
-        bad = [p for p in out.patterns_s2 + out.patterns_s3 if not regex_compiles(spark, p)]
+        bad = [p for p in out.patterns_s2 + out.patterns_s3 if not pattern_compiles(p)]
         if bad:
             raise ValueError(f"invalid privacy pattern {bad[0]!r}")
         return out
@@ -187,7 +189,7 @@ class Rules:
         """Drop patterns that do not compile; grading skips them silently."""
 
         def keep(ps):
-            return tuple(p for p in ps if regex_compiles(spark, p))
+            return tuple(p for p in ps if pattern_compiles(p))
 
         return replace(self, patterns_s2=keep(self.patterns_s2), patterns_s3=keep(self.patterns_s3))
 
@@ -214,24 +216,42 @@ class Policy:
         return wanted if wanted in ACTIONS else "block"
 
 
-def regex_compiles(spark: SparkSession, pattern: str) -> bool:
-    """Only the JVM can judge a Java regex, so ask it with one literal row."""
+#: what Java takes and RE2 refuses: look-around, atomic groups, back references, possessive quantifiers
+NOT_RE2 = re.compile(r"\\[1-9kGXRZ]|\(\?(?:[=!>]|<[=!])|(?:[*+?]|\{\d+,?\d*\})\+")
+
+
+@lru_cache(4096)
+def pattern_compiles(pattern: str) -> bool:
+    """Whether a user's pattern is one; asks the driver's JVM, without a job."""
+    plain = re.sub(r"\\Q.*?(?:\\E|$)|\\[^1-9kGXRZ]|\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\]", "x", pattern, flags=re.S)
+    if NOT_RE2.search(plain):
+        return False
     try:
-        spark.range(1).select(F.lit("x").rlike(java_regex(pattern, "(?iu)"))).collect()
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(java_regex(pattern, "(?iu)"))
         return True
-    except PySparkException:
+    except (Py4JError, PySparkException, KeyError):  # KeyError: no such class name
         return False
 
 
+POSIX = re.compile(r"\[:(\^?)(\w+):\]")
+#: fixed values: names of ASCII classes in RE2 and in Java
+POSIX_CLASSES = {
+    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
+    "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "word": "", "xdigit": "XDigit",
+}
+GROUP_NAME = re.compile(r"\(\?P?<[A-Za-z_]\w*>")
+
+
 def java_regex(pattern: str, flags: str = "", word_edges: bool = False) -> str:
     """Spell an RE2 pattern for java.util.regex with the same meaning.
 
-    RE2: \\b is ASCII, \\s has no vertical tab, (?m) anchors break on \\n only, scripts are \\p{Han}.
+    RE2: \\b is ASCII, \\s has no vertical tab, (?m) anchors break on \\n only, scripts are \\p{Han}; in a class, [:digit:]
+    is a class, and [ and && stand for themselves, as ] does in first place; (?P<n>..) is a group (its name is not needed).
     `word_edges`: every \\b is known to sit at the outer edge of a word (first one in front, later ones
     behind), so a one-sided look-around does.
     """
     word, space = "A-Za-z0-9_", r"\t\n\f\r "
-    out, in_class, edges, i = [], False, 0, 0
+    out, in_class, edges, i, begun = [], False, 0, 0, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
         step = 2
@@ -248,8 +268,25 @@ def java_regex(pattern: str, flags: str = "", word_edges: bool = False) -> str:
         elif m := re.match(r"\\p\{(Han|Hiragana|Katakana|Hangul)\}", pattern[i:]):
             out.append(rf"\p{{Is{m.group(1)}}}")
             step = m.end()
+        elif two == r"\Q":
+            end = pattern.find(r"\E", i)
+            step = (len(pattern) if end < 0 else end + 2) - i
+            out.append(pattern[i : i + step])
         elif two[:1] == "\\":
             out.append(two)
+        elif in_class and (m := POSIX.match(pattern, i)):
+            out.append(("\\P" if m[1] else "\\p") + f"{{{POSIX_CLASSES[m[2]]}}}" if m[2] != "word" else ("\\W" if m[1] else "\\w"))
+            step = len(m[0])
+        elif in_class and (pattern[i] == "[" or two == "&&" or (pattern[i] == "]" and i == begun)):
+            out.append("\\" + pattern[i])
+            step = 1
+        elif not in_class and (m := GROUP_NAME.match(pattern, i)):
+            out.append("(")
+            step = len(m[0])
+        elif not in_class and pattern[i] == "[":
+            in_class, step = True, 2 if two == "[^" else 1
+            begun = i + step
+            out.append(pattern[i : begun])
         elif pattern.startswith("(?m)", i):
             out.append("(?md)")
             step = 4

@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,30 @@ def test_audit_order_and_request_metadata(spark):
     rows = audit_entries(guard(df), F.lit("s"), "id", order=F.col("id"), path=F.lit("/v1"), method=F.lit("POST")).orderBy("seq").collect()
     assert [r.full_text for r in rows] == ["a", "b", "c", "d"]
     assert all((r.metadata["path"], r.metadata["method"], r.metadata["decision"]) == ("/v1", "POST", "allow") for r in rows)
+
+
+RE2_PATTERNS = [
+    "pan [[:digit:]]{4}", "[[:^digit:]]x", "(?P<n>ab)+c", "[[]x", "[b&&c]", "[]a]b", "[^]a]b", r"\Qa.b\E", "[[:word:]]-", r"a\sb", r"[\s]z", "x[a-c[:upper:]]y",
+    "(?i)KEY", r"^a.*z$", r"\bid\b", "[^[:space:]]@", r"[\]]w",
+]
+RE2_TEXTS = ["pan 1234", "pan abcd", "ax", "1x", "ababc", "[x", "b", "&", "c", "]b", "ab", "zb", "a.b", "axb", "w-", "--", "a b", "a\x0bb", " z", "xBy", "xdy", "key", "abz", "my id.", "idx", "u@", " @", "]w", "X", "cc"]
+
+
+def test_user_patterns_mean_what_they_mean_in_re2(spark):
+    con = duckdb.connect()
+    df = spark.createDataFrame([(t,) for t in RE2_TEXTS], "t string")
+    for p in RE2_PATTERNS:
+        rules = R.Rules().configured(patterns_s3=[p])
+        got = [r.x == 3 for r in df.select(D.detect_patterns(F.col("t"), rules)["rank"].alias("x")).collect()]
+        want = [con.sql("select regexp_matches($t, $p)", params={"t": t, "p": "(?i)" + p}).fetchall()[0][0] for t in RE2_TEXTS]
+        assert got == want, (p, [t for t, a, b in zip(RE2_TEXTS, got, want, strict=True) if a != b])
+
+
+def test_invalid_patterns_are_ignored(spark):
+    bad = ["[", "(a", "a++", "(?=x)x", r"(a)\1", "[[:nothing:]]", "*"]
+    rules = R.Rules().configured(patterns_s3=[*bad, "zzz"])
+    df = spark.createDataFrame([("a anything x",), ("zzz",)], "t string")
+    assert [r.x for r in df.select(D.detect_patterns(F.col("t"), rules)["rank"].alias("x")).collect()] == [1, 3]
+    for p in bad:
+        with pytest.raises(ValueError):
+            R.Rules().requested(spark, patterns_s3=[p])
