@@ -123,8 +123,18 @@ def select_context(
     session: str = "session_id",
     index: str = "index",
     text: str = "text",
+    query_id: str | None = None,
 ) -> DataFrame:
-    """Best `top_k` messages per session, ties by index; `index` is the position in the track, blanks included."""
+    """Best `top_k` messages per session, ties by index; `index` is the position in the track, blanks included.
+
+    `query_id`: the column of `queries` that tells a session's queries apart; without it a session has one query.
+    """
+    if query_id is not None:
+        # every query scores all texts of its session, so each gets them under a key of its own
+        one = queries.select(F.struct(session, query_id).alias("_asked"), session, "query")
+        each = messages.join(one.drop("query"), session).select("_asked", index, text)
+        best = select_context(each, one.select("_asked", "query"), top_k, min_score, "_asked", index, text)
+        return best.select(F.col("_asked")[session].alias(session), F.col("_asked")[query_id].alias(query_id), "rank", index, text, "score")
     k = top_k if top_k > 0 else 5
     scored = scores(messages, queries, session, index, text).filter(F.col("score") >= min_score)
     # equal scores must tie exactly, whatever the order of summation was

@@ -7,6 +7,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,9 +66,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all scratch folders of the session; results that still read them are not to be used any more."""
-    for entry in [e for e in _made if e[0] is spark]:
+@contextlib.contextmanager
+def made_here(spark: SparkSession) -> Iterator[list[str]]:
+    """The scratch folders that come into being inside."""
+    before, paths = {p for _, p in _made}, []
+    yield paths
+    paths += [p for s, p in _made if s is spark and p not in before]
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove these, or all, scratch folders of the session; results that still read them are not to be used any more."""
+    for entry in [e for e in _made if e[0] is spark and (paths is None or e[1] in paths)]:
         _made.remove(entry)
         path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -258,3 +258,17 @@ def test_long_text_never_reaches_the_clean_track(spark):
     assert {r.seq: "hunter2" in r.clean_text for r in tracks.ingest(usable, redact_flag="redact").collect()} == {1: True, 2: False}
     with pytest.raises(Exception, match="redaction limit"):
         tracks.ingest(df, redact_flag="redact").collect()
+
+
+def test_several_queries_of_a_session(spark):
+    rows = [("s", 0, "red apples grow"), ("s", 1, "blue whales swim"), ("s", 2, "green apples fall"), ("t", 0, "red whales")]
+    messages = spark.createDataFrame(rows, "session_id string, index long, text string")
+    asked = spark.createDataFrame([("s", 7, "apples"), ("s", 8, "whales"), ("t", 7, "red")], "session_id string, query_id long, query string")
+    got = {}
+    for r in select_context(messages, asked, top_k=2, query_id="query_id").collect():
+        got.setdefault((r.session_id, r.query_id), []).append((r.rank, r["index"]))
+    alone = {}
+    for s, q, text in asked.collect():
+        one = spark.createDataFrame([(s, text)], "session_id string, query string")
+        alone[s, q] = sorted((r.rank, r["index"]) for r in select_context(messages, one, top_k=2).collect())
+    assert {k: sorted(v) for k, v in got.items()} == alone and alone["s", 8][0] == (1, 1)
