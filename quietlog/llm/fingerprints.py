@@ -61,7 +61,7 @@ def samples(owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k:
         a = ln_of[(h >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int32)] - r * (t - b) - r
         first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
         low, doc = np.minimum.reduceat(a, first, axis=0), o[first]
-        better = low < least[doc]
+        better = low <= least[doc]  # of equal ones the last term wins, in one step or over two
         least[doc] = np.where(better, low, least[doc])
         row, col = np.nonzero((a == least[o]) & better[np.cumsum(np.append(False, o[1:] != o[:-1]))])
         with np.errstate(over="ignore"):
