@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quietlog.llm import language, near_dups, packing, pii, repeats
 from quietlog.llm.common import table
 from quietlog.llm.queries import TOKENIZER
-from quietlog.session import staged
+from quietlog.session import made_here, release, staged
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +39,29 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, TOKENIZER)
 
 
+_left: list[str] = []
+
+
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first removes the working folders of the one before: its result has been written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        with made_here(spark) as made:
+            out = stage(spark, docs, sf_dir)
+        _left[:] = made
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", identify),
-    ("near_dups", deduplicate),
-    ("suffix_dedup", cut_repeats),
-    ("pii", redact),
-    ("packing", pack),
+    ("language_id", tidy(identify)),
+    ("near_dups", tidy(deduplicate)),
+    ("suffix_dedup", tidy(cut_repeats)),
+    ("pii", tidy(redact)),
+    ("packing", tidy(pack)),
 ]
 
 
