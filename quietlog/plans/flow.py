@@ -94,14 +94,19 @@ def _drain(spark, df, name):
     return spark.read.schema(df.schema).parquet(out)
 
 
-# the watermark of the last batch holds back windows that end after it
+def _settled(spark, df, name):
+    """Windows as they stand when the stream has been read, those included that the watermark still keeps open."""
+    out = scratch(spark, name)
+    jobs.upsert_parquet(df, out, scratch(spark, f"{name}-checkpoint")).awaitTermination()
+    return jobs.latest(spark, out, ["window_start"], [c for c in df.columns if c != "window_start"])
+
+
 @query(
     "hourly_stream",
-    f"""{LOG} select epoch_us(date_trunc('hour', timestamp)) as hour_us, {TOKENS} from requests group by 1
-      having date_trunc('hour', any_value(timestamp)) + interval 1 hour <= (select max(timestamp) from requests) - interval 1 hour""",
+    f"{LOG} select epoch_us(date_trunc('hour', timestamp)) as hour_us, {TOKENS} from requests group by 1",
 )
 def hourly_stream(spark, sf):
-    done = _drain(spark, jobs.hourly_stream(_requests_stream(spark, sf)), "hourly")
+    done = _settled(spark, jobs.hourly_stream(_requests_stream(spark, sf)), "hourly")
     return done.select(F.unix_micros("window_start").alias("hour_us"), "requests", "input_tokens", "output_tokens")
 
 
@@ -109,10 +114,10 @@ def hourly_stream(spark, sf):
     "recent_rate_stream",
     f"""{LOG}, w as (select date_trunc('minute', timestamp) - to_minutes(unnest(range(5))) as start, * from requests)
     select epoch_us(start) as start_us, count(*) / 5 as requests_per_min, sum(input_tokens) / 5 as input_per_min, sum(output_tokens) / 5 as output_per_min from w
-    group by start having start + interval 5 minute <= (select max(timestamp) from requests) - interval 10 minute""",
+    group by start""",
 )
 def recent_rate_stream(spark, sf):
-    done = _drain(spark, jobs.recent_rate_stream(_requests_stream(spark, sf)), "rates")
+    done = _settled(spark, jobs.recent_rate_stream(_requests_stream(spark, sf)), "rates")
     return done.select(F.unix_micros("window_start").alias("start_us"), "requests_per_min", "input_per_min", "output_per_min")
 
 

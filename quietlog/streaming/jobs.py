@@ -69,7 +69,10 @@ def usage_counters(requests: DataFrame, *by) -> DataFrame:
 
 
 def hourly_stream(requests: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Tumbling hours, emitted once final; rows later than `lateness` are dropped."""
+    """Tumbling hours; rows later than `lateness` are dropped.
+
+    `append_parquet` emits an hour once, when it is final, so the last ones stay open; `upsert_parquet` has them all.
+    """
     return _windowed(requests, lateness, F.window("timestamp", "1 hour"))
 
 
