@@ -12,15 +12,16 @@ from quietlog.functions.tokens import whole
 
 # Finish reasons, and field names whose null means an empty list or object.
 FINISH_REASONS = {"stop": "end_turn", "length": "max_tokens", "tool_calls": "tool_use"}
-LIST_FIELDS = """
-required enum examples prefixItems context anyOf allOf oneOf commands options arguments parameters variables
-includes excludes defs definitions $defs schemas security servers paths tags externalDocs discriminator xml
-deprecated readOnly writeOnly contentMediaType contentEncoding if then else
-""".split()
-OBJECT_FIELDS = """
-properties patternProperties dependencies dependentSchemas propertyNames unevaluatedItems unevaluatedProperties
-contentSchema
-""".split()
+LIST_FIELDS = (
+    "required", "enum", "examples", "prefixItems", "context", "anyOf", "allOf", "oneOf", "commands", "options",
+    "arguments", "parameters", "variables", "includes", "excludes", "defs", "definitions", "$defs", "schemas",
+    "security", "servers", "paths", "tags", "externalDocs", "discriminator", "xml", "deprecated", "readOnly",
+    "writeOnly", "contentMediaType", "contentEncoding", "if", "then", "else",
+)
+OBJECT_FIELDS = (
+    "properties", "patternProperties", "dependencies", "dependentSchemas", "propertyNames", "unevaluatedItems",
+    "unevaluatedProperties", "contentSchema",
+)
 # id of messages that come without one; callers may give their own
 DEFAULT_MESSAGE_ID = "msg_converted"
 COPIED_KEYS = ("model", "max_tokens", "temperature", "top_p", "stream")

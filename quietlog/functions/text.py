@@ -10,13 +10,13 @@ from pyspark.sql import types as T
 
 # Code points the reference semantics treat as white space when trimming.
 SPACE_CHARS = (
-    "\t\n\x0b\f\r \x85\xa0            "
-    "    　"
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028"
+    "\u2029\u202f\u205f\u3000"
 )
 # The 25 invisible code points dropped before redaction.
 INVISIBLE = (
-    "​‌‍‎‏­͏؜᠎⁠⁡⁢⁣⁤"
-    "⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿"
+    "\u200b\u200c\u200d\u200e\u200f\xad\u034f\u061c\u180e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068"
+    "\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
 )
 # ASCII plus letters that NFKC never changes or combines: such text needs no normalisation.
 STABLE = (

@@ -140,6 +140,7 @@ def rollup_nodes(nodes: DataFrame, key: str, policy: R.Policy = R.Policy()) -> D
 
 def session_of(headers: Column, payload: Column, fallback: Column, session_header: str = "X-Session-Id") -> Column:
     """Session id: four headers in turn, then three body keys, then `fallback`; made safe for file names."""
+    # fixed values: header names, in the order in which they are tried
     names = (session_header, "X-Claude-Code-Session-Id", "X-Session-Id", "x-client-request-id")
 
     def filled(c):
