@@ -16,6 +16,7 @@ from quietlog.functions.payload import vget, vkind
 from quietlog.functions.text import is_blank, let
 from quietlog.operators.ranks import last_n
 from quietlog.schemas import TRACK
+from quietlog.session import staged
 
 TRACKS = ("full", "clean")
 BUCKETS = 256
@@ -153,7 +154,7 @@ def import_track_files(spark: SparkSession, path: str, layout: str = "files") ->
 
     layout 'files': `<path>/<track>/<session>.jsonl`; 'folders': `<path>/<track>/session_id=<session>/<one file>`.
     Lines are numbered inside each file block and shifted by the number of lines in earlier blocks,
-    so a huge file is read by many tasks.
+    so a huge file is read by many tasks.  The numbers are written down once, as two readers must agree on them.
     """
     glob, session, track = LAYOUTS[layout]
     lines = (
@@ -163,7 +164,9 @@ def import_track_files(spark: SparkSession, path: str, layout: str = "files") ->
         .withColumn("r", F.from_json("value", _LINE, {"columnNameOfCorruptRecord": "_bad"}))
         .filter(~is_blank(F.col("value")) & F.col("r._bad").isNull())
         .withColumn("line", F.monotonically_increasing_id())
+        .select("file", "block", "line", "r")
     )
+    lines = staged(lines, "lines")
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("line").alias("first"))
     # a running sum over the blocks of one file: a file of 1 TB has some thousands
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
