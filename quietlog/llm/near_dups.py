@@ -9,8 +9,9 @@ where a coordinate stays empty, the bound is doubled.
 
 Documents that agree on a whole band are candidates. In two steps none of their links is lost, without listing the
 pairs of a group: first every member of a bucket is compared with the bucket's most connected member; then only buckets
-whose members are still in different components are compared, tile by tile, by their signatures, across components.
-Every link is checked on the exact sets; with ROWS = 4 and BANDS = 24 a pair of similarity 0.8 shares no band with
+whose members are still in different components are compared, tile by tile, across components: by signatures, in the
+first band that a pair shares, and then by sets where the tile has not linked the two components already. Only links
+leave a tile. Every link is checked on the exact sets; with ROWS = 4 and BANDS = 24 a pair of similarity 0.8 shares no band with
 probability 3e-6. Equal sets are one node from the start.
 
 Documents with fewer words than a shingle have one shingle of all their words; those without words (null, empty) are in
@@ -158,12 +159,12 @@ def similarity(a, b):
     """Jaccard similarity of two sorted sets of 32-bit values."""
     import pandas as pd
 
-    def one(x: bytes, y: bytes) -> float:
-        p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return both / (len(p) + len(q) - both)
+    return pd.Series([_jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b, strict=True)])
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+def _jaccard(p: np.ndarray, q: np.ndarray) -> float:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both / (len(p) + len(q) - both)
 
 
 def checked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -191,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(sketch: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Enough verified links (a, b) between nodes that their components are those of all links."""
-    band = sketch.where("node is not null").select("node", F.explode("bands").alias("band"))
+    band = sketch.where("node is not null").select("node", F.posexplode("bands").alias("place", "band"))
     several = band.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band")
     member = staged(band.join(several, "band").distinct(), "buckets")
     size = member.groupBy("band").agg(F.count("*").alias("n"))
@@ -204,31 +205,36 @@ def links(sketch: DataFrame, similar: float = SIMILAR) -> DataFrame:
     own = staged(own, "sets")
     first = staged(checked(star, own, similar), "links")
     label = components(first)
-    part = member.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    part = member.join(label, "node", "left").select("band", "place", "node", F.coalesce("label", "node").alias("label"))
     open_ = part.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y")
-    rest = part.join(open_.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "band").join(own.select("node", "signature"), "node")
-    second = checked(_across(rest), own, similar)
-    return first.unionByName(staged(second, "links"))
+    rest = part.join(open_.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "band").join(own, "node")
+    return first.unionByName(staged(_across(rest, similar), "links"))
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components whose signatures agree enough, each once; in pairs of tiles."""
+def _across(rows: DataFrame, similar: float) -> DataFrame:
+    """Links of a bucket between components, as many as join what is similar; in pairs of tiles."""
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "label", "signature")
+    rows = rows.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "place", "tile", "node", "label", "signature", "members")
 
     def compare(t: pa.Table) -> pa.Table:
-        sign = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(t.num_rows, -1)
+        sign = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(t.num_rows, BANDS, ROWS)
+        sets = [np.frombuffer(x, "<u4") for x in t["members"].to_pylist()]
         node, label, tile = (t[c].to_numpy() for c in ("node", "label", "tile"))
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        i, j, place = t["i"][0].as_py(), t["j"][0].as_py(), t["place"][0].as_py()
         one, two = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        found_a, found_b = [], []
+        label = label.copy()  # one label for what this tile has linked
+        found = []
         for a in one.tolist():
             other = two[(label[two] != label[a]) & ((node[two] > node[a]) | (i != j))]
-            other = other[(sign[other] == sign[a]).mean(1) >= LEAST_AGREEMENT]
-            found_a.append(np.minimum(node[other], node[a]))
-            found_b.append(np.maximum(node[other], node[a]))
-        return pa.table({"a": np.concatenate([*found_a, np.empty(0, np.int64)]), "b": np.concatenate([*found_b, np.empty(0, np.int64)])})
+            same = sign[other] == sign[a]
+            likely = (same.mean((1, 2)) >= LEAST_AGREEMENT) & (same.all(2).argmax(1) == place)
+            for b in other[likely].tolist():
+                if label[a] != label[b] and _jaccard(sets[a], sets[b]) >= similar:
+                    found.append((node[a], node[b]))
+                    label[label == label[b]] = label[a]
+        ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 

@@ -34,7 +34,8 @@ SENTENCE, ANYWHERE = 16, 128
 #: longest way between places where a cut is possible
 GAP = 64
 STRETCH = 1 << 20
-POWERS = tuple(1 << k for k in range(12))
+#: lengths of windows that need no padding; shorter powers of two are padded, a window of them is worth no cut
+POWERS = tuple(1 << k for k in range(8, 12))
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -43,16 +44,15 @@ def cuts(place: list[int], price: list[int], width: int = WIDTH) -> list[int]:
     """The places where windows end, of those given (ascending, from 0 to the end, at most `width` apart)."""
     cost, back, value = [0] * len(place), [0] * len(place), [0] * len(place)
     at = {p: i for i, p in enumerate(place)}
-    queue = deque([0])
+    queue, powers = deque([0]), [p for p in POWERS if p < width]
     for j in range(1, len(place)):
         p = place[j]
         while place[queue[0]] < p - width:
             queue.popleft()
         low = queue[0]
         least = value[low] + width - p
-        for power in POWERS:
-            i = at.get(p - power)
-            if i is not None and power < width and cost[i] < least:
+        for power in powers:
+            if p - power in at and cost[i := at[p - power]] < least:
                 least, low = cost[i], i
         cost[j], back[j] = least + price[j], low
         value[j] = v = least + price[j] + p

@@ -37,8 +37,9 @@ LENGTH = 100
 FIRST = 32
 #: entries of one first rank that a block sends
 SPREAD = 4
-#: bytes of text in a block, and of windows in one numpy step
+#: bytes of text in a block, and of windows in one numpy step, whose arrays take some hundred times as much
 BLOCK = 2 << 20
+STEP = 1 << 18
 REPEAT, AMBIGUOUS = 1, 2
 
 #: multiplier of the fingerprints and its inverse modulo 2^64
@@ -90,8 +91,8 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 def steps(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Stretches of a block's bytes, with the windows that start in them: offset and bytes."""
-    for at in range(0, max(len(data) - LENGTH + 1, 0), BLOCK):
-        yield at, data[at : at + BLOCK + LENGTH - 1]
+    for at in range(0, max(len(data) - LENGTH + 1, 0), STEP):
+        yield at, data[at : at + STEP + LENGTH - 1]
 
 
 class Block:
@@ -134,12 +135,17 @@ class Block:
         window = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + self.first[run]
         rank = np.empty(len(window), np.uint64)
         for at, part in steps(self.data, self.offsets):
-            lo, hi = np.searchsorted(window, (at, at + BLOCK))
+            lo, hi = np.searchsorted(window, (at, at + STEP))
             if hi > lo:
                 rank[lo:hi] = mixed(Prints(part).of(window[lo:hi] - at, LENGTH))
         return window, run, rank
 
 
+def planes(column: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes, and so on: bytes that hardly change are compressed away."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
+
+
 class Entries:
     """Strings of a block by rank: equal ones are one entry, which stands where the string comes first."""
 
@@ -170,7 +176,7 @@ class Entries:
 
     def rows(self, block_id: int) -> pa.RecordBatch:
         cut, ends = ranges(self.bucket)
-        payload = [b"".join(self.table[name][a:b].tobytes() for name in ENTRY.names) for a, b in zip(cut, ends, strict=True)]
+        payload = [b"".join(planes(self.table[name][a:b]) for name in ENTRY.names) for a, b in zip(cut, ends, strict=True)]
         columns = [pa.array(self.bucket[cut], pa.int32()), pa.array(np.full(len(cut), block_id)), pa.array(cut, pa.int32()), pa.array(payload, pa.binary())]
         return pa.record_batch(columns, ["bucket", "block_id", "base", "payload"])
 
@@ -194,8 +200,9 @@ def judged(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBa
             n, at = len(payload) // ENTRY.itemsize, 0
             t = np.empty(n, ENTRY)
             for name in ENTRY.names:
-                t[name] = np.frombuffer(payload, ENTRY[name], n, at)
-                at += n * ENTRY[name].itemsize
+                size = ENTRY[name].itemsize
+                t[name] = np.frombuffer(payload, np.uint8, n * size, at).reshape(size, n).T.copy().view(ENTRY[name])[:, 0]
+                at += n * size
             tables.append(t)
             bucket.append(np.full(n, b, np.int32))
             block.append(np.full(n, block_id))
@@ -230,7 +237,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         def close() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
             whole = pa.concat_batches(waiting)
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 out.write_batch(whole)
             return pa.record_batch([pa.array([made]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block_id", "payload"])
 

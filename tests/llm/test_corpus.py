@@ -114,6 +114,7 @@ def odd_documents():
 @pytest.mark.parametrize("block", [2 << 20, 2000])
 def test_repeats(spark, monkeypatch, block):
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "STEP", block)
     rows = odd_documents()
     df = with_clashes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     got = sorted((tuple(r) for r in repeats.digests(df).collect()), key=repr)
