@@ -14,14 +14,16 @@ def text_tokens(text: Column) -> Column:
     return F.floor(F.coalesce(F.char_length(trim_space(text)), F.lit(0)) / 2).cast("int")
 
 
+def message_bytes(content: Column) -> Column:
+    """Bytes of the string content of one message; none without one."""
+    return F.coalesce(F.octet_length(content), F.lit(0)).cast("long")
+
+
 def input_tokens_of(payload: Column) -> Column:
     """Bytes of all string message contents of a request, halved; block contents do not count."""
     from quietlog.functions.payload import vget, vstring
 
-    sizes = F.transform(
-        vget(payload, "$.messages", "array<variant>"),
-        lambda m: F.coalesce(F.octet_length(vstring(m, "$.content")), F.lit(0)).cast("long"),
-    )
+    sizes = F.transform(vget(payload, "$.messages", "array<variant>"), lambda m: message_bytes(vstring(m, "$.content")))
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b)
     return F.floor(F.coalesce(total, F.lit(0).cast("long")) / 2).cast("int")
 

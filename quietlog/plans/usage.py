@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quietlog.functions.chat import remap_models
 from quietlog.functions.payload import parse_object, vget
 from quietlog.functions.text import pin
-from quietlog.functions.tokens import input_tokens_of, output_tokens, text_tokens
+from quietlog.functions.tokens import message_bytes, output_tokens, text_tokens
 from quietlog.operators import usage as U
 from quietlog.operators.guard import safe_session_id, session_of
 from quietlog.operators.limits import limiter_state, window_limit
@@ -300,11 +300,9 @@ def usage_dashboard(spark, sf):
     "select conv_id, (sum(strlen(text)) // 2)::int as input_tokens from conversations group by conv_id",
 )
 def estimate_input_tokens(spark, sf):
-    """One request body per conversation, with all its turns; a body is bounded by what a service takes."""
-    message = F.struct("turn", "role", F.col("text").alias("content"))
-    bodies = data.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
-    body = F.to_json(F.struct("messages"))
-    return bodies.select("conv_id", input_tokens_of(parse_object(body)).alias("input_tokens"))
+    """Turns are measured row by row, so a conversation of any size is summed before the shuffle and never gathered."""
+    turns = data.table(spark, sf, "conversations").select("conv_id", message_bytes(F.col("text")).alias("size"))
+    return turns.groupBy("conv_id").agg(F.floor(F.sum("size") / 2).cast("int").alias("input_tokens"))
 
 
 @query(
