@@ -3,7 +3,7 @@
 Base spans are the fixed patterns' matches that pass their checks; they always stay. The field labels tokens (letter
 runs, digit runs, white space, single signs) with begin or inside of a kind, or nothing, from features of token shapes
 around them; it is trained by gradient on a small labelled table and decoded by Viterbi, all sequences of a batch side
-by side in numpy. A label other than nothing is possible only within `REACH` words of a digit or an at sign, so only
+by side in numpy; long ones in blocks, with scores carried over from block to block. A label other than nothing is possible only within `REACH` words of a digit or an at sign, so only
 these stretches are decoded. Found spans that touch no base span and pass their kind's check are added.
 
 Null text is empty and has no spans. Rows are independent: repeated rows and doc_ids get equal answers; other columns
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -80,7 +81,7 @@ def any_digit(text: str) -> bool:
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 NEAR = re.compile(r"[0-9@]+")
 REACH = 3
-#: tokens of a sequence; longer stretches are cut
+#: tokens of a block; longer stretches are decoded in several, as if in one
 LONGEST = 256
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 CUES = frozenset("tel phone call mobile fax telephone téléphone appelez telefon anruf teléfono llame email mail card visa ip host server at dot".split())
@@ -128,13 +129,7 @@ def stretches(text: str) -> list[tuple[int, list[str]]]:
             zones[-1][1] = max(b, zones[-1][1])
         else:
             zones.append([a, b])
-    out = []
-    for a, b in zones:
-        tokens = TOKEN.findall(text[a:b])
-        for i in range(0, len(tokens), LONGEST):
-            out.append((a, tokens[i : i + LONGEST]))
-            a += sum(map(len, tokens[i : i + LONGEST]))
-    return out
+    return [(a, TOKEN.findall(text[a:b])) for a, b in zones]
 
 
 def _padded(found: list[list[list[int]]], width: int, nothing: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +203,10 @@ def decode(sequences: list[list[str]], field: Field) -> list[np.ndarray]:
     """Best labels of each token sequence, by Viterbi over all sequences of like length at once."""
     none = len(field.feature)
     out: list[np.ndarray] = [np.empty(0, int)] * len(sequences)
-    order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
+    long = [i for i, s in enumerate(sequences) if len(s) > LONGEST]
+    for i, labels in zip(long, _decode_long([sequences[i] for i in long], field), strict=True):
+        out[i] = labels
+    order = sorted((i for i, s in enumerate(sequences) if 0 < len(s) <= LONGEST), key=lambda i: len(sequences[i]))
     for at in range(0, len(order), 256):
         part = order[at : at + 256]
         ids, length = _padded([[[field.feature.get(f, none) for f in fs] for fs in features(sequences[i])] for i in part], 12, none)
@@ -230,6 +228,59 @@ def decode(sequences: list[list[str]], field: Field) -> list[np.ndarray]:
     return out
 
 
+def _block_features(tokens: list[str], at: int) -> list[list[str]]:
+    """Features of the LONGEST tokens from `at`, which look three tokens beyond the block."""
+    low = max(0, at - 3)
+    return features(tokens[low : at + LONGEST + 3])[at - low : at - low + LONGEST]
+
+
+def _decode_long(sequences: list[list[str]], field: Field) -> list[np.ndarray]:
+    """The same by blocks of LONGEST tokens, side by side, for sequences of any length.
+
+    First the best score through each block from every label before it to every label at its end; these are chained to
+    the scores before each block, from which it is decoded for every label at its end; the right one comes from behind.
+    """
+    none, L = len(field.feature), len(LABELS)
+    blocks = [(i, at) for i, s in enumerate(sequences) for at in range(0, len(s), LONGEST)]
+    done: list[tuple[np.ndarray, np.ndarray, int]] = []  # tokens x end label; label before by first label; best end label
+    after = np.zeros(L)
+    for g in range(0, len(blocks), 256):
+        part = blocks[g : g + 256]
+        ids, length = _padded([[[field.feature.get(f, none) for f in fs] for fs in _block_features(sequences[i], at)] for i, at in part], 12, none)
+        e = field.emit[ids].sum(2)
+        B, T, _ = e.shape
+        enter = np.where(np.array([at == 0 for _, at in part])[:, None, None], field.start, field.move)
+        through = enter + e[:, 0, None, :]
+        for t in range(1, T):
+            new = (through[:, :, :, None] + field.move).max(2) + e[:, t, None, :]
+            through = np.where((t < length)[:, None, None], new, through)
+        before, ends = np.zeros((B, L)), []
+        for b, (_, at) in enumerate(part):
+            if at:
+                before[b] = after
+            after = (before[b][:, None] + through[b]).max(0)
+            after -= after.max()
+            ends.append(int(after.argmax()))
+        step = before[:, :, None] + enter
+        entry, best, came = step.argmax(1), step.max(1) + e[:, 0], []
+        for t in range(1, T):
+            step = best[:, :, None] + field.move
+            came.append(step.argmax(1))
+            best = np.where((t < length)[:, None], step.max(1) + e[:, t], best)
+        last, path = np.tile(np.arange(L), (B, 1)), np.zeros((B, T, L), np.int8)
+        for t in range(T - 1, -1, -1):
+            path[:, t] = last
+            if t:
+                last = np.where((t < length)[:, None], np.take_along_axis(came[t - 1], last, 1), last)
+        done += [(path[b, : length[b]].copy(), entry[b], ends[b]) for b in range(B)]
+    found: list[list[np.ndarray]] = [[] for _ in sequences]
+    label = 0
+    for (i, _), (path, entry, end) in zip(reversed(blocks), reversed(done), strict=True):
+        found[i].append(path[:, label if found[i] else end])
+        label = int(entry[found[i][-1][0]])
+    return [np.concatenate(f[::-1]) for f in found]
+
+
 def passes(kind: str, text: str) -> bool:
     """Checks of added spans, looser than those of the patterns."""
     n = digits(text)
@@ -251,6 +302,8 @@ def all_spans(values: list[str], field: Field) -> list[tuple[list[Span], list[Sp
             where.append((i, offset))
             sequences.append(tokens)
     more: list[list[Span]] = [[] for _ in values]
+    starts = [[s[0] for s in b] for b in base]
+    reach = [np.maximum.accumulate([s[1] for s in b]).tolist() if b else [] for b in base]
     for (i, at), tokens, labels in zip(where, sequences, decode(sequences, field), strict=True):
         if not labels.any():
             continue
@@ -259,7 +312,8 @@ def all_spans(values: list[str], field: Field) -> list[tuple[list[Span], list[Sp
             name = LABELS[label]
             if now and not (name[0] == "I" and name[2:] == now[2]):
                 a, b, kind = now
-                touched = any(x < b and a < y for x, y, _ in base[i])
+                n = bisect_left(starts[i], b)
+                touched = n > 0 and a < reach[i][n - 1]
                 if not touched and passes(kind, values[i][a:b]):
                     more[i].append((a, b, kind))
                 now = None
