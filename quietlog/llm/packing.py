@@ -34,8 +34,8 @@ SENTENCE, ANYWHERE = 16, 128
 #: longest way between places where a cut is possible
 GAP = 64
 STRETCH = 1 << 20
-#: lengths of windows that need no padding; shorter powers of two are padded, a window of them is worth no cut
-POWERS = tuple(1 << k for k in range(8, 12))
+#: lengths of windows that need no padding
+POWERS = tuple(1 << k for k in range(WIDTH.bit_length() - 1))
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
