@@ -15,8 +15,10 @@ from quietlog.session import made_here, release, staged
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters, or that look like no language, go."""
-    return language.accepted(docs, language.fit(docs.where(~language.held_out() & F.col("doc_id").isNotNull())))
+    """Documents in a known language; those without letters, or that look like no language learned, go."""
+    known = docs.where(~language.held_out() & F.col("doc_id").isNotNull())
+    model = language.fit(known)
+    return language.accepted(docs, model, most=language.norms(known, model))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ cross a gap (but may start or end with it) are hashed into bins. Training counts
 texts, summed up in each task before the shuffle; the matrix of log-probabilities (languages x bins, both bounded by
 parameters) is broadcast. A text's n-grams are a sparse row that is multiplied with it, batch by batch, in numpy.
 
+The posterior only says which learned language is likelier than the others, so `norms` adds how well training texts fit
+their winning language: mean log-probability an n-gram, as far below the language's usual one as any training text is.
+
 A null text, or one without letters, is `und` with score 0, and so is everything where nothing could be learned. Rows
 without language or doc_id teach nothing; repeated rows count as often as they appear and each get an answer.
 """
@@ -25,6 +28,10 @@ from quietlog.llm.common import pieces
 BINS = 1 << 16
 ORDERS = (1, 2, 3)
 GAP = 32
+#: short texts stray more: 1 + SHORT / sqrt(n-grams) times as far
+SHORT = 8
+#: room for texts not learned from, and the most allowed, as a share of the way to bins that are all alike, where gibberish is
+ROOM, MOST = 0.5, 0.35
 
 
 class Model(NamedTuple):
@@ -32,6 +39,8 @@ class Model(NamedTuple):
     #: bins x languages
     log_p: np.ndarray
     log_prior: np.ndarray
+    #: mean log-probability of the n-grams learned for each language; 0 where there were none
+    usual: np.ndarray
 
 
 def held_out() -> Column:
@@ -100,25 +109,67 @@ def fit(docs: DataFrame, bins: int = BINS, max_langs: int = 32, smoothing: float
     p = total[:, :bins] + smoothing
     log_p = np.ascontiguousarray(np.log(p / p.sum(1, keepdims=True)).T)
     docs_of = total[:, bins]
-    return Model(tuple(langs), log_p, np.log(np.maximum(docs_of, 1) / max(docs_of.sum(), 1)))
+    usual = (total[:, :bins] * log_p.T).sum(1) / np.maximum(total[:, :bins].sum(1), 1)
+    return Model(tuple(langs), log_p, np.log(np.maximum(docs_of, 1) / max(docs_of.sum(), 1)), usual)
 
 
-def score(values: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of each text."""
+def weighed(values: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of each text and language, number of n-grams, and whether there are letters."""
     n = len(values)
-    total, letters = np.tile(model.log_prior, (n, 1)), np.zeros(n, bool)
+    total, letters, count = np.tile(model.log_prior, (n, 1)), np.zeros(n, bool), np.zeros(n, np.int64)
     for order, (owner, bin_) in zip(ORDERS, grams(values, len(model.log_p)), strict=True):
         start = np.searchsorted(owner, np.arange(n))
-        some = np.append(start[1:], len(owner)) > start
+        size = np.diff(start, append=len(owner))
+        some = size > 0
+        count += size
         if order == 1:
             letters = some
         if some.any() and model.langs:
             total[some] += np.add.reduceat(model.log_p[bin_], start[some], axis=0)
+    return total, count, letters
+
+
+def posterior(total: np.ndarray) -> np.ndarray:
+    """Probability of the likeliest language of each text."""
+    return 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+
+
+def score(values: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
+    """Language and posterior probability of each text."""
+    total, _, letters = weighed(values, model)
     if not model.langs:
-        return ["und"] * n, np.zeros(n)
+        return ["und"] * len(values), np.zeros(len(values))
+    return [model.langs[b] if x else "und" for b, x in zip(total.argmax(1), letters, strict=True)], np.where(letters, posterior(total), 0.0)
+
+
+def misfit(total: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Likeliest language of each text, and how far its mean n-gram is below the usual one there, by what its length allows."""
     best = total.argmax(1)
-    p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-    return [model.langs[b] if x else "und" for b, x in zip(best, letters, strict=True)], np.where(letters, p, 0.0)
+    n = np.maximum(count, 1)
+    mean = (total[np.arange(len(best)), best] - model.log_prior[best]) / n
+    return best, (model.usual[best] - mean) / (1 + SHORT / np.sqrt(n))
+
+
+def norms(docs: DataFrame, model: Model) -> np.ndarray:
+    """The largest misfit to accept in each language: that of all training texts it won, and some room, but at most MOST."""
+    if not model.langs:
+        return np.zeros(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros(len(shared.value.langs))
+        for batch in pieces(batches, "text"):
+            total, count, letters = weighed(batch.column("text").to_pylist(), shared.value)
+            best, off = misfit(total, count, shared.value)
+            np.maximum.at(most, best[letters], off[letters])
+        yield pa.record_batch([pa.array(np.arange(len(most)), pa.int32()), pa.array(most)], ["lang", "most"])
+
+    known = docs.where("text is not null and lang is not null").select("text")
+    out = np.zeros(len(model.langs))
+    for r in known.mapInArrow(worst, "lang int, most double").groupBy("lang").agg(F.max("most").alias("most")).collect():
+        out[r.lang] = r.most
+    limit = MOST * (model.usual + np.log(len(model.log_p)))
+    return np.where(model.usual < 0, np.minimum(out + ROOM, limit), -1.0)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -134,13 +185,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows, all columns as they are, whose text is in a known language with at least that probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, most: np.ndarray | None = None) -> DataFrame:
+    """The rows, all columns as they are, whose text is in a known language with at least that probability.
+
+    With `most` (see `norms`) the text must also fit that language; without, any text with letters is in one of them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, most = shared.value
         for batch in pieces(batches, "text"):
-            _, p = score(batch.column("text").to_pylist(), shared.value)
-            yield batch.filter(pa.array(p >= least))
+            total, count, letters = weighed(batch.column("text").to_pylist(), model)
+            keep = letters & bool(model.langs)
+            if model.langs:
+                keep &= posterior(total) >= least
+            if model.langs and most is not None:
+                best, off = misfit(total, count, model)
+                keep &= off <= most[best]
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
