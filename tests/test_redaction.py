@@ -177,4 +177,4 @@ def test_paths_and_trimming(spark):
 
 @pytest.mark.parametrize("pattern,ok", [("[", False), ("(a|b)+", True), (r"\p{Han}+", True)])
 def test_regex_check(spark, pattern, ok):
-    assert R.regex_compiles(spark, pattern) is ok
+    assert R.pattern_compiles(pattern) is ok
