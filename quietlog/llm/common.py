@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes of text that one numpy step looks at; bounds a task's memory
@@ -23,6 +23,20 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def n_pieces(text: Column, between: str) -> Column:
+    """How many pieces a text has between separators, without the empty one at either end."""
+    none = lambda piece: F.when(piece == "", 1).otherwise(0)
+    return let(
+        F.split(text, between),
+        lambda a: F.size(a) - none(F.get(a, F.lit(0))) - F.when(F.size(a) > 1, none(F.get(a, F.size(a) - 1))).otherwise(0),
+    ).cast("long")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again in slices of about `limit` bytes in `column`, at least one row each."""
     for batch in batches:

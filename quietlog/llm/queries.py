@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import bpe, chat_format, fingerprints, language, near_dups, neighbours, packing, pii, repeats, warc
+from quietlog.llm import bpe, chat_format, fingerprints, language, leaks, near_dups, neighbours, packing, pii, repeats, trie, warc
 from quietlog.llm.common import table
 
 #: the tokenizer's file on every executor
@@ -62,6 +62,14 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.groups(table(spark, folder, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(trie.turn_rows(table(spark, folder, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -73,8 +81,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_near_dups": op10_near_dups,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ord(ch), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+    return f"xor(list_reduce(list_concat([4294967295], {steps}), lambda a, x: {step}), 4294967295)"
+
+
 ORACLE: dict[str, str] = {
     "op3_neighbours": """
 with v as (
@@ -106,4 +123,65 @@ select conv_id, count(*) as n_turns,
   cast(3 + sum(length(esc) + case role when 'user' then 13 when 'assistant' then 4 else 17 + length(esc_role) end) as bigint) as formatted_chars
 from e group by conv_id
 """,
+    "op11_decontaminate": r"""
+with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), bi as (
+  select item_id, w, least(len(w), 10) as t, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0
+), bw as (
+  select distinct item_id, t, array_to_string(list_slice(w, i, i + t - 1), ' ') as win from bi
+), di as (
+  select r, w, t, unnest(range(1, len(w) - t + 2)) as i from d, (select distinct t from bw)
+), hit as (
+  select distinct r, i, t, array_to_string(list_slice(w, i, i + t - 1), ' ') as win from di
+  where array_to_string(list_slice(w, i, i + t - 1), ' ') in (select win from bw where bw.t = di.t)
+), n as (
+  select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + t)) as p from hit) group by r
+), it as (
+  select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+  from hit join bw using (t, win) group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (r) left join it using (r)
+""",
+    "op12_prefix_trie": r"""
+with r as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, id) as p, id, words from (
+    select conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+    from conversations where conv_id is not null)
+), c as (
+  select conv_id, CRC % 4 as h from (select distinct conv_id from r)
+), reb as (
+  select c.conv_id, r.p, 0 as own, id, words from c join r on r.conv_id = c.conv_id - c.conv_id % 20 and r.p <= c.h
+  union all select c.conv_id, r.p, 1, id, words from c join r on r.conv_id = c.conv_id and r.p > c.h
+), path as (
+  select conv_id, list(id order by own, p) as ids, list(words order by own, p) as ws from reb group by conv_id
+  union all select conv_id, [], [] from c where conv_id not in (select conv_id from reb)
+), m as (
+  select conv_id, d, array_to_string(list_slice(ids, 1, d), ',') as k, case when d > 0 then array_to_string(list_slice(ids, 1, d - 1), ',') end as pk,
+    case when d > 0 then ws[d] else 0 end as w, len(ids) = d as last
+  from (select *, unnest(range(0, len(ids) + 1)) as d from path)
+), node as (
+  select d, k, min(pk) as pk, min(conv_id) as conv_id, count(*) as n, max(w) as w,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where last), '')) as ends_sha256
+  from m group by d, k
+), kids as (
+  select d - 1 as d, pk as k, count(*) as n_children from node where d > 0 group by d, pk
+), full_node as (
+  select node.*, coalesce(n_children, 0) as n_children, p.conv_id as parent_conv_id
+  from node left join kids using (d, k) left join (select d + 1 as d, k as pk, conv_id from node) p using (d, pk)
+)
+select a.conv_id, a.d as depth, a.parent_conv_id, a.n as n_convs, a.n_children,
+  count(*) filter (where b.n_children = 0) as n_leaves, cast(sum((b.n - 1) * b.w) as bigint) as saved_tokens, a.ends_sha256
+from full_node a join full_node b on b.d >= a.d and (a.d = 0 or starts_with(b.k || ',', a.k || ','))
+group by all
+""".replace("CRC", _crc32("cast(conv_id as varchar)")),
 }
