@@ -10,7 +10,7 @@ from quietlog.functions.text import pin
 from quietlog.functions.tokens import message_bytes, output_tokens, text_tokens
 from quietlog.operators import usage as U
 from quietlog.operators.guard import safe_session_id, session_of
-from quietlog.operators.limits import limiter_state, window_limit
+from quietlog.operators.limits import limiter_state
 from quietlog.plans import data
 from quietlog.plans.data import AS_OF_SQL as NOW
 from quietlog.session import scratch
@@ -286,7 +286,7 @@ def usage_dashboard(spark, sf):
     """Stats and limiter state per provider, one row each, with name and models."""
     df = log(spark, sf)
     events = df.select(F.col("provider").alias("key"), "id", F.unix_micros("timestamp").alias("ts_us"))
-    state = limiter_state(window_limit(events, 3, 3600), 3, 3600, per_key=True).withColumnRenamed("key", "provider")
+    state = limiter_state(events, 3, 3600, per_key=True).withColumnRenamed("key", "provider")
     used = U.usage_by(df, "provider").withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
     dim = providers(spark).select("provider", "name", F.array_join("models", ",").alias("models"))
     return used.join(state, "provider").join(F.broadcast(dim), "provider")
@@ -297,12 +297,12 @@ def usage_dashboard(spark, sf):
 
 @query(
     "estimate_input_tokens",
-    "select conv_id, (sum(strlen(text)) // 2)::int as input_tokens from conversations group by conv_id",
+    "select conv_id, (sum(strlen(text)) // 2)::bigint as input_tokens from conversations group by conv_id",
 )
 def estimate_input_tokens(spark, sf):
     """Turns are measured row by row, so a conversation of any size is summed before the shuffle and never gathered."""
     turns = data.table(spark, sf, "conversations").select("conv_id", message_bytes(F.col("text")).alias("size"))
-    return turns.groupBy("conv_id").agg(F.floor(F.sum("size") / 2).cast("int").alias("input_tokens"))
+    return turns.groupBy("conv_id").agg(F.floor(F.sum("size") / 2).cast("long").alias("input_tokens"))
 
 
 @query(
