@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import bpe, chat_format, fingerprints, language, leaks, near_dups, neighbours, packing, pii, repeats, trie, warc
+from quietlog.llm import bpe, chat_format, fingerprints, language, leaks, near_dups, neighbours, packing, pii, repair, repeats, trie, warc
 from quietlog.llm.common import table
 
 #: the tokenizer's file on every executor
@@ -70,6 +70,10 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.trie(*trie.rebuilt(trie.turn_rows(table(spark, folder, "conversations"))))
 
 
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dups": op10_near_dups,
     "op11_decontaminate": op11_decontaminate,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 def _crc32(text: str) -> str:
@@ -184,4 +189,71 @@ select a.conv_id, a.d as depth, a.parent_conv_id, a.n as n_convs, a.n_children,
 from full_node a join full_node b on b.d >= a.d and (a.d = 0 or starts_with(b.k || ',', a.k || ','))
 group by all
 """.replace("CRC", _crc32("cast(conv_id as varchar)")),
+    "op13_structure_repair": r"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as id from conversations
+), kinds as (
+  select *, CRC % 20 as damage from raw
+), rows_ as (
+  select conv_id, turn, case when damage = 4 then 'user' else role end as role,
+    case damage when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when damage = 3 then [0, 1] else [0] end) as copy
+  from kinds where damage <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as place from rows_
+), faults as (
+  select *, coalesce(nullif(left(role, 1), ''), ' ') as initial, case
+    when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+    when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault
+  from placed
+), pairs as (
+  select *, lag(initial) over (partition by conv_id order by place) || initial as pair from faults
+), sums as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+    count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from pairs group by conv_id
+), closure(p, q, c, a, o) as (
+  values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'Iu'), (0, 3, 4, 'II', 'IuIa'),
+    (1, 2, 2, 'I', 'Iu'), (1, 3, 4, 'II', 'IuIa'), (2, 3, 2, 'I', 'Ia'), (3, 2, 2, 'I', 'Iu')
+), made(p, q, o) as (
+  values (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')
+), next_(p, i, q) as (
+  values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), kind as (
+  select distinct initial as i, fault in ('blank', 'duplicate') as x, fault = 'truncated' as t from faults
+), edit as (
+  select i, x, t, p, p as q, 3 as c, 'D' as a, 'D ' as o from kind, (select distinct p from made)
+  union all select i, x, t, p, q, 2 + cast(t as integer), 'R', 'R' || o from kind, made where not x
+  union all select i, x, t, p, q, cast(t as integer), 'K', 'K ' from kind join next_ using (i) where not x
+), step as (
+  select i, x, t, e.p, k.q, min({'c': e.c + k.c, 'a': e.a || k.a, 'o': e.o || k.o}) as s
+  from edit e join closure k on k.p = e.q group by all
+), w as (
+  select conv_id, cast(0 as bigint) as place, k.q as state, {'c': k.c, 'a': k.a, 'o': k.o} as s from (select distinct conv_id from faults), closure k where k.p = 0
+  union all
+  select w.conv_id, w.place + 1, step.q, min({'c': w.s.c + step.s.c, 'a': w.s.a || step.s.a, 'o': w.s.o || step.s.o})
+  from w join faults f on f.conv_id is not distinct from w.conv_id and f.place = w.place + 1
+  join step on step.p = w.state and step.i = f.initial and step.x = (f.fault in ('blank', 'duplicate')) and step.t = (f.fault = 'truncated')
+  group by all
+), best as (
+  select w.conv_id, min(w.s) as s from w join sums on sums.conv_id is not distinct from w.conv_id and w.place = sums.n where state in (0, 3) group by w.conv_id
+), units as (
+  select conv_id, j, substr(s.o, cast(2 * j - 1 as bigint), 2) as u from (select *, unnest(range(1, len(s.o) // 2 + 1)) as j from best)
+), at_ as (
+  select *, sum(case when u in ('Iu', 'Ia') then 0 else 1 end) over (partition by conv_id order by j) as place from units
+), lines as (
+  select a.conv_id, j, case u when 'Iu' then 'user:' when 'Ia' then 'assistant:' when 'Ru' then 'user:' || text when 'Ra' then 'assistant:' || text
+    when 'K ' then role || ':' || text end as line
+  from at_ a left join faults f on f.conv_id is not distinct from a.conv_id and f.place = a.place
+), whole as (
+  select conv_id, sha256(coalesce(string_agg(line, chr(10) order by j) filter (where line is not null), '')) as repaired_sha256 from lines group by conv_id
+)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, cast(coalesce(s.c, 0) as bigint) as cost, coalesce(s.a, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join sums on sums.conv_id is not distinct from i.conv_id
+left join best on best.conv_id is not distinct from i.conv_id left join whole on whole.conv_id is not distinct from i.conv_id
+""".replace("CRC", _crc32("id")),
 }

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietlog.llm.common import n_pieces
-from quietlog.llm.turns import joined_sha256, numbered, running
+from quietlog.llm.turns import joined_sha256, running
+from quietlog.operators.ranks import numbered
 from quietlog.session import staged
 
 #: turn-id columns of a block
@@ -49,7 +50,7 @@ def rebuilt(turns: DataFrame, family: int = 20, heads: int = 4) -> tuple[DataFra
 
     Conversation c takes its first h turns, h = crc32(c) % `heads`, from conversation c - c % `family`.
     """
-    own = staged(numbered(turns, "conv_id", ["turn", "id"]), "numbered")
+    own = staged(numbered(turns, ["conv_id"], ["turn", "id"]), "numbered")
     h = (F.crc32(F.col("conv_id").cast("string")) % heads).cast("long")
     sizes = own.groupBy("conv_id").agg(F.max("place").alias("n"))
     most = heads - 1
@@ -166,6 +167,6 @@ def ends(rows: DataFrame) -> DataFrame:
     last = rows.where(F.col("block") == F.greatest(((F.col("len") - 1) / BLOCK).cast("long"), F.lit(0)))
     ending = last.select("conv_id", _node(F.col("len") - F.col("block") * BLOCK).alias("key"))
     chunk = ((F.col("nth") - 1) / LISTED).cast("long")
-    lists = numbered(ending, "key", ["conv_id"], "nth").groupBy("key", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
+    lists = numbered(ending, ["key"], ["conv_id"], "nth").groupBy("key", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
     joined = F.concat(F.lit(","), F.array_join(F.transform("ids", lambda c: c.cast("string")), ","))
     return joined_sha256(lists, "key", "chunk", joined, "ends_sha256")

@@ -1,4 +1,4 @@
-"""Order within keys of any size: numbers, running sums and digests that don't gather a key's rows in one task."""
+"""Running sums and digests within keys of any size, that don't gather a key's rows in one task."""
 
 from __future__ import annotations
 
@@ -10,28 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietlog.session import staged
-
-#: groups that a running sum works in, and strings that one digest step joins
+#: rows that one group of a running sum has
 SPAN = 1024
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], place: str = "place") -> DataFrame:
-    """`rows` with their number within `key` (null is a key), from 1, in ascending order, nulls first.
-
-    Rows are dealt out by ranges of (key, order), so a hot key lies in many ranges; each range counts its own rows, and
-    starts at the sum of the counts before it.  Equal rows can be cut apart too, by their place in the input.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ties = rows.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = staged(ties.repartitionByRange(parts, key, *order, "_tie").withColumn("_slice", F.spark_partition_id()), "ranges")
-    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged.groupBy(key, "_slice").count().select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    joined = ranged.join(starts, ranged[key].eqNullSafe(starts["_key"]) & (ranged["_slice"] == starts["_of"]))
-    nth = F.row_number().over(W.partitionBy(key, "_slice").orderBy(*order, "_tie"))
-    return joined.withColumn(place, F.col("_start") + nth).drop("_tie", "_slice", "_key", "_of", "_start")
-
-
 def running(rows: DataFrame, key: str, at: str, sums: dict[str, str]) -> DataFrame:
     """`rows`, one for each (key, at), with the sums over smaller `at` of the columns that `sums` names: {new: summed}."""
     group = (F.col(at) / SPAN).cast("long")
