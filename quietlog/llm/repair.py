@@ -189,12 +189,12 @@ def count_illegal(initials: pd.Series) -> pd.Series:
 
 @F.pandas_udf(CELLS)
 def parse_cells(cells: pd.Series) -> pd.Series:
-    return cells.map(lambda row: _rows(storeys([_cell(c) for c in row])))
+    return cells.map(lambda row: _rows(storeys([_cell(c["cells"]) for c in row])))
 
 
 @F.pandas_udf(_structs(p=T.IntegerType(), q=T.IntegerType()))
 def pass_cells(cells: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    found = [passes([_cell(c) for c in row], p, q) for row, p, q in zip(cells, start, end, strict=True)]
+    found = [passes([_cell(c["cells"]) for c in row], p, q) for row, p, q in zip(cells, start, end, strict=True)]
     return pd.Series([[{"p": p, "q": q} for p, q in way] for way in found])
 
 
@@ -269,7 +269,7 @@ def repaired(rows: DataFrame) -> DataFrame:
     while most > 1:
         parent = (F.col("at") / CHART / CHART).cast("long")
         under = floors[-1].groupBy("conv_id", parent.alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "cells"))).alias("below"))
-        floors.append(staged(under.select("conv_id", F.col("up").alias("at"), parse_cells("below.cells").alias("cells"), F.col("below.cells").alias("below")), "floor"))
+        floors.append(staged(under.select("conv_id", F.col("up").alias("at"), parse_cells("below").alias("cells"), "below"), "floor"))
         most = -(-most // CHART**2)
     root = floors[-1].select("conv_id", "at", F.array_min(F.transform(F.filter("cells", lambda c: (c.p == 0) & c.q.isin(*ACCEPTED)), lambda c: F.struct(c.cost, c.audit, c.q))).alias("best"))
     root = staged(root.select("conv_id", "at", "best.cost", "best.audit", F.lit(0).alias("p"), "best.q"), "root")
