@@ -17,15 +17,26 @@ from quietlog.session import staged
 DATA, DONE = "data: ", "[DONE]"
 
 
+def ends_stream(line: Column) -> Column:
+    return F.coalesce(line == DATA + DONE, F.lit(True))
+
+
+def chunk_of(line: Column) -> Column:
+    """The object in a data line, as a variant; null for any other line."""
+    return F.when(line.startswith(DATA) & (line != DATA + DONE), parse_object(F.substr(line, F.lit(len(DATA) + 1))))
+
+
 def chunks(lines: DataFrame) -> DataFrame:
-    """Parsed chunks (stream_id, seq, chunk variant) ahead of the first [DONE]; other lines are dropped."""
-    done = lines.filter(F.col("line") == DATA + DONE).groupBy("stream_id").agg(F.min("seq").alias("done_seq"))
-    data = lines.filter(F.col("line").startswith(DATA) & (F.col("line") != DATA + DONE))
-    body = F.substr("line", F.lit(len(DATA) + 1))
+    """Parsed chunks (stream_id, seq, chunk variant) ahead of the first [DONE]; other lines are dropped.
+
+    A null line, one too long to read, ends a stream as [DONE] does.
+    """
+    done = lines.filter(ends_stream(F.col("line"))).groupBy("stream_id").agg(F.min("seq").alias("done_seq"))
     return (
-        data.join(done, "stream_id", "left")
+        lines.filter(F.col("line").startswith(DATA))
+        .join(done, "stream_id", "left")
         .filter(F.col("done_seq").isNull() | (F.col("seq") < F.col("done_seq")))
-        .select("stream_id", "seq", pin(parse_object(body)).alias("chunk"))
+        .select("stream_id", "seq", pin(chunk_of(F.col("line"))).alias("chunk"))
         .filter(F.col("chunk").isNotNull())
     )
 
@@ -89,17 +100,11 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
-def block_events(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """Block-style events of chat streams: rows (stream_id, phase, seq, event, data), in that order.
-
-    `requests`: one row per stream with message_id, model and input_tokens.  Text pieces become
-    delta rows where they are; the other events come from one aggregate per stream.
-    """
-    parsed = chunks(lines).select("stream_id", "seq", "chunk")
+def block_pieces(rows: DataFrame) -> DataFrame:
+    """Rows with a `chunk`, which becomes text (empty if none), finish and tokens."""
     first = let(vget(F.col("chunk"), "$.choices[0]"), lambda c: F.when(vkind(c) == "OBJECT", c))
-    parsed = parsed.withColumn("choice", pin(first)).select(
-        "stream_id",
-        "seq",
+    return rows.withColumn("choice", pin(first)).select(
+        *(c for c in rows.columns if c != "chunk"),
         F.coalesce(vstring(F.col("choice"), "$.delta.content"), F.lit("")).alias("text"),
         let(
             vget(F.col("choice"), "$.finish_reason"),
@@ -107,7 +112,40 @@ def block_events(lines: DataFrame, requests: DataFrame) -> DataFrame:
         ).alias("finish"),
         whole(F.col("chunk"), "$.usage.completion_tokens").alias("tokens"),
     )
-    parsed = staged(parsed, "chunks")
+
+
+def event_data() -> Column:
+    """The data of a block event: from its name, text, finish, out (output tokens), message_id, model and input_tokens."""
+    null = F.lit(None).cast("string")
+    message = F.struct(
+        F.array().cast("array<string>").alias("content"), F.col("message_id").alias("id"), F.col("model").alias("model"),
+        F.lit("assistant").alias("role"), null.alias("stop_reason"), null.alias("stop_sequence"), F.lit("message").alias("type"),
+        F.struct(F.col("input_tokens").alias("input_tokens"), F.lit(0).alias("output_tokens")).alias("usage"),
+    )
+    stop = F.when(F.col("finish").isNull(), "end_turn").otherwise(map_finish_reason(F.col("finish")))
+    name = F.col("event")
+    fields = {
+        "message_start": {"message": message},
+        "content_block_start": {"content_block": F.struct(F.lit("").alias("text"), F.lit("text").alias("type")), "index": F.lit(0)},
+        "content_block_delta": {"delta": F.struct(F.col("text").alias("text"), F.lit("text_delta").alias("type")), "index": F.lit(0)},
+        "content_block_stop": {"index": F.lit(0)},
+        "message_delta": {"delta": F.struct(stop.alias("stop_reason"), null.alias("stop_sequence")), "usage": F.struct(F.col("out").alias("output_tokens"))},
+        "message_stop": {},
+    }
+    out = F.lit(None).cast("string")
+    for event, own in fields.items():
+        named = dict(sorted((own | {"type": F.lit(event)}).items()))
+        out = F.when(name == event, _json(**named)).otherwise(out)
+    return out
+
+
+def block_events(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """Block-style events of chat streams: rows (stream_id, phase, seq, event, data), in that order.
+
+    `requests`: one row per stream with message_id, model and input_tokens.  Text pieces become
+    delta rows where they are; the other events come from one aggregate per stream.
+    """
+    parsed = staged(block_pieces(chunks(lines).select("stream_id", "seq", "chunk")), "chunks")
     per_stream = parsed.groupBy("stream_id").agg(
         F.max_by("finish", F.when(F.col("finish").isNotNull(), F.col("seq"))).alias("finish"),
         F.max_by("tokens", F.when(F.col("tokens") > 0, F.col("seq"))).alias("tokens"),
@@ -119,44 +157,18 @@ def block_events(lines: DataFrame, requests: DataFrame) -> DataFrame:
         .join(trimmed_chars(texts), "stream_id", "left")
         .withColumn("out", F.coalesce("tokens", F.floor(F.coalesce("chars", F.lit(0)) / 2)).cast("long"))
     )
-    null = F.lit(None).cast("string")
-
-    def event(phase: int, name: str, data: Column, when: Column | None = None) -> Column:
-        row = F.struct(F.lit(phase).alias("phase"), F.lit(name).alias("event"), data.alias("data"))
-        return row if when is None else F.when(when, row)
-
     started = F.coalesce("pieces", F.lit(0)) > 0
-    message = F.struct(
-        F.array().cast("array<string>").alias("content"), F.col("message_id").alias("id"), F.col("model").alias("model"),
-        F.lit("assistant").alias("role"), null.alias("stop_reason"), null.alias("stop_sequence"), F.lit("message").alias("type"),
-        F.struct(F.col("input_tokens").alias("input_tokens"), F.lit(0).alias("output_tokens")).alias("usage"),
-    )
-    stop = F.when(F.col("finish").isNull(), "end_turn").otherwise(map_finish_reason(F.col("finish")))
-    block = F.struct(F.lit("").alias("text"), F.lit("text").alias("type"))
-    fixed = F.array(
-        event(0, "message_start", _json(message=message, type=F.lit("message_start"))),
-        event(1, "content_block_start", _json(content_block=block, index=F.lit(0), type=F.lit("content_block_start")), started),
-        event(3, "content_block_stop", _json(index=F.lit(0), type=F.lit("content_block_stop")), started),
-        event(
-            4,
-            "message_delta",
-            _json(
-                delta=F.struct(stop.alias("stop_reason"), null.alias("stop_sequence")),
-                type=F.lit("message_delta"),
-                usage=F.struct(F.col("out").alias("output_tokens")),
-            ),
-        ),
-        event(5, "message_stop", _json(type=F.lit("message_stop"))),
-    )
-    frame_rows = frames.select("stream_id", F.explode(F.filter(fixed, lambda e: e.isNotNull())).alias("e")).select(
-        "stream_id", "e.phase", F.lit(0).cast("long").alias("seq"), "e.event", "e.data"
+    event = lambda phase, name: F.struct(F.lit(phase).alias("phase"), F.lit(name).alias("event"))
+    opening, closing = [event(0, "message_start")], [event(4, "message_delta"), event(5, "message_stop")]
+    block = [event(1, "content_block_start"), event(3, "content_block_stop")]
+    names = F.when(started, F.array(*opening, *block, *closing)).otherwise(F.array(*opening, *closing))
+    null = F.lit(None).cast("string")
+    frame_rows = frames.withColumn("e", F.explode(names)).select(
+        "stream_id", "e.phase", F.lit(0).cast("long").alias("seq"), "e.event", null.alias("text"), "finish", "out", "message_id", "model", "input_tokens"
     )
-    delta = F.struct(F.col("text").alias("text"), F.lit("text_delta").alias("type"))
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in frame_rows.schema.fields}
     delta_rows = texts.select(
-        "stream_id",
-        F.lit(2).alias("phase"),
-        F.col("seq").cast("long").alias("seq"),
-        F.lit("content_block_delta").alias("event"),
-        _json(delta=delta, index=F.lit(0), type=F.lit("content_block_delta")).alias("data"),
-    )
-    return frame_rows.unionByName(delta_rows)
+        "stream_id", F.lit(2).alias("phase"), F.col("seq").cast("long").alias("seq"), F.lit("content_block_delta").alias("event"), "text",
+        *(none[c] for c in ("finish", "out", "message_id", "model", "input_tokens")),
+    )
+    return frame_rows.unionByName(delta_rows).select("stream_id", "phase", "seq", "event", event_data().alias("data"))

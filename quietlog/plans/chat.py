@@ -9,6 +9,9 @@ from quietlog.functions.payload import parse_object, vget, vstring
 from quietlog.functions.text import pin
 from quietlog.operators import capture
 from quietlog.plans import data
+from quietlog.session import scratch
+from quietlog.sources.captures import numbered_lines, read_captures, stream_captures, write_captures
+from quietlog.streaming import jobs
 
 QUERIES, ORACLE = {}, {}
 
@@ -244,7 +247,11 @@ PARSED = f"""with {data.duck_sse()}, done as (select stream_id, min(seq) as d fr
 
 @query("sse_line_source", f"{PARSED} select stream_id, seq, txt as text from texts")
 def sse_line_source(spark, sf):
-    df = capture.chunks(data.sse_lines(spark, sf))
+    """Lines written as capture files, read back in byte ranges of 16 KB: long ones have several."""
+    folder = scratch(spark, "captures")
+    write_captures(data.sse_lines(spark, sf), folder)
+    lines = numbered_lines(read_captures(spark, folder, split_bytes=16_384))
+    df = capture.chunks(lines.withColumn("stream_id", F.col("stream_id").cast("long")))
     return df.select("stream_id", "seq", F.coalesce(vstring(F.col("chunk"), "$.choices[0].delta.content"), F.lit("")).alias("text"))
 
 
@@ -268,15 +275,33 @@ def stream_usage(spark, sf):
     union all select stream_id, 5, 0, 'message_stop', '' from per""",
 )
 def stream_to_block_events(spark, sf):
-    requests = data.turns_or_texts(spark, sf, "conversations").filter("role = 'assistant'").select(
+    return _told(capture.block_events(data.sse_lines(spark, sf), _asked(spark, sf)))
+
+
+def _asked(spark, sf):
+    return data.turns_or_texts(spark, sf, "conversations").filter("role = 'assistant'").select(
         F.expr("conv_id * 1000 + turn").alias("stream_id"),
         F.concat(F.lit("msg_"), F.expr("conv_id * 1000 + turn")).alias("message_id"),
         F.lit("m").alias("model"),
         F.expr("(conv_id * 1000 + turn) % 9").alias("input_tokens"),
     )
-    df = capture.block_events(data.sse_lines(spark, sf), requests).withColumn("v", F.try_parse_json("data"))
+
+
+def _told(events):
+    df = events.withColumn("v", F.try_parse_json("data"))
     v = F.col("v")
     start = F.concat(vstring(v, "$.message.id"), F.lit(":"), vget(v, "$.message.usage.input_tokens", "string"))
     end = F.concat(F.coalesce(vstring(v, "$.delta.stop_reason"), F.lit("null")), F.lit(":"), vget(v, "$.usage.output_tokens", "string"))
     detail = F.when(F.col("phase") == 0, start).when(F.col("phase") == 4, end).otherwise(F.coalesce(vstring(v, "$.delta.text"), F.lit("")))
     return df.select("stream_id", "phase", "seq", "event", detail.alias("detail"))
+
+
+@query("block_events_stream", ORACLE["stream_to_block_events"])
+def block_events_stream(spark, sf):
+    """The same events from capture files that are read as a stream, by a state machine for each capture."""
+    folder, out = scratch(spark, "captures"), scratch(spark, "block-events")
+    write_captures(data.sse_lines(spark, sf), folder)
+    lines = stream_captures(spark, folder).select(F.col("stream_id").cast("long").alias("stream_id"), F.col("offset").alias("seq"), "line", F.current_timestamp().alias("at"))
+    events = jobs.block_event_stream(lines, _asked(spark, sf), count_lines=True)
+    jobs.append_parquet(events, out, scratch(spark, "block-events-checkpoint")).awaitTermination()
+    return _told(spark.read.schema(events.schema).parquet(out))

@@ -129,19 +129,25 @@ def usage_incremental(spark, sf):
     return jobs.latest(spark, out, ["shard"], ["requests", "input_tokens", "output_tokens"])
 
 
+#: after all data: what is still open at the end of the given tables is settled
+END = "timestamp '2200-01-01'"
+
+
 @query(
     "request_two_phase_stream",
-    f"""{LOG}, x as (select *, timestamp + interval 120 second < (select max(timestamp) from requests) - interval 600 second as due from requests)
-    select status, count(*) as n, case when status = 'completed' then sum(output_tokens)::bigint end as output_tokens from x where status = 'completed' or due group by 1""",
+    f"""{LOG} select status, count(*) as n, case when status = 'completed' then sum(output_tokens)::bigint end as output_tokens from requests group by 1""",
 )
 def request_two_phase_stream(spark, sf):
-    """Arrivals joined with completions that come 30 s later; unmatched ones leave at the watermark."""
+    """Arrivals joined with completions that come 30 s later; heartbeats behind the last row settle the unmatched."""
     arrivals = _requests_stream(spark, sf).select("id", "timestamp", "input_tokens")
     done = _requests_stream(spark, sf).filter("not pending").select(
         "id", (F.col("timestamp") + F.expr("INTERVAL 30 SECONDS")).alias("completed_at"), "output_tokens"
     )
-    out = _drain(spark, jobs.complete_stream(arrivals, done), "two-phase")
-    return out.groupBy("status").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
+    left, right, out = (scratch(spark, f"two-phase-{x}") for x in ("arrivals", "completions", "out"))
+    joined = jobs.complete_stream(jobs.with_heartbeat(arrivals, left), jobs.with_heartbeat(done, right))
+    jobs.settled_parquet(joined, out, scratch(spark, "two-phase-checkpoint"), (arrivals, left, "timestamp", F.expr(END)), (done, right, "completed_at", F.expr(END)))
+    rows = spark.read.schema(joined.schema).parquet(out).where("id is not null")
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
 
 
 @query(
@@ -152,7 +158,10 @@ def window_limit_stream(spark, sf):
     raw = jobs.read_table(spark, sf, "events").select(
         F.expr("user_id % 10").cast("string").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
     )
-    return _drain(spark, jobs.window_limit_stream(raw, MAX, SIZE), "limits").select("id", "allowed")
+    beats, out = scratch(spark, "limits-beats"), scratch(spark, "limits")
+    judged = jobs.window_limit_stream(jobs.with_heartbeat(raw, beats), MAX, SIZE)
+    jobs.settled_parquet(judged, out, scratch(spark, "limits-checkpoint"), (raw, beats, "ts_us", F.unix_micros(F.expr(END))))
+    return spark.read.schema(judged.schema).parquet(out).where("id is not null").select("id", "allowed")
 
 
 GUARD_TEXT = "text || case turn % 3 when 0 then ' my password is pw' || turn when 1 then ' see ~/.ssh/id_rsa' else '' end"

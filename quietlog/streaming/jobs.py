@@ -3,13 +3,13 @@ with a caller-given sink folder and checkpoint; nothing is kept on the driver.""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quietlog.functions.rules import Policy
+from quietlog.functions.text import SPACE_CHARS, pin
+from quietlog.operators.capture import block_pieces, chunk_of, ends_stream, event_data
 from quietlog.operators.guard import audit_entries, guard
 from quietlog.sources.request_log import RESPONSE_COLUMNS
 from quietlog.sources.tracks import BUCKETS, append_tracks
@@ -107,34 +107,221 @@ def complete_stream(pending: DataFrame, completions: DataFrame, timeout: str = "
     return joined.withColumn("status", F.when(F.col("completed_id").isNull(), "pending").otherwise("completed"))
 
 
-def window_limit_stream(events: DataFrame, max_requests: int = 100, size_seconds: int = 300) -> DataFrame:
-    """Anchored-window limiter with keyed state over (key string, id, ts_us).
+class _Windows(StatefulProcessor):
+    """Events of a key wait in list state until the watermark has passed them, and are judged in time order then."""
 
-    Events are judged in time order inside a batch; an event that arrives after a later one of its
-    key is judged on arrival.
-    """
-    size = size_seconds * 1_000_000
+    def __init__(self, most: int, size: int):
+        self.most, self.size = most, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_us long, id long")
+        self.window = handle.getValueState("window", "start_us long, count long")
 
-    def judge(key, batches: Iterator, state) -> Iterator:
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for pdf in rows:
+            new = list(zip(pdf["ts_us"].tolist(), pdf["id"].tolist(), strict=True))
+            self.waiting.appendList(new)
+            first = min(new)[0] if first is None else min(first, min(new)[0])
+        self.handle.registerTimer(_passed(first))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        start, count = state.get if state.exists else (None, 0)
-        # batches of one micro-batch only; the state carries everything older
-        for pdf in [pd.concat(list(batches)).sort_values(["ts_us", "id"])]:
-            allowed = []
-            for t in pdf["ts_us"].tolist():
-                if start is None or t - start > size:
-                    start, count = t, 0
-                allowed.append(count < max_requests)
-                count += count < max_requests
-            state.update((start, count))
-            yield pd.DataFrame({"key": key[0], "id": pdf["id"].to_numpy(), "allowed": allowed})
-
-    return events.groupBy("key").applyInPandasWithState(
-        judge, "key string, id long, allowed boolean", "start long, count int", "append", "NoTimeout"
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        start, count = self.window.get() if self.window.exists() else (None, 0)
+        due, later = [], []
+        for event in self.waiting.get():
+            (due if event[0] < until else later).append(event)
+        due.sort()
+        judged = []
+        for t, i in due:
+            if start is None or t - start > self.size:
+                start, count = t, 0
+            judged.append((i, count < self.most))
+            count += count < self.most
+        # a window that ended before the watermark can count no event any more
+        if start is not None and start + self.size >= until:
+            self.window.update((start, count))
+        elif self.window.exists():
+            self.window.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(_passed(min(later)[0]))
+        else:
+            self.waiting.clear()
+            if start is not None and start + self.size >= until:
+                self.handle.registerTimer(_passed(start + self.size))
+        if judged:
+            keys = pd.Series([key[0]] * len(judged), dtype=object)  # strings of Arrow come in chunks, which this operator doesn't take
+            yield pd.DataFrame({"key": keys, "id": [i for i, _ in judged], "allowed": [ok for _, ok in judged]})
+
+
+def _passed(us: int) -> int:
+    """The first millisecond after a time in microseconds."""
+    return us // 1000 + 1
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """State with lists and timers is kept in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def window_limit_stream(events: DataFrame, max_requests: int = 100, size_seconds: int = 300, lateness: str = "10 minutes") -> DataFrame:
+    """Anchored-window limiter with keyed state over (key string, id, ts_us): allowed by key and id.
+
+    Events are judged in time order, however they arrive, once the watermark has passed them; those that come later
+    than `lateness` are dropped.  A key's state goes when its window has ended and no event waits.
+    """
+    keyed_state(events.sparkSession)
+    timed = events.select("key", "id", "ts_us", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", lateness)
+    return timed.groupBy("key").transformWithStateInPandas(
+        _Windows(max_requests, size_seconds * 1_000_000), "key string, id long, allowed boolean", "append", "eventTime"
     )
 
 
+class _Blocks(StatefulProcessor):
+    """A capture's block events as its lines come: opened by the first line, closed by [DONE] or by a pause."""
+
+    STATE = "lines long, started boolean, closed boolean, finish string, tokens long, chars long, blanks long, any_text boolean, message_id string, model string, input_tokens long, due_ms long"
+
+    def __init__(self, pause_ms: int, count_lines: bool):
+        self.pause_ms, self.count_lines = pause_ms, count_lines
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("capture", self.STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.seq)
+        names = [f.split()[0] for f in self.STATE.split(", ")]
+        out = []
+        if self.state.exists():
+            now = dict(zip(names, self.state.get(), strict=True))
+        else:
+            r = new[0]
+            now = dict.fromkeys(names, None) | {"lines": 0, "started": False, "closed": False, "chars": 0, "blanks": 0, "any_text": False, "due_ms": 0}
+            now |= {"message_id": _value(r.message_id), "model": _value(r.model), "input_tokens": _value(r.input_tokens, int)}
+            out.append((0, 0, "message_start", None))
+        for r in new:
+            place = now["lines"] if self.count_lines else int(r.seq)
+            now["lines"] += 1
+            if now["closed"]:
+                continue
+            if r.ends:
+                out += self._closing(now)
+                continue
+            if not r.is_chunk:
+                continue
+            if (reason := _value(r.finish)) is not None:
+                now["finish"] = reason
+            if (tokens := _value(r.tokens, int)) is not None and tokens > 0:
+                now["tokens"] = tokens
+            if r.text:
+                if not now["started"]:
+                    now["started"] = True
+                    out.append((1, 0, "content_block_start", None))
+                out.append((2, place, "content_block_delta", r.text))
+                _measure(now, r.text)
+        if now["due_ms"]:
+            self.handle.deleteTimer(now["due_ms"])
+        now["due_ms"] = max(now["due_ms"], max(int(r.at_ms) for r in new) + self.pause_ms)
+        self.handle.registerTimer(now["due_ms"])
+        self.state.update(tuple(now[n] for n in names))
+        if out:
+            yield self._frame(key[0], now, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = dict(zip([f.split()[0] for f in self.STATE.split(", ")], self.state.get(), strict=True))
+        self.state.clear()
+        if not now["closed"]:
+            yield self._frame(key[0], now, self._closing(now))
+
+    def _closing(self, now: dict) -> list:
+        now["closed"] = True
+        stop = [(3, 0, "content_block_stop", None)] if now["started"] else []
+        return [*stop, (4, 0, "message_delta", None), (5, 0, "message_stop", None)]
+
+    def _frame(self, key, now: dict, out: list):
+        import pandas as pd
+
+        tokens = now["tokens"] or now["chars"] // 2
+        # strings of Arrow come in chunks, which this operator doesn't take
+        column = lambda values: pd.Series(list(values), dtype=object)
+        told = lambda name, value: column(value if e == name else None for _, _, e, _ in out)
+        return pd.DataFrame(
+            {
+                "stream_id": [key] * len(out), "phase": [p for p, *_ in out], "seq": [n for _, n, *_ in out],
+                "event": column(e for _, _, e, _ in out), "text": column(t for *_, t in out), "finish": told("message_delta", now["finish"]),
+                "out": told("message_delta", tokens), "message_id": told("message_start", now["message_id"]),
+                "model": told("message_start", now["model"]), "input_tokens": told("message_start", now["input_tokens"]),
+            }
+        )
+
+
+def _value(x, kind=None):
+    """A value of a pandas row, with None for what is missing."""
+    return None if x is None or x != x else kind(x) if kind else x
+
+
+def _measure(now: dict, text: str) -> None:
+    """Count the characters of a growing text without white space at its ends."""
+    inner = text.strip(SPACE_CHARS)
+    if not inner:
+        now["blanks"] += len(text)
+        return
+    lead = len(text) - len(text.lstrip(SPACE_CHARS))
+    if now["any_text"]:
+        now["chars"] += now["blanks"] + lead
+    now["any_text"] = True
+    now["chars"] += len(inner)
+    now["blanks"] = len(text) - lead - len(inner)
+
+
+def block_event_stream(lines: DataFrame, requests: DataFrame, pause: str = "10 minutes", count_lines: bool = False) -> DataFrame:
+    """Block events (stream_id, phase, seq, event, data) of captures that are still being written.
+
+    `lines` (stream_id, seq, line, at) may come in any number of batches, a capture's lines in order; `requests` is a table
+    as for `block_events`.  A capture without [DONE] is closed when no line has come for `pause` of `at`; its state goes then too.
+    `count_lines` gives text events the line's number instead of its seq.
+    """
+    spark = lines.sparkSession
+    keyed_state(spark)
+    kind = dict(lines.dtypes)["stream_id"]
+    milliseconds = int(spark.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + interval {pause})")).first()[0])
+    parsed = lines.withWatermark("at", "0 seconds").withColumn("ends", ends_stream(F.col("line"))).withColumn("chunk", pin(chunk_of(F.col("line")))).drop("line")
+    pieces = block_pieces(parsed.withColumns({"is_chunk": F.col("chunk").isNotNull(), "at_ms": F.unix_millis("at")}))
+    joined = pieces.join(requests, "stream_id", "left")
+    fields = "phase int, seq long, event string, text string, finish string, out long, message_id string, model string, input_tokens long"
+    rows = joined.groupBy("stream_id").transformWithStateInPandas(_Blocks(milliseconds, count_lines), f"stream_id {kind}, {fields}", "append", "eventTime")
+    return rows.select("stream_id", "phase", "seq", "event", event_data().alias("data"))
+
+
+def with_heartbeat(stream: DataFrame, folder: str) -> DataFrame:
+    """A stream that also reads the rows that `beat` puts into `folder`: they move the watermark when no data comes."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def beat(stream: DataFrame, folder: str, column: str, at: Column) -> None:
+    """A row of nulls but for its time: what waits for the watermark up to `at`, less the lateness, is settled."""
+    spark = stream.sparkSession
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    row = spark.range(1).select(*((at if n == column else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+    row.coalesce(1).write.mode("append").parquet(folder)
+
+
+def settled_parquet(df: DataFrame, path: str, checkpoint: str, *beats: tuple[DataFrame, str, str, Column]) -> None:
+    """Run a query until all is read, then once more from its checkpoint after the beats: nothing waits any longer."""
+    append_parquet(df, path, checkpoint).awaitTermination()
+    for each in beats:
+        beat(*each)
+    append_parquet(df, path, checkpoint).awaitTermination()
+
+
 def guard_stream(
     payloads: DataFrame,
     session: Column,
