@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.common import n_pieces
+from quietlog.functions.text import pin
+from quietlog.llm.common import let, n_pieces
 from quietlog.llm.turns import joined_sha256, running
 from quietlog.operators.ranks import numbered
 from quietlog.session import staged
@@ -68,16 +69,17 @@ def rebuilt(turns: DataFrame, family: int = 20, heads: int = 4) -> tuple[DataFra
     return lead.unionByName(tail), convs.select("conv_id", "len")
 
 
-def _hash(place: Column, turn_id: Column) -> list[Column]:
+def _hash(place: Column, turn_id: Column) -> Column:
+    """Four 32-bit numbers."""
     digest = F.md5(F.concat_ws(":", place.cast("string"), turn_id))
-    return [F.conv(F.substr(digest, F.lit(8 * k + 1), F.lit(8)), 16, 10).cast("long") for k in range(4)]
+    return let(digest, lambda d: F.array(*(F.conv(F.substr(d, F.lit(8 * k + 1), F.lit(8)), 16, 10).cast("long") for k in range(4))))
 
 
 def blocks(turns: DataFrame, convs: DataFrame) -> DataFrame:
     """A row per conversation and block (one even without turns): turn ids, words, and sums over the turns before it."""
     pieces = [f"s{k}" for k in range(4)]
     block, slot = ((F.col("place") - 1) / BLOCK).cast("long"), (F.col("place") - 1) % BLOCK + 1
-    hashed = turns.withColumns(dict(zip(pieces, _hash(F.col("place"), F.col("id")), strict=True))).withColumns({"block": block, "slot": slot})
+    hashed = turns.withColumn("hash", pin(_hash(F.col("place"), F.col("id")))).withColumns({p: F.get("hash", F.lit(k)) for k, p in enumerate(pieces)} | {"block": block, "slot": slot})
     whole = hashed.groupBy("conv_id", "block").agg(
         *(F.max(F.when(F.col("slot") == i, F.col("id"))).alias(f"t{i}") for i in range(1, BLOCK + 1)),
         F.array(*(F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("words"))), F.lit(0)) for i in range(1, BLOCK + 1))).alias("words"),
@@ -94,18 +96,13 @@ def blocks(turns: DataFrame, convs: DataFrame) -> DataFrame:
     return filled.unionByName(none).withColumn("node", _node(F.lit(0)))
 
 
-def _add(k: int):
-    return lambda total, part: total + F.get(part, F.lit(k))
-
-
 def _node(level: Column) -> Column:
     """The node at `level` of a block row."""
     ids = F.slice(F.array(*SLOTS), 1, level.cast("int"))
-    sums = []
-    parts = F.transform(ids, lambda t, i: F.array(*_hash(F.col("block") * BLOCK + i + 1, t)))
-    for k in range(4):
-        sums.append(F.aggregate(parts, F.col(f"p{k}"), _add(k)).cast("string"))
-    return F.md5(F.concat_ws(",", *sums))
+    hashes = F.transform(ids, lambda t, i: _hash(F.col("block") * BLOCK + i + 1, t))
+    before = F.array(*(F.col(f"p{k}") for k in range(4)))
+    sums = F.aggregate(hashes, before, lambda total, h: F.zip_with(total, h, lambda a, b: a + b))
+    return F.md5(F.array_join(F.transform(sums, lambda n: n.cast("string")), ","))
 
 
 def prefixes(rows: DataFrame, measures: str) -> DataFrame:
