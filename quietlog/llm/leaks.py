@@ -100,11 +100,11 @@ def occurrences(documents: DataFrame, known: DataFrame) -> DataFrame:
         return docs.select("doc_id", "row_key", F.lit(0).alias("place"), F.lit(0).alias("t"), F.lit("").alias("window")).limit(0)
     hashes = let(words(F.col("text")), lambda w: F.concat(*(kept(w, t) for t in lengths)))
     prints = docs.select("doc_id", "row_key", F.explode(pin(F.array_distinct(hashes))).alias("hash"))
-    touched = staged(prints.join(known.select("hash").distinct(), "hash", "left_semi").select("doc_id", "row_key").distinct(), "touched")
+    touched = staged(prints.join(known.select("hash"), "hash", "left_semi").select("doc_id", "row_key").distinct(), "touched")
     near = docs.join(touched, _same(docs, touched), "left_semi")
     each = near.select("doc_id", "row_key", F.explode(pin(let(words(F.col("text")), lambda w: F.concat(*(windows(w, t) for t in lengths))))).alias("w"))
     flat = each.select("doc_id", "row_key", "w.hash", "w.place", "w.t", "w.window")
-    return flat.join(known.select("hash", "t", "window").distinct(), ["hash", "t", "window"], "left_semi").drop("hash").distinct()
+    return flat.join(known.select("hash", "t", "window"), ["hash", "t", "window"], "left_semi").drop("hash").distinct()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
