@@ -131,6 +131,7 @@ def usage_incremental(spark, sf):
 
 #: after all data: what is still open at the end of the given tables is settled
 END = "timestamp '2200-01-01'"
+NO_ID = -(2**63)
 
 
 @query(
@@ -145,7 +146,10 @@ def request_two_phase_stream(spark, sf):
     )
     left, right, out = (scratch(spark, f"two-phase-{x}") for x in ("arrivals", "completions", "out"))
     joined = jobs.complete_stream(jobs.with_heartbeat(arrivals, left), jobs.with_heartbeat(done, right))
-    jobs.settled_parquet(joined, out, scratch(spark, "two-phase-checkpoint"), (arrivals, left, "timestamp", F.expr(END)), (done, right, "completed_at", F.expr(END)))
+    jobs.settled_parquet(joined, out, scratch(spark, "two-phase-checkpoint"),
+        lambda: jobs.beat(arrivals, left, "timestamp", F.expr(END)),
+        lambda: jobs.beat(done, right, "completed_at", F.expr(END), id=F.lit(NO_ID)),
+    )
     rows = spark.read.schema(joined.schema).parquet(out).where("id is not null")
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
 
@@ -160,7 +164,7 @@ def window_limit_stream(spark, sf):
     )
     beats, out = scratch(spark, "limits-beats"), scratch(spark, "limits")
     judged = jobs.window_limit_stream(jobs.with_heartbeat(raw, beats), MAX, SIZE)
-    jobs.settled_parquet(judged, out, scratch(spark, "limits-checkpoint"), (raw, beats, "ts_us", F.unix_micros(F.expr(END))))
+    jobs.settled_parquet(judged, out, scratch(spark, "limits-checkpoint"), lambda: jobs.beat(raw, beats, "ts_us", F.unix_micros(F.expr(END))))
     return spark.read.schema(judged.schema).parquet(out).where("id is not null").select("id", "allowed")
 
 

@@ -3,6 +3,8 @@ with a caller-given sink folder and checkpoint; nothing is kept on the driver.""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -306,19 +308,22 @@ def with_heartbeat(stream: DataFrame, folder: str) -> DataFrame:
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
 
 
-def beat(stream: DataFrame, folder: str, column: str, at: Column) -> None:
-    """A row of nulls but for its time: what waits for the watermark up to `at`, less the lateness, is settled."""
+def beat(stream: DataFrame, folder: str, column: str, at: Column, **values: Column) -> None:
+    """A row of nulls but for its time and `values`: what waits for the watermark up to `at`, less the lateness, is settled.
+
+    A join drops rows with a null key before they move a watermark, so those need a key that nothing has.
+    """
     spark = stream.sparkSession
-    kinds = {f.name: f.dataType for f in stream.schema.fields}
-    row = spark.range(1).select(*((at if n == column else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+    given = values | {column: at}
+    row = spark.range(1).select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields))
     row.coalesce(1).write.mode("append").parquet(folder)
 
 
-def settled_parquet(df: DataFrame, path: str, checkpoint: str, *beats: tuple[DataFrame, str, str, Column]) -> None:
+def settled_parquet(df: DataFrame, path: str, checkpoint: str, *beats: Callable[[], None]) -> None:
     """Run a query until all is read, then once more from its checkpoint after the beats: nothing waits any longer."""
     append_parquet(df, path, checkpoint).awaitTermination()
     for each in beats:
-        beat(*each)
+        each()
     append_parquet(df, path, checkpoint).awaitTermination()
 
 

@@ -106,7 +106,7 @@ def test_block_events_do_not_depend_on_batches(spark, tmp_path, batches):
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     out, beats, checkpoint = (str(tmp_path / x) for x in ("out", "beats", "checkpoint"))
     events = jobs.block_event_stream(jobs.with_heartbeat(stream, beats), requests, count_lines=True)
-    jobs.settled_parquet(events, out, checkpoint, (stream, beats, "at", F.expr("timestamp '2100-01-01'")))
+    jobs.settled_parquet(events, out, checkpoint, lambda: jobs.beat(stream, beats, "at", F.expr("timestamp '2100-01-01'")))
     got = {tuple(r) for r in spark.read.schema(events.schema).parquet(out).collect() if r.stream_id is not None}
     begun = spark.createDataFrame(lines, "stream_id long, seq long, line string")
     want = capture.block_events(begun, requests.join(begun.select("stream_id").distinct(), "stream_id"))

@@ -28,7 +28,7 @@ def test_limiter_judges_in_time_order(spark, tmp_path, batches):
     raw = written(spark, rows, kind, tmp_path / "in", batches)
     beats, out, checkpoint = (str(tmp_path / x) for x in ("beats", "out", "checkpoint"))
     judged = jobs.window_limit_stream(jobs.with_heartbeat(raw, beats), 4, 20, lateness="1 minute")
-    jobs.settled_parquet(judged, out, checkpoint, (raw, beats, "ts_us", F.expr("unix_micros(timestamp '2100-01-01')")))
+    jobs.settled_parquet(judged, out, checkpoint, lambda: jobs.beat(raw, beats, "ts_us", F.expr("unix_micros(timestamp '2100-01-01')")))
     got = {(r.key, r.id): r.allowed for r in spark.read.schema(judged.schema).parquet(out).collect() if r.id is not None}
     assert got == {(k, i): ok for k, ts in times.items() for i, (_, ok) in enumerate(windows_plainly(ts, 20 * US, 4))}
     for state in ("window", "waiting"):
@@ -43,18 +43,19 @@ def test_events_beyond_the_lateness_go(spark, tmp_path):
     raw = written(spark, rows, "key string, id long, ts_us long", tmp_path / "in", 5)
     beats, out = str(tmp_path / "beats"), str(tmp_path / "out")
     judged = jobs.window_limit_stream(jobs.with_heartbeat(raw, beats), 4, 20, lateness="1 minute")
-    jobs.settled_parquet(judged, out, str(tmp_path / "checkpoint"), (raw, beats, "ts_us", F.expr("unix_micros(timestamp '2100-01-01')")))
+    jobs.settled_parquet(judged, out, str(tmp_path / "checkpoint"), lambda: jobs.beat(raw, beats, "ts_us", F.expr("unix_micros(timestamp '2100-01-01')")))
     assert sorted(r.id for r in spark.read.schema(judged.schema).parquet(out).collect() if r.id is not None) == [1, 2, 4, 5]
 
 
 def test_two_phases_are_settled(spark, tmp_path):
-    arrivals = written(spark, [(i, i * 10) for i in range(60)], "id long, s long", tmp_path / "a", 3)
-    done = written(spark, [(i, i * 10 + (30 if i % 3 else 500)) for i in range(60) if i % 5], "id long, s long", tmp_path / "d", 3)
+    arrivals = written(spark, [(i, 1000 + i * 10) for i in range(60)], "id long, s long", tmp_path / "a", 3)
+    done = written(spark, [(i, 1000 + i * 10 + (30 if i % 3 else 500)) for i in range(60) if i % 5], "id long, s long", tmp_path / "d", 3)
     arrivals = arrivals.select("id", F.timestamp_seconds("s").alias("timestamp"))
     done = done.select("id", F.timestamp_seconds("s").alias("completed_at"), F.lit(1).alias("output_tokens"))
     left, right, out = (str(tmp_path / x) for x in ("left", "right", "out"))
     joined = jobs.complete_stream(jobs.with_heartbeat(arrivals, left), jobs.with_heartbeat(done, right))
     far = F.expr("timestamp '2100-01-01'")
-    jobs.settled_parquet(joined, out, str(tmp_path / "checkpoint"), (arrivals, left, "timestamp", far), (done, right, "completed_at", far))
+    beats = lambda: jobs.beat(arrivals, left, "timestamp", far), lambda: jobs.beat(done, right, "completed_at", far, id=F.lit(-1))
+    jobs.settled_parquet(joined, out, str(tmp_path / "checkpoint"), *beats)
     got = sorted((r.id, r.status) for r in spark.read.schema(joined.schema).parquet(out).collect() if r.id is not None)
     assert got == [(i, "completed" if i % 5 and i % 3 else "pending") for i in range(60)]
