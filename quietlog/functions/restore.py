@@ -63,9 +63,10 @@ def mapping_replacements(mapping: Column) -> Column:
     return F.transform(entries, lambda e: F.struct(e.key.alias("original"), e.value.alias("tag")))
 
 
-def encode_token(replacements: Column) -> Column:
-    """Versioned JSON in unpadded URL-safe base64."""
-    body = F.to_json(F.struct(F.lit(1).alias("v"), replacements.alias("replacements")))
+def encode_token(replacements: Column, mapping: Column | None = None) -> Column:
+    """Versioned JSON in unpadded URL-safe base64; with the mapping, where one is given."""
+    both = [replacements.alias("replacements"), F.lit(1).alias("v")]
+    body = F.to_json(F.struct(*([] if mapping is None else [mapping.alias("mapping")]), *both))
     # base64 breaks no lines here only because the breaks are taken out again
     plain = F.regexp_replace(F.base64(body.cast("binary")), "[\r\n=]", "")
     return F.translate(plain, "+/", "-_")

@@ -114,3 +114,17 @@ def normalize(c: Column) -> Column:
     """
     need = needs_normalizing(c)
     return F.coalesce(_normalize_batch(F.when(need, c)), c)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _normalize_lists(lists):
+    import pyarrow as pa
+
+    return pa.array([None if x is None else [None if t is None else clean_text(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def normalize_each(texts: Column) -> Column:
+    """`normalize` for the texts of an array; rows without a text that can change send only a null."""
+    sent = F.transform(texts, lambda t: F.when(needs_normalizing(t), t))
+    new = _normalize_lists(F.when(F.exists(sent, lambda t: t.isNotNull()), sent))
+    return F.when(new.isNull(), texts).otherwise(F.zip_with(texts, new, lambda t, n: F.coalesce(n, t)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quietlog.functions import detect as D
 from quietlog.functions import rules as R
+from quietlog.functions.context import redact_context, restore_context
 from quietlog.functions.payload import parse_object, request_options
 from quietlog.functions.redact import redact
 from quietlog.functions.restore import decode_token, encode_token, html_escape
@@ -272,10 +273,70 @@ def _conv(spark, sf):
     return data.turns_or_texts(spark, sf, "conversations").withColumn("text", F.concat("text", tail))
 
 
-@query("redact_messages", f"{CONV} select conv_id, turn, role, t as content, len(r) as n_values from redacted")
+#: turns of a body; a client's request holds a window of a conversation, and a row stays bounded
+WINDOW = 64
+
+
+def _bodies(spark, sf):
+    """Whole conversations as payloads (conv_id, part, body): contents are strings, or lists of parts for every third turn."""
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    image = F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"))
+    content = F.when(F.col("turn") % 3 == 2, F.to_json(F.array(text, image))).otherwise(F.get_json_object(F.to_json(F.struct(F.array("text").alias("t"))), "$.t"))
+    rows = _conv(spark, sf).select("conv_id", "turn", F.floor(F.col("turn") / WINDOW).alias("part"), "role", "text", content.alias("content"))
+    # a string's JSON without the list around it
+    json = F.when(F.col("turn") % 3 == 2, F.col("content")).otherwise(F.expr("substring(content, 2, length(content) - 2)"))
+    message = F.concat(F.lit('{"content":'), json, F.lit(',"role":'), F.to_json(F.col("role").try_cast("string").try_cast("variant")), F.lit(',"turn":'), F.col("turn").cast("string"), F.lit("}"))
+    each = rows.withColumn("message", message).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "message"))).alias("m"))
+    return each.select("conv_id", "part", F.concat(F.lit('{"messages":['), F.array_join("m.message", ","), F.lit("]}")).alias("body"))
+
+
+def _read_messages(df, context):
+    """Messages as rows again: conv_id, turn, role, content."""
+    items = F.explode(F.try_variant_get(F.parse_json(F.col(context)), "$", "array<variant>")).alias("m")
+    rows = df.select("*", items)
+    text = F.coalesce(F.when(F.col("turn_") % 3 == 2, F.try_variant_get("m", "$.content[0].text", "string")), F.try_variant_get("m", "$.content", "string"))
+    return rows.withColumn("turn_", F.try_variant_get("m", "$.turn", "long")).withColumns({"turn": F.col("turn_"), "role": F.try_variant_get("m", "$.role", "string"), "content": text})
+
+
+@query(
+    "redact_messages",
+    f"""{CONV}, counts as (select conv_id, turn // {WINDOW} as part, count(*) as segments_processed from conv group by 1, 2),
+    vals as (select conv_id, turn // {WINDOW} as part, count(distinct e.original) as redacted_values, count(*) as n_values
+      from (select conv_id, turn, unnest(r) as e from redacted) group by 1, 2)
+    select redacted.conv_id, turn, role, t as content, segments_processed, redacted_values, n_values
+    from redacted join counts on counts.conv_id = redacted.conv_id and counts.part = turn // {WINDOW}
+      join vals on vals.conv_id = redacted.conv_id and vals.part = turn // {WINDOW}""",
+)
 def redact_messages(spark, sf):
-    df = C.redact_corpus(_conv(spark, sf))
-    return df.select("conv_id", "turn", "role", F.col("redacted").alias("content"), F.size("replacements").cast("long").alias("n_values"))
+    """Conversation bodies redacted as a whole, read back message by message."""
+    df = _bodies(spark, sf).withColumn("payload", pin(parse_object(F.col("body"))))
+    done = redact_context(df).select("conv_id", "part", "redaction.*")
+    token = F.size(decode_token(F.col("restore_token"))["replacements"]).cast("long")
+    rows = _read_messages(done.withColumn("n_values", token), "redacted_context")
+    return rows.select("conv_id", "turn", "role", "content", "segments_processed", "redacted_values", "n_values")
+
+
+@query(
+    "restore_messages",
+    f"""{CONV},
+    q as (select conv_id, turn, unnest(r) as e, generate_subscripts(r, 1) as ord from redacted),
+    queue as (select conv_id, turn // {WINDOW} as part, e.tag as tag, e.original as original, row_number() over (partition by conv_id, turn // {WINDOW}, e.tag order by turn, ord) as n from q),
+    pieces as (select conv_id, turn, regexp_extract_all(t, {S.q(R.PLACEHOLDER)}) as tags, regexp_split_to_array(t, {S.q(R.PLACEHOLDER)}) as gaps from redacted),
+    marks as (select conv_id, turn, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from pieces),
+    filled as (select m.conv_id, m.turn, m.pos, coalesce(q.original, m.tag) as v from (
+      select *, turn // {WINDOW} as part, row_number() over (partition by conv_id, turn // {WINDOW}, tag order by turn, pos) as n from marks) m left join queue q using (conv_id, part, tag, n)),
+    vs as (select conv_id, turn, list(v order by pos) as v from filled group by 1, 2)
+    select p.conv_id, p.turn, case when v is null then p.gaps[1] else
+      array_to_string(list_transform(list_zip(p.gaps, v), lambda z: z[1] || coalesce(z[2], '')), '') end as content
+    from pieces p left join vs using (conv_id, turn)""",
+)
+def restore_messages(spark, sf):
+    """Bodies out and back: redacted contexts with their tokens, restored with one queue for a body."""
+    df = _bodies(spark, sf).withColumn("payload", pin(parse_object(F.col("body"))))
+    out = staged(redact_context(df).select("conv_id", "redaction.redacted_context", "redaction.restore_token"), "contexts")
+    asked = F.concat(F.lit('{"redacted_messages":'), "redacted_context", F.lit(',"restore_token":"'), "restore_token", F.lit('"}'))
+    back = restore_context(out.withColumn("payload", pin(parse_object(asked))), continued=True).select("conv_id", "restoration.restored_context")
+    return _read_messages(back, "restored_context").select("conv_id", "turn", "content")
 
 
 @query(
