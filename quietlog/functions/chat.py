@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietlog.functions.payload import parse_object, vget, vkind, vstring
-from quietlog.functions.text import is_blank, let, pin
+from quietlog.functions.text import contains_any, is_blank, let, pin
 from quietlog.functions.tokens import whole
 
 # Finish reasons, and field names whose null means an empty list or object.
@@ -111,6 +111,14 @@ def _as_function(tool):
     return out
 
 
+def _fixed_request(body):
+    """A whole request: nulls repaired wherever they stand, then its tools in function form."""
+    out = _repaired(body)
+    if isinstance(out.get("tools"), list):
+        out["tools"] = [_as_function(t) for t in out["tools"]]
+    return out
+
+
 def _per_json(change):
     """Arrow function over array<string> of JSON; the few distinct texts of a corpus are worked once per worker."""
 
@@ -135,6 +143,9 @@ def _per_json(change):
 
 _repair_batch = _per_json(_repaired)
 _function_batch = _per_json(_as_function)
+_request_batch = _per_json(_fixed_request)
+#: without any of these in its text a request has nothing to repair
+REPAIRABLE = ("null", "object", "input_schema", "parameters")
 
 
 def repair_schemas(schemas: Column) -> Column:
@@ -142,6 +153,15 @@ def repair_schemas(schemas: Column) -> Column:
     return _repair_batch(F.when(F.size(schemas) > 0, schemas))
 
 
+def repair_request(body: Column) -> Column:
+    """A request body with null fields repaired and tools in function form; what is no JSON object stays as it is.
+
+    Bodies whose text holds nothing to repair stay in the JVM, the others are read and written once.
+    """
+    some = contains_any(body, REPAIRABLE) & parse_object(body).isNotNull()
+    return F.coalesce(F.get(_request_batch(F.when(some, F.array(body))), F.lit(0)), body)
+
+
 def tools_as_functions(tools: Column) -> Column:
     """array<string> of tool definitions in function form."""
     return F.coalesce(_function_batch(F.when(F.size(tools) > 0, tools)), F.when(tools.isNotNull(), F.array().cast("array<string>")))

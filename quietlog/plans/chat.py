@@ -184,6 +184,25 @@ def schema_null_fix(spark, sf):
     return df.groupBy("fixed").agg(F.count("*").alias("n"))
 
 
+@query(
+    "request_schema_fix",
+    """select conv_id, turn, case turn % 5
+      when 0 then '{"context":[],"messages":[{"content":"' || conv_id || '","items":{"type":"string"},"name":null}],"model":"m"}'
+      when 1 then '{"tools":[{"function":{"name":"f' || conv_id || '","parameters":{"properties":{"a":{"enum":[]}},"required":[],"type":"object"}},"type":"function"},"x"],"x":null}'
+      when 2 then '{"required":[],"tools":{"additionalProperties":true,"oneOf":[]},"type":"object"}'
+      when 3 then '{"model": "m", "n": ' || turn || '}' else '[null]' end as fixed from conversations""",
+)
+def request_schema_fix(spark, sf):
+    """A request body per turn, of a few shapes, repaired as a whole."""
+    body = F.expr(
+        "case turn % 5 when 0 then concat('{\"model\": \"m\", \"default\": null, \"context\": null, \"messages\": [{\"name\": null, \"items\": null, \"content\": \"', conv_id, '\"}]}') "
+        "when 1 then concat('{\"x\": null, \"tools\": [{\"name\": \"f', conv_id, '\", \"description\": null, \"input_schema\": {\"type\": \"object\", \"properties\": {\"a\": {\"enum\": null}}}}, \"x\"]}') "
+        "when 2 then '{\"type\": \"object\", \"tools\": {\"oneOf\": null, \"additionalProperties\": null}}' "
+        "when 3 then concat('{\"model\": \"m\", \"n\": ', turn, '}') else '[null]' end"
+    )
+    return data.turns_or_texts(spark, sf, "conversations").select("conv_id", "turn", H.repair_request(body).alias("fixed"))
+
+
 # chat responses of the assistant turns
 CHAT = """
 select id, text, turn, case id % 7 when 6 then '{"id": "e", "choices": []}' else

@@ -97,7 +97,7 @@ def _drain(spark, df, name):
 def _settled(spark, df, name):
     """Windows as they stand when the stream has been read, those included that the watermark still keeps open."""
     out = scratch(spark, name)
-    jobs.upsert_parquet(df, out, scratch(spark, f"{name}-checkpoint")).awaitTermination()
+    jobs.upsert_parquet(df, out, scratch(spark, f"{name}-checkpoint"), keys=["window_start"]).awaitTermination()
     return jobs.latest(spark, out, ["window_start"], [c for c in df.columns if c != "window_start"])
 
 
@@ -125,7 +125,7 @@ def recent_rate_stream(spark, sf):
 def usage_incremental(spark, sf):
     counters = jobs.usage_counters(_requests_stream(spark, sf), F.expr("id % 10").alias("shard"))
     out = scratch(spark, "counters")
-    jobs.upsert_parquet(counters, out, scratch(spark, "counters-checkpoint")).awaitTermination()
+    jobs.upsert_parquet(counters, out, scratch(spark, "counters-checkpoint"), keys=["shard"]).awaitTermination()
     return jobs.latest(spark, out, ["shard"], ["requests", "input_tokens", "output_tokens"])
 
 

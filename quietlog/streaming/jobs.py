@@ -38,11 +38,16 @@ def append_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "appen
     )
 
 
-def upsert_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Update-mode sink: each batch's changed rows go to their own folder, so a repeated batch overwrites itself."""
+def upsert_parquet(df: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, every: int = 20) -> StreamingQuery:
+    """Update-mode sink: each batch's changed rows go to their own folder, so a repeated batch overwrites itself.
+
+    With `keys`, every `every` batches the rows are compacted into a snapshot, so `latest` reads a bounded number of folders.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("changed_in", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if keys is not None and batch_id % every == every - 1:
+            compact(batch.sparkSession, path, keys, batch_id)
 
     return (
         df.writeStream.outputMode("update")
@@ -53,13 +58,55 @@ def upsert_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
-    """Current state of an `upsert_parquet` folder."""
-    rows = spark.read.parquet(path)
+def _numbered_folders(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Folders `<prefix><number>` that a write has completed, by number."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return {}
+    found = {f.getPath().getName(): f.getPath() for f in files.listStatus(hadoop) if f.isDirectory()}
+    done = {n: p for n, p in found.items() if n.startswith(prefix) and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+    return {int(n.removeprefix(prefix)): p.toString() for n, p in done.items()}
+
+
+def changed_folders(spark: SparkSession, path: str, upto: int | None = None) -> list[str]:
+    """What `latest` has to read: the newest snapshot, and the batches after it."""
+    least = lambda n: upto is None or n <= upto
+    snapshots = {n: p for n, p in _numbered_folders(spark, f"{path}/_snapshots", "upto=").items() if least(n)}
+    newest = max(snapshots, default=-1)
+    batches = {n: p for n, p in _numbered_folders(spark, path, "batch=").items() if n > newest and least(n)}
+    return [snapshots[n] for n in snapshots if n == newest] + [batches[n] for n in sorted(batches)]
+
+
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in rows.columns if c not in keys]
     newest = F.max_by(F.struct(*values), "changed_in").alias("v")
     return (rows.groupBy(*keys) if keys else rows).agg(newest).select(*keys, "v.*")
 
 
+def compact(spark: SparkSession, path: str, keys: list[str], upto: int) -> None:
+    """A snapshot of an `upsert_parquet` folder up to a batch.
+
+    It appears as a whole, once it has been written.  Batches and snapshots that it replaces stay until the next one, so whoever has just
+    listed them can still read them.
+    """
+    old = _numbered_folders(spark, f"{path}/_snapshots", "upto=")
+    gone = sorted(n for n in old if n < upto)
+    rows = spark.read.parquet(*changed_folders(spark, path, upto))
+    _newest(rows, keys).write.mode("overwrite").parquet(f"{path}/_snapshots/upto={upto}")
+    if gone:
+        batches = _numbered_folders(spark, path, "batch=")
+        for folder in [old[n] for n in gone[:-1]] + [p for n, p in batches.items() if n <= gone[-1]]:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Current state of an `upsert_parquet` folder."""
+    rows = spark.read.parquet(*changed_folders(spark, path)).select(*keys, *values, "changed_in")
+    return _newest(rows, keys).select(*keys, *values)
+
+
 def usage_counters(requests: DataFrame, *by) -> DataFrame:
     """Running counters: arrivals count requests and input tokens, completions output tokens."""
     zero = F.lit(0).cast("long")

@@ -272,3 +272,15 @@ def test_several_queries_of_a_session(spark):
         one = spark.createDataFrame([(s, text)], "session_id string, query string")
         alone[s, q] = sorted((r.rank, r["index"]) for r in select_context(messages, one, top_k=2).collect())
     assert {k: sorted(v) for k, v in got.items()} == alone and alone["s", 8][0] == (1, 1)
+
+
+def test_whole_requests_are_repaired(spark):
+    given = {
+        '{"a": 1}': {"a": 1}, "[null]": [None], '{"default": null, "a": {"default": null, "items": null}}': {"a": {"items": {"type": "string"}}},
+        '{"tools": [{"name": "f", "description": "d", "cache": null, "input_schema": null}, 3, {"function": {"name": "g", "parameters": {"type": "object", "x": {"allOf": null}}}}]}':
+            {"tools": [{"cache": None, "type": "function", "function": {"name": "f", "description": "d", "parameters": None}}, 3, {"function": {"name": "g", "parameters": {"type": "object", "required": [], "x": {"allOf": []}}}}]},
+        '{"tools": null, "messages": [{"context": null, "type": "object"}]}': {"tools": None, "messages": [{"context": [], "type": "object", "required": []}]},
+    }
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(given)] + [(90, None), (91, "null {"), (92, "{null"), (93, "")], "i long, b string")
+    got = {r.b: r.f for r in rows.select("b", H.repair_request(F.col("b")).alias("f")).collect()}
+    assert {b: json.loads(got[b]) for b in given} == given and all(got[b] == b for b in (None, "null {", "{null", ""))

@@ -59,3 +59,24 @@ def test_two_phases_are_settled(spark, tmp_path):
     jobs.settled_parquet(joined, out, str(tmp_path / "checkpoint"), *beats)
     got = sorted((r.id, r.status) for r in spark.read.schema(joined.schema).parquet(out).collect() if r.id is not None)
     assert got == [(i, "completed" if i % 5 and i % 3 else "pending") for i in range(60)]
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_snapshots_keep_the_state_in_few_folders(spark, tmp_path, keys):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 4), i) for i in range(60)]
+    raw = written(spark, rows, "k long, n long", tmp_path / "in", 30)
+    counters = (raw.groupBy("k") if keys else raw.groupBy()).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    out = str(tmp_path / "out")
+    jobs.upsert_parquet(counters, out, str(tmp_path / "checkpoint"), keys=keys, every=4).awaitTermination()
+    folders = jobs.changed_folders(spark, out)
+    assert len(folders) <= 4 and "_snapshots/upto=27" in folders[0]
+    assert len(jobs._numbered_folders(spark, out, "batch=")) <= 8 and len(jobs._numbered_folders(spark, f"{out}/_snapshots", "upto=")) == 2
+    want = {}
+    for k, n in rows:
+        c, total = want.get(k if keys else 0, (0, 0))
+        want[k if keys else 0] = (c + 1, total + n)
+    assert {(r.k if keys else 0): (r.c, r.n) for r in jobs.latest(spark, out, keys, ["c", "n"]).collect()} == want
+    # a snapshot that is still being written is not read
+    (tmp_path / "out" / "_snapshots" / "upto=99").mkdir()
+    assert jobs.changed_folders(spark, out) == folders
