@@ -14,6 +14,7 @@ from quietlog.plans import data
 from quietlog.plans import redact_sql as S
 from quietlog.session import scratch
 from quietlog.sources import tracks as T
+from quietlog.sources.track_store import TrackStore
 
 POLICY, RULES = R.Policy(), R.Rules()
 QUERIES, ORACLE = {}, {}
@@ -207,6 +208,13 @@ def _stored(spark, sf):
     return path
 
 
+def _store(spark, sf, size=None):
+    usable, _ = T.valid(_entries(spark, sf), "redact")
+    store = TrackStore(spark, scratch(spark, "track-store"), buckets=FEW, size=size)
+    store.append(T.ingest(usable, redact_flag="redact"))
+    return store
+
+
 @query(
     "message_ingest",
     f"{DUCK_CLEAN} select session_id, seq, role, full_text, clean_text, '{{\"n\":\"' || seq || '\",\"s\":\"x\",\"z\":\"<nil>\"}}' as metadata, 'ok' as state from msgs"
@@ -254,12 +262,12 @@ def audit_track_scan(spark, sf):
 
 @query("session_list", f"{DUCK_CLEAN} select distinct session_id from msgs")
 def session_list(spark, sf):
-    return T.list_sessions(spark, _stored(spark, sf))
+    return _store(spark, sf).sessions()
 
 
 @query("session_load", f"{DUCK_CLEAN} select session_id, seq, role, 'clean' as track, clean_text as content from msgs where session_id = '3' order by seq desc limit 3")
 def session_load(spark, sf):
-    return T.load_session(spark, _stored(spark, sf), "3", limit=3, buckets=FEW).select("session_id", "seq", "role", "track", "content")
+    return _store(spark, sf).session("3", limit=3).select("session_id", "seq", "role", "track", "content")
 
 
 @query(
@@ -270,10 +278,10 @@ def session_load(spark, sf):
 )
 def track_trim(spark, sf):
     """The last 3 rows of sessions above 3000 bytes (the defaults would not touch test data)."""
-    path = _stored(spark, sf)
-    both = T.read_track(spark, path, "full").unionByName(T.read_track(spark, path, "clean"))
-    size = F.octet_length("content") + F.octet_length("role") + 90 + F.octet_length(F.col("timestamp_ms").cast("string"))
-    return T.trim(both, 3, 2999, line_bytes=size).select("session_id", "seq", "track", "content")
+    store = _store(spark, sf, F.octet_length("content") + F.octet_length("role") + 90 + F.octet_length(F.col("timestamp_ms").cast("string")))
+    store.trim(3, 2999)
+    both = store.read("full").unionByName(store.read("clean"))
+    return both.select("session_id", "seq", "track", "content")
 
 
 # ---- context
