@@ -115,6 +115,43 @@ def scores(messages: DataFrame, queries: DataFrame, session: str = "session_id",
     )
 
 
+def score_queries(messages: DataFrame, queries: DataFrame, query_id: str, session: str = "session_id", index: str = "index", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Scores above 0 of the messages of a session for each of its queries, and the queries that have a score at all.
+
+    Messages are taken apart once into postings, whatever the number of queries; queries are a second set of postings, which
+    meets the first on (session, token).  So only pairs that share a token are ever made, from weights and not from texts.
+    """
+    docs = messages.filter(~is_blank(F.col(text))).select(session, index, text)
+    asked = queries.filter(~is_blank(F.col("query"))).select(session, query_id, F.col("query").alias(text))
+    wanted = docs.join(asked.select(session), session, "left_semi")
+    posts = staged(postings(wanted, [session, index], text), "postings")
+    sizes = wanted.groupBy(session).agg(F.count("*").alias("n_docs"))
+    weighed = F.log((1 + F.col("n_docs")) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    idf = doc_frequency(posts, session).join(sizes, session).select(session, "token", weighed.alias("idf"))
+    indexed = staged(posts.join(idf, [session, "token"]).select(session, "token", index, (F.col("weight") * F.col("idf")).alias("x")), "index")
+    norms = indexed.groupBy(session, index).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    df = doc_frequency(posts, session)
+    asking = staged(
+        postings(asked, [session, query_id], text).join(df, [session, "token"], "left").join(sizes, session)
+        .select(session, query_id, "token", (F.col("weight") * weighed).alias("qx")),
+        "asked",
+    )
+    q_norms = asking.groupBy(session, query_id).agg(F.sqrt(F.sum(F.col("qx") * F.col("qx"))).alias("q_norm"))
+    dots = indexed.join(asking, [session, "token"]).groupBy(session, query_id, index).agg(F.sum(F.col("x") * F.col("qx")).alias("dot"))
+    scored = dots.join(norms, [session, index]).join(q_norms, [session, query_id])
+    return scored.select(session, query_id, index, (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")), q_norms.select(session, query_id)
+
+
+def _select_for_queries(messages: DataFrame, queries: DataFrame, k: int, min_score: float, session: str, index: str, text: str, query_id: str) -> DataFrame:
+    scored, known = score_queries(messages, queries, query_id, session, index, text)
+    # a query with fewer than k messages above 0 goes on with the first ones that it shares nothing with: they are among the first 2k
+    first = top_n(messages.filter(~is_blank(F.col(text))).select(session, index), [session], [F.asc(index)], 2 * k)
+    rest = known.join(first, session).join(scored.select(session, query_id, index), [session, query_id, index], "left_anti").withColumn("score", F.lit(0.0))
+    both = scored.unionByName(rest).filter(F.col("score") >= min_score).withColumn("_s", F.round("score", 12))
+    ranked = top_n(both, [session, query_id], [F.desc("_s"), F.asc(index)], k, "rank")
+    return ranked.join(messages.select(session, index, text), [session, index]).select(session, query_id, "rank", index, text, "score")
+
+
 def select_context(
     messages: DataFrame,
     queries: DataFrame,
@@ -129,13 +166,9 @@ def select_context(
 
     `query_id`: the column of `queries` that tells a session's queries apart; without it a session has one query.
     """
-    if query_id is not None:
-        # every query scores all texts of its session, so each gets them under a key of its own
-        one = queries.select(F.struct(session, query_id).alias("_asked"), session, "query")
-        each = messages.join(one.drop("query"), session).select("_asked", index, text)
-        best = select_context(each, one.select("_asked", "query"), top_k, min_score, "_asked", index, text)
-        return best.select(F.col("_asked")[session].alias(session), F.col("_asked")[query_id].alias(query_id), "rank", index, text, "score")
     k = top_k if top_k > 0 else 5
+    if query_id is not None:
+        return _select_for_queries(messages, queries, k, min_score, session, index, text, query_id)
     scored = scores(messages, queries, session, index, text).filter(F.col("score") >= min_score)
     # equal scores must tie exactly, whatever the order of summation was
     ranked = top_n(

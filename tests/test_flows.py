@@ -284,3 +284,21 @@ def test_whole_requests_are_repaired(spark):
     rows = spark.createDataFrame([(i, b) for i, b in enumerate(given)] + [(90, None), (91, "null {"), (92, "{null"), (93, "")], "i long, b string")
     got = {r.b: r.f for r in rows.select("b", H.repair_request(F.col("b")).alias("f")).collect()}
     assert {b: json.loads(got[b]) for b in given} == given and all(got[b] == b for b in (None, "null {", "{null", ""))
+
+
+def test_many_queries_share_one_index(spark):
+    """As one query at a time, zero scores included; the texts are taken apart once and no text is copied for a query."""
+    rng = random.Random(8)
+    words = ["red", "apples", "grow", "blue", "whales", "swim", "über", "北京市", "x_1"]
+    rows = [(f"s{s}", i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for s in range(3) for i in range(12)]
+    messages = spark.createDataFrame(rows, "session_id string, index long, text string")
+    asks = [(f"s{q % 4}", q, rng.choice([" ", "nothing here", "red whales", "北京 apples grow", "x_1 x_1"])) for q in range(6)]
+    asked = spark.createDataFrame(asks, "session_id string, query_id long, query string")
+    for k, least in ((3, 0.0), (20, 0.1)):
+        got = {}
+        for r in select_context(messages, asked, k, least, query_id="query_id").collect():
+            got.setdefault(r.query_id, []).append((r.rank, r["index"], r.text, round(r.score, 9)))
+        for s, q, query in asks:
+            one = spark.createDataFrame([(s, query)], "session_id string, query string")
+            want = sorted((r.rank, r["index"], r.text, round(r.score, 9)) for r in select_context(messages, one, k, least).collect())
+            assert sorted(got.get(q, [])) == want, (q, query)
