@@ -7,6 +7,7 @@ import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -105,8 +106,10 @@ def free_shuffles(spark: SparkSession) -> None:
 
     For operators of several large steps, each of which has been staged: the files of one would stand beside the next one's.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the driver's Python lets go of a plan a moment after it has collected it
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def spread(df: DataFrame) -> DataFrame:
