@@ -31,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietlog.llm.common import byte_view, mixed, pieces, ranges
-from quietlog.session import staged
+from quietlog.session import free_shuffles, staged
 
 LENGTH = 100
 FIRST = 32
 #: entries of one first rank that a block sends
 SPREAD = 4
 #: bytes of text in a block, and of windows in one numpy step, whose arrays take some hundred times as much
-BLOCK = 2 << 20
-STEP = 1 << 18
+BLOCK = 1 << 20
+STEP = 1 << 17
+#: buckets of ranks for each shuffle partition: what a task sorts at once
+BUCKETS = 4
 REPEAT, AMBIGUOUS = 1, 2
 
 #: multiplier of the fingerprints and its inverse modulo 2^64
@@ -285,14 +287,15 @@ def marked(docs: DataFrame, result: Callable[[Block, np.ndarray], pa.RecordBatch
     """`result(block, starts of its repeats)` for each block of the documents."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * BUCKETS
     stored = blocks(docs)
 
     def runs_of(block: Block) -> Entries:
-        return Entries(block.key, block.rank, *block.position(block.first), block.key, parts, SPREAD)
+        return Entries(block.key, block.rank, *block.position(block.first), block.key, buckets, SPREAD)
 
     def windows_of(block: Block, code: np.ndarray) -> tuple[np.ndarray, Entries]:
         window, run, rank = block.ambiguous(code)
-        return window, Entries(block.key[run], rank, *block.position(window), rank, parts, None)
+        return window, Entries(block.key[run], rank, *block.position(window), rank, buckets, None)
 
     def first(block_id: int, block: Block, _: dict) -> Iterator[pa.RecordBatch]:
         yield runs_of(block).rows(block_id)
@@ -312,9 +315,10 @@ def marked(docs: DataFrame, result: Callable[[Block, np.ndarray], pa.RecordBatch
         yield result(block, np.cumsum(mark[:-1]) > 0)
 
     def sorted_by_rank(packed: DataFrame, kind: int) -> DataFrame:
-        return packed.repartition(parts, "bucket").mapInArrow(lambda batches: judged(batches, kind), PART)
+        return packed.repartition(buckets, "bucket").mapInArrow(lambda batches: judged(batches, kind), PART)
 
     runs = staged(sorted_by_rank(_with_verdicts(stored, [], parts, first, PACKED), 0), "runs")
+    free_shuffles(spark)
     windows = sorted_by_rank(_with_verdicts(stored, [runs], parts, second, PACKED), 1)
     return _with_verdicts(stored, [runs, windows], parts, last, schema)
 
@@ -328,6 +332,14 @@ def kept_bytes(block: Block, removed: np.ndarray) -> Iterator[tuple[int, int, in
         yield b - a, int(gone.sum()), spans, block.data[a:b][~gone].tobytes()
 
 
+def whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
+    """`removed`, widened to every byte of each UTF-8 character that loses one, so that no two halves can meet."""
+    if not len(data):
+        return removed
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.logical_or.reduceat(removed, first), np.diff(np.append(first, len(data))))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the remaining bytes, for every row."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -349,7 +361,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def result(block: Block, gone: np.ndarray) -> pa.RecordBatch:
         whole = block.batch.column("text")
-        new = [None if t is None else kept.decode(errors="ignore") for t, (*_, kept) in zip(whole.to_pylist(), kept_bytes(block, gone), strict=True)]
+        gone = whole_characters(block.data, gone)
+        new = [None if t is None else kept.decode() for t, (*_, kept) in zip(whole.to_pylist(), kept_bytes(block, gone), strict=True)]
         columns = dict(zip(block.batch.schema.names, block.batch.columns, strict=True))
         columns["text"] = pa.array(new, whole.type)
         if "n_chars" in columns:
