@@ -79,7 +79,8 @@ def any_digit(text: str) -> bool:
 # --- the field ---------------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
-NEAR = re.compile(r"[0-9@]+")
+#: digits, at signs, and "at" before what looks like a host
+NEAR = re.compile(r"[0-9@]+|\bat\b(?=\s+[\w-]+(?:\.|\s+dot\s+)\w)")
 REACH = 3
 #: tokens of a block; longer stretches are decoded in several, as if in one
 LONGEST = 256
@@ -115,7 +116,7 @@ def features(tokens: list[str]) -> list[list[str]]:
 
 
 def stretches(text: str) -> list[tuple[int, list[str]]]:
-    """Offset and tokens of what lies within REACH words of a digit or an at sign."""
+    """Offset and tokens of what lies within REACH words of a digit, an at sign, or "at" and a host."""
     zones: list[list[int]] = []
     for m in NEAR.finditer(text):
         a, b = m.span()
@@ -281,15 +282,22 @@ def _decode_long(sequences: list[list[str]], field: Field) -> list[np.ndarray]:
     return [np.concatenate(f[::-1]) for f in found]
 
 
+#: four numbers with a dot, or the word, between them
+FOUR_PARTS = re.compile(r"([0-9]{1,3})" + 3 * r"(?:\s*(?:\.|\[\.\]|\(\.\)|dot)\s*([0-9]{1,3}))")
+#: numbers as long as a phone's that are none: social security numbers, dates with a time, ISBNs, runs of one digit
+NO_PHONE = re.compile(r"\d{3}-\d{2}-\d{4}|\d{4}[-./]\d{1,2}[-./]\d{1,2}\D?[\d: .-]*|97[89][- ]?(?:\d[- ]?){9}\d|(\d)(?:\D?\1)+")
+
+
 def passes(kind: str, text: str) -> bool:
     """Checks of added spans, looser than those of the patterns."""
     n = digits(text)
     if kind == "phone":
-        return 9 <= len(n) <= 15
+        return 9 <= len(n) <= 15 and not NO_PHONE.fullmatch(text)
     if kind == "card":
         return 14 <= len(n) <= 19 and luhn(n)
     if kind == "ip":
-        return len(n) >= 4 and all(int(x) <= 255 for x in re.findall("[0-9]{1,9}", text))
+        parts = FOUR_PARTS.fullmatch(text)
+        return parts is not None and all(int(x) <= 255 for x in parts.groups())
     return "@" in text or re.search(r"\bat\b", text) is not None
 
 
