@@ -244,13 +244,13 @@ def test_neighbours_in_several_blocks(spark, monkeypatch):
 
 
 def test_entry_has_them():
-    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(ORACLE[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
