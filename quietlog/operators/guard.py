@@ -139,14 +139,17 @@ def rollup_nodes(nodes: DataFrame, key: str, policy: R.Policy = R.Policy()) -> D
 
 
 def session_of(headers: Column, payload: Column, fallback: Column, session_header: str = "X-Session-Id") -> Column:
-    """Session id: four headers in turn, then three body keys, then `fallback`; made safe for file names."""
+    """Session id: four headers in turn, in any case, then three body keys, then `fallback`; made safe for file names."""
     # fixed values: header names, in the order in which they are tried
     names = (session_header, "X-Claude-Code-Session-Id", "X-Session-Id", "x-client-request-id")
 
     def filled(c):
         return F.when(~is_blank(c), c)
 
-    given = [let(F.element_at(headers, F.lit(n)), lambda h: filled(trim_space(h))) for n in dict.fromkeys(names)]
+    def header(name):
+        return F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name)), F.lit(0))
+
+    given = [let(header(n), lambda h: filled(trim_space(h))) for n in dict.fromkeys(n.lower() for n in names)]
     given += [let(P.vstring(payload, f"$.{k}"), filled) for k in P.SESSION_KEYS]
     return safe_session_id(F.coalesce(*given, fallback))
 

@@ -237,3 +237,9 @@ def test_invalid_patterns_are_ignored(spark):
     for p in bad:
         with pytest.raises(ValueError):
             R.Rules().requested(spark, patterns_s3=[p])
+
+
+def test_session_headers_in_any_case(spark):
+    v = F.parse_json(F.lit('{"session_id": "body"}'))
+    rows = spark.createDataFrame([({"x-session-id": "low"},), ({"X-SESSION-ID": " ", "X-Client-Request-Id": "r/1"},), ({"other": "x"},), ({},), (None,)], "h map<string,string>")
+    assert [r.s for r in rows.select(session_of(F.col("h"), v, F.lit("f")).alias("s")).collect()] == ["low", "r_1", "body", "body", "body"]
