@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.common import byte_view, mixed, pieces, ranges
+from quietlog.llm.common import byte_view, give_back, mixed, pieces, ranges
 from quietlog.session import free_shuffles, staged
 
 LENGTH = 100
@@ -194,6 +194,17 @@ class Entries:
         return out
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` in a worker that holds no memory of an earlier step, and leaves none behind."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return step
+
+
 def judged(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
     """Sort the entries of a partition's buckets; tell each block which of its entries are repeats or ambiguous."""
     tables, bucket, block, number = [], [], [], []
@@ -252,7 +263,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if waiting:
             yield close()
 
-    return staged(docs.mapInArrow(run, "block_id long, payload binary"), "blocks")
+    return staged(docs.mapInArrow(frugal(run), "block_id long, payload binary"), "blocks")
 
 
 def _with_verdicts(stored: DataFrame, verdicts: list[DataFrame], parts: int, use: Callable, schema) -> DataFrame:
@@ -275,7 +286,7 @@ def _with_verdicts(stored: DataFrame, verdicts: list[DataFrame], parts: int, use
 
     if verdicts:
         rows = rows.repartition(parts, "block_id").sortWithinPartitions("block_id", "kind")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def opened(payload: pa.BinaryScalar) -> Block:
@@ -315,7 +326,7 @@ def marked(docs: DataFrame, result: Callable[[Block, np.ndarray], pa.RecordBatch
         yield result(block, np.cumsum(mark[:-1]) > 0)
 
     def sorted_by_rank(packed: DataFrame, kind: int) -> DataFrame:
-        return packed.repartition(buckets, "bucket").mapInArrow(lambda batches: judged(batches, kind), PART)
+        return packed.repartition(buckets, "bucket").mapInArrow(frugal(lambda batches: judged(batches, kind)), PART)
 
     runs = staged(sorted_by_rank(_with_verdicts(stored, [], parts, first, PACKED), 0), "runs")
     free_shuffles(spark)
