@@ -1,8 +1,10 @@
 """Server-sent-event capture files as a table or a stream of lines.
 
-A capture is a file `<folder>/stream_id=<id>/<any name>` of lines, as one response sent them.  The source reads byte ranges, so one
-large file is read by many tasks, and gives each line its byte offset, which orders the lines of a file without a count
-of those before it; `numbered_lines` makes line numbers of them.  As a stream it follows files that grow: what it
+A capture is a file `<folder>/stream_id=<id>/<any name>` of lines, as one response sent them.  Captures written in bulk share
+files `<folder>/captures/<any name>`, in which each line stands behind its quoted stream id and a tab: a file for each of many small
+captures would make the driver hold all their names.  The source reads byte ranges, so one
+large file is read by many tasks, and small files and ranges share a task; it gives each line its byte offset, which orders the lines of a
+file without a count of those before it; `numbered_lines` makes line numbers of them.  As a stream it follows files that grow: what it
 has read of each file is kept as an offset, and a last line without line end waits until it has one.
 
 Lines end with \\n or \\r\\n.  Bytes that are no UTF-8 are replaced.  A line above 10 MiB is null, which ends a capture.
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -30,6 +32,12 @@ LINE_BYTES = 10 * 1024 * 1024
 SPLIT_BYTES = 64 << 20
 BLOCK = 1 << 20
 BATCH = 8192
+#: bytes and files that a task gets at most, but for one large range
+TASK_BYTES, TASK_FILES = 8 << 20, 1000
+#: folder of files of many captures; longest quoted id there
+BULK, ID_BYTES = "captures", 1 << 16
+#: id of lines without one, as in names of folders
+NO_ID = "__HIVE_DEFAULT_PARTITION__"
 
 
 def _located(path: str) -> tuple[fs.FileSystem, str]:
@@ -42,7 +50,8 @@ def listed(path: str) -> dict[str, int]:
     """The capture files below a folder, with their sizes."""
     files, root = _located(path)
     found = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-    return {f.path: f.size for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and "stream_id=" in f.path}
+    bulk = f"{root.rstrip('/')}/{BULK}/"
+    return {f.path: f.size for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and ("stream_id=" in f.path or f.path == bulk + f.base_name)}
 
 
 def _id(path: str) -> str:
@@ -56,12 +65,38 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Work(InputPartition):
+    """Stretches of files that one task reads, in ranges of `split` bytes each."""
+
+    stretches: list[Range]
+    split: int
+
+    def ranges(self) -> Iterator[Range]:
+        return (r for s in self.stretches for r in ranges(s.path, s.start, s.end, self.split))
+
+
 def ranges(path: str, start: int, end: int, split: int) -> list[Range]:
     return [Range(path, at, min(at + split, end)) for at in range(start, end, split)]
 
 
-def lines_of(stream: pa.NativeFile, start: int, end: int, from_line_start: bool) -> Iterator[tuple[int, bytes | None]]:
+def dealt(files: Iterable[tuple[str, int, int]], split: int) -> list[Work]:
+    """Tasks for stretches (path, start, end) of files; those above a task's size are cut between ranges."""
+    whole = max(split, TASK_BYTES // split * split)
+    out, held, size = [], [], 0
+    for path, start, end in files:
+        for part in ranges(path, start, end, whole):
+            if held and (size + part.end - part.start > whole or len(held) >= TASK_FILES):
+                out.append(Work(held, split))
+                held, size = [], 0
+            held.append(part)
+            size += part.end - part.start
+    return [*out, Work(held, split)]
+
+
+def lines_of(stream: pa.NativeFile, start: int, end: int, from_line_start: bool, most: int | None = None) -> Iterator[tuple[int, bytes | None]]:
     """(offset, line) of the lines that begin in [start, end); without `from_line_start`, one may have begun before."""
+    most = LINE_BYTES if most is None else most
     at = start if from_line_start or start == 0 else start - 1
     stream.seek(at)
     skipping = at != start or not (from_line_start or start == 0)
@@ -79,7 +114,7 @@ def lines_of(stream: pa.NativeFile, start: int, end: int, from_line_start: bool)
                 skipping = False
             elif begin < end:
                 size = len(held) + cut - pos
-                yield begin, None if too_long or size > LINE_BYTES else bytes(held) + block[pos:cut]
+                yield begin, None if too_long or size > most else bytes(held) + block[pos:cut]
             held.clear()
             too_long = False
             pos = cut + 1
@@ -88,28 +123,48 @@ def lines_of(stream: pa.NativeFile, start: int, end: int, from_line_start: bool)
                 return
         if not skipping and not too_long:
             held += block[pos:]
-            if len(held) > LINE_BYTES:
+            if len(held) > most:
                 too_long = True
                 held.clear()
         at += len(block)
 
 
-def _batches(path: str, part: Range, from_line_start: bool) -> Iterator[pa.RecordBatch]:
+def _captured(files: fs.FileSystem, part: Range, from_line_start: bool) -> Iterator[tuple[str, int, bytes | None]]:
+    """(stream_id, offset, line) of a range."""
+    with files.open_input_file(part.path) as stream:
+        if "stream_id=" in part.path:
+            name = _id(part.path)
+            for at, line in lines_of(stream, part.start, part.end, from_line_start):
+                yield name, at, line
+            return
+        for at, line in lines_of(stream, part.start, part.end, from_line_start, LINE_BYTES + ID_BYTES):
+            head = line
+            if line is None:  # too long to read, but for its id
+                with files.open_input_file(part.path) as again:
+                    again.seek(at)
+                    head = again.read(ID_BYTES)
+            name, tab, rest = head.partition(b"\t")
+            if tab:
+                yield unquote(name.decode()), at, None if line is None or len(rest) > LINE_BYTES else rest
+
+
+def _batches(path: str, part: Range | Work, from_line_start: bool) -> Iterator[pa.RecordBatch]:
     files, _ = _located(path)
-    name, offsets, lines = _id(part.path), [], []
+    names, offsets, lines = [], [], []
 
     def batch() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([name] * len(lines), pa.string()), pa.array(offsets, pa.int64()), pa.array(lines, pa.string())], ["stream_id", "offset", "line"])
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(lines, pa.string())], ["stream_id", "offset", "line"])
 
-    with files.open_input_file(part.path) as stream:
-        held = 0
-        for at, line in lines_of(stream, part.start, part.end, from_line_start):
+    held = 0
+    for own in part.ranges() if isinstance(part, Work) else [part]:
+        for name, at, line in _captured(files, own, from_line_start):
+            names.append(name)
             offsets.append(at)
             lines.append(None if line is None else line.removesuffix(b"\r").decode(errors="replace"))
             held += len(line or b"")
             if len(lines) >= BATCH or held > LINE_BYTES:
                 yield batch()
-                offsets, lines, held = [], [], 0
+                names, offsets, lines, held = [], [], [], 0
     if lines:
         yield batch()
 
@@ -118,12 +173,11 @@ class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
 
-    def partitions(self) -> list[Range]:
-        return [r for path, size in sorted(listed(self.path).items()) for r in ranges(path, 0, size, self.split)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Work]:
+        return dealt(((path, 0, size) for path, size in sorted(listed(self.path).items())), self.split)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from _batches(self.path, partition, False)
+    def read(self, partition: Work) -> Iterator[pa.RecordBatch]:
+        yield from _batches(self.path, partition, False)
 
 
 class CaptureStreamReader(DataSourceStreamReader):
@@ -158,15 +212,13 @@ class CaptureStreamReader(DataSourceStreamReader):
                 end = begin
         return least
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Work]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        grown = [r for path, size in sorted(after.items()) for r in ranges(path, before.get(path, 0), size, self.split)]
-        return grown or [Range("", 0, 0)]
+        return dealt(((path, before.get(path, 0), size) for path, size in sorted(after.items())), self.split)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Work) -> Iterator[pa.RecordBatch]:
         # a range may begin inside a line, which the range before it reads
-        if partition.path:
-            yield from _batches(self.path, partition, False)
+        yield from _batches(self.path, partition, False)
 
     def commit(self, end: dict) -> None:
         """Nothing to let go: the files stay."""
@@ -207,6 +259,10 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_captures(lines: DataFrame, path: str) -> None:
-    """Lines (stream_id, seq, line) as capture files, one for each stream."""
+    """Lines (stream_id, seq, line) as capture files of many streams; each stream lies in one of them."""
     ordered = lines.select("stream_id", "seq", "line").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
-    ordered.select("stream_id", "line").write.partitionBy("stream_id").text(path)
+    known = F.nullif(F.col("stream_id").cast("string"), F.lit(""))
+    head = F.concat(F.coalesce(F.replace(F.url_encode(known), F.lit("+"), F.lit("%20")), F.lit(NO_ID)), F.lit("\t"))
+    # a line end inside a line ends it in the file
+    line = F.replace(F.coalesce("line", F.lit("")), F.lit("\n"), F.concat(F.lit("\n"), head))
+    ordered.select(F.concat(head, line).alias("value")).write.text(f"{path}/{BULK}")
