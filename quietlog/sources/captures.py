@@ -103,7 +103,8 @@ def lines_of(stream: pa.NativeFile, start: int, end: int, from_line_start: bool,
     held, begin = bytearray(), at
     too_long = False
     while True:
-        block = stream.read(BLOCK)
+        # little beyond the range: it is another one's
+        block = stream.read(max(min(BLOCK, end - at), min(BLOCK, 1 << 14)))
         if not block:
             if (held or too_long) and not skipping and begin < end:
                 yield begin, None if too_long else bytes(held)

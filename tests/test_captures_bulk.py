@@ -54,3 +54,21 @@ def test_files_beside_captures_are_left_alone(tmp_path):
     (tmp_path / "captures/notes.txt").write_text("x")
     assert captures.listed(str(tmp_path / "captures")) == {}
     assert list(captures.listed(str(tmp_path))) == [str(tmp_path / "captures/notes.txt")]
+
+
+def test_a_range_reads_little_beyond_itself():
+    class Counted:
+        def __init__(self, data):
+            self.data, self.at, self.read_bytes = data, 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            out = self.data[self.at : self.at + n]
+            self.at, self.read_bytes = self.at + len(out), self.read_bytes + len(out)
+            return out
+
+    stream = Counted(b"line\n" * 400_000)
+    assert sum(1 for _ in captures.lines_of(stream, 500_000, 510_000, False)) == 2000
+    assert stream.read_bytes <= 50_000
