@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from quietlog.functions import detect as D
 from quietlog.functions import rules as R
 from quietlog.functions.redact import redact_normalized
-from quietlog.functions.text import clean_text, is_blank, let, needs_normalizing, pin
+from quietlog.functions.text import clean_text, in_steps, is_blank, let, needs_normalizing, pin
 
 ARGS_PATH = "tool_calls.function.arguments"
 PARAM_KEYS = ("tool_params", "parameters", "args")
@@ -56,7 +56,7 @@ def _respelled_batch(bodies):
         except ValueError:
             return None
 
-    return pa.array([None if b is None else one(b) for b in bodies.to_pylist()], pa.string())
+    return in_steps(lambda some: [None if b is None else one(b) for b in some], pa.string(), bodies)
 
 
 def with_payload(df: DataFrame, body: str = "body") -> DataFrame:
@@ -185,9 +185,8 @@ def _open_roots_batch(roots):
             full = ".".join(p for p in (root["prefix"], path) if p)
             yield {"ptr": ptr, "path": full, "value": value, "clean": clean_text(f"{full}: {value}" if full else value)}
 
-    rows = [None if r is None else [list(opened(root)) for root in r] for r in roots.to_pylist()]
     item = pa.struct([(n, pa.string()) for n in ("ptr", "path", "value", "clean")])
-    return pa.array(rows, pa.list_(pa.list_(item)))
+    return in_steps(lambda some: [None if r is None else [list(opened(root)) for root in r] for r in some], pa.list_(pa.list_(item)), roots)
 
 
 def open_roots(roots: Column) -> Column:
@@ -272,8 +271,8 @@ def _write_back_batch(bodies, addrs, texts):
             doc = put(doc, a.replace("#", "/#").split("/")[1:], t)
         return dump(doc)
 
-    rows = zip(bodies.to_pylist(), addrs.to_pylist(), texts.to_pylist())
-    return pa.array([None if b is None else rewrite(b, a, t) for b, a, t in rows], pa.string())
+    rewritten = lambda *some: [None if b is None else rewrite(b, a, t) for b, a, t in zip(*some)]
+    return in_steps(rewritten, pa.string(), bodies, addrs, texts)
 
 
 def write_back(body: Column, changes: Column) -> Column:

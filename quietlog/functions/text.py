@@ -67,6 +67,28 @@ def needs_normalizing(c: Column) -> Column:
     return (c.contains("&") & c.rlike("&[#A-Za-z]")) | (c.contains("%") & c.rlike("%[0-9A-Fa-f]{2}")) | (~plain_bytes & ~c.rlike(STABLE))
 
 
+#: bytes of Arrow data that a Python function takes apart at a time; bounds a worker's memory
+STEP_BYTES = 1 << 18
+
+
+def in_steps(one, kind, *columns):
+    """`one` (lists of values to a list of results) over rows of Arrow columns, some at a time; results as an array of `kind`."""
+    import pyarrow as pa
+
+    todo, done = [(0, len(columns[0]))], []
+    while todo:
+        start, n = todo.pop()
+        parts = [c.slice(start, n) for c in columns]
+        if n > 1 and sum(p.nbytes for p in parts) > STEP_BYTES:
+            todo += [(start + n // 2, n - n // 2), (start, n // 2)]
+        else:
+            done.append(pa.array(one(*(p.to_pylist() for p in parts)), kind))
+    out = pa.concat_arrays(done) if len(done) > 1 else done[0]
+    del done
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def clean_text(text: str) -> str:
     import codecs
     import html
@@ -95,7 +117,7 @@ def clean_text(text: str) -> str:
 def _normalize_batch(texts):
     import pyarrow as pa
 
-    return pa.array([None if t is None else clean_text(t) for t in texts.to_pylist()], pa.string())
+    return in_steps(lambda some: [None if t is None else clean_text(t) for t in some], pa.string(), texts)
 
 
 @F.arrow_udf(T.StringType())
@@ -104,7 +126,7 @@ def nfkc_batch(texts):
 
     import pyarrow as pa
 
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+    return in_steps(lambda some: [None if t is None else unicodedata.normalize("NFKC", t) for t in some], pa.string(), texts)
 
 
 def normalize(c: Column) -> Column:
@@ -120,7 +142,7 @@ def normalize(c: Column) -> Column:
 def _normalize_lists(lists):
     import pyarrow as pa
 
-    return pa.array([None if x is None else [None if t is None else clean_text(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+    return in_steps(lambda some: [None if x is None else [None if t is None else clean_text(t) for t in x] for x in some], pa.list_(pa.string()), lists)
 
 
 def normalize_each(texts: Column) -> Column:
