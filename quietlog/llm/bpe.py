@@ -18,6 +18,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -198,17 +200,21 @@ class Bpe:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         memo = self.memo
         plain = [None if "<|" in v or self.odd.search(v) else self.pieces(v) for v in values]
-        new = set().union(*filter(None, plain)).difference(memo)
+        ids = [None if p is None else list(map(memo.get, p)) for p in plain]
+        new = list(dict.fromkeys(chain.from_iterable(compress(p, map(not_, x)) for p, x in zip(plain, ids, strict=True) if p)))
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = set().union(*filter(None, plain))
         latin, beyond = self.latin.findall, self.beyond.search
-        found = {p: self.words.findall(p) if beyond(p) else latin(p) for p in new}
-        known = sorted(set().union(*found.values()))
-        ids = dict(zip(known, self.merge_all([w.encode() for w in known]), strict=True))
-        for p, words in found.items():
-            memo[p] = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
-        return [self._odd(v) if p is None else b"".join(map(memo.__getitem__, p)) for v, p in zip(values, plain, strict=True)]
+        found = [self.words.findall(p) if beyond(p) else latin(p) for p in new]
+        known = list(dict.fromkeys(chain.from_iterable(found)))
+        made = dict(zip(known, self.merge_all([w.encode() for w in known]), strict=True))
+        for p, words in zip(new, found, strict=True):
+            memo[p] = made[words[0]] if len(words) == 1 else b"".join(map(made.__getitem__, words))
+        for p, x in zip(plain, ids, strict=True):
+            if p:
+                for k in compress(range(len(x)), map(not_, x)):
+                    x[k] = memo[p[k]]
+        return [self._odd(v) if x is None else b"".join(x) for v, x in zip(values, ids, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quietlog.llm.bpe import BATCH_BYTES, Bpe, loaded
-from quietlog.llm.common import pieces, texts
+from quietlog.llm.common import give_back, pieces, texts
 
 WIDTH = 4096
 END = 2
@@ -40,19 +40,27 @@ POWERS = tuple(1 << k for k in range(WIDTH.bit_length() - 1))
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _exact(place: np.ndarray, width: int) -> tuple[list[int], list[int]]:
+    """For place j, in the first list from upto[j] to upto[j + 1]: those a power of two below `width` before it, nearest first."""
+    powers = np.array([p for p in POWERS if p < width], np.int64)
+    low = place[:, None] - powers
+    i = np.minimum(np.searchsorted(place, low), len(place) - 1)
+    there = place[i] == low
+    return i[there].tolist(), np.concatenate([[0], np.cumsum(there.sum(1))]).tolist()
+
+
 def cuts(place: list[int], price: list[int], width: int = WIDTH) -> list[int]:
     """The places where windows end, of those given (ascending, from 0 to the end, at most `width` apart)."""
     cost, back, value = [0] * len(place), [0] * len(place), [0] * len(place)
-    at = {p: i for i, p in enumerate(place)}
-    queue, powers = deque([0]), [p for p in POWERS if p < width]
+    queue, exact, upto = deque([0]), *_exact(np.array(place, np.int64), width)
     for j in range(1, len(place)):
         p = place[j]
         while place[queue[0]] < p - width:
             queue.popleft()
         low = queue[0]
         least = value[low] + width - p
-        for power in powers:
-            if p - power in at and cost[i := at[p - power]] < least:
+        for i in exact[upto[j] : upto[j + 1]]:
+            if cost[i] < least:
                 least, low = cost[i], i
         cost[j], back[j] = least + price[j], low
         value[j] = v = least + price[j] + p
@@ -140,7 +148,9 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
                 stream.add(doc_id, ids + end)
             if stream.size >= STRETCH and (found := list(stream.packed(False))):
                 yield rows(found)
+                give_back()
         if found := list(stream.packed(True)):
             yield rows(found)
+        give_back()
 
     return texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, PIECES)
