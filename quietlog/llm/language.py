@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.common import pieces
+from quietlog.llm.common import give_back, pieces
 
 BINS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -102,6 +102,7 @@ def fit(docs: DataFrame, bins: int = BINS, max_langs: int = 32, smoothing: float
                 total[:, :bins] += np.bincount(lang[owner] * bins + bin_, minlength=len(langs) * bins).reshape(len(langs), bins)
         i, j = np.nonzero(total)
         yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["lang", "bin", "n"])
+        give_back()
 
     summed = known.mapInArrow(count, "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((len(langs), bins + 1))
@@ -163,6 +164,7 @@ def norms(docs: DataFrame, model: Model) -> np.ndarray:
             best, off = misfit(total, count, shared.value)
             np.maximum.at(most, best[letters], off[letters])
         yield pa.record_batch([pa.array(np.arange(len(most)), pa.int32()), pa.array(most)], ["lang", "most"])
+        give_back()
 
     known = docs.where("text is not null and lang is not null").select("text")
     out = np.zeros(len(model.langs))
@@ -203,5 +205,6 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, most: np.ndarray
                 best, off = misfit(total, count, model)
                 keep &= off <= most[best]
             yield batch.filter(pa.array(keep))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
