@@ -2,9 +2,9 @@
 
 A text is cut at special tokens, normalised and split into words as the tokenizer file says; each word's bytes are
 merged: the tree's root holds the lowest rank and, among equals, the leftmost pair; a merge changes three leaves, each
-in logarithmic time; it ends when no pair can be merged. Short words of a batch have their trees in the rows of one
-numpy matrix and take their steps together; long ones have a tree of their own. What stands between white space is
-remembered in a bounded memo.
+in logarithmic time; it ends when no pair can be merged. Short words of a batch have their trees in the rows of numpy
+matrices and take their steps together; long ones have a tree of their own. What stands between white space is
+remembered in a bounded memo, and looked up there once for each batch, however often it comes.
 
 A null text is empty and has no ids. Any text can be encoded, since all bytes are in the vocabulary. Rows are
 independent: repeated rows and doc_ids get equal answers, other columns are not read.
@@ -18,8 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress
-from operator import not_
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,13 @@ from quietlog.llm.common import pieces, texts
 VOCABULARY = "word_bpe_49k.json"
 #: pieces between white space kept by each Python worker; then it starts anew
 MEMO = 1_000_000
-#: bytes up to which words are merged side by side
-SHORT = 32
+#: bytes up to which words are merged side by side, and how many words at a time, so that their trees stay in the cache
+SHORT, ROWS = 32, 4096
 NONE = 1 << 62
+#: no pair in the hash table
+EMPTY = np.iinfo(np.int64).min
+#: in the trees of short words: bits below the rank for the leaf, and no pair
+LEAF, NO = 8, np.iinfo(np.int32).max
 #: bytes of text whose new words are merged side by side
 BATCH_BYTES = 4 << 20
 #: fixed values: ranges in which all Unicode versions agree on letters and digits; other text is split by the library
@@ -49,6 +52,18 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def gathered(ids: np.ndarray, start: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n[w] ids from start[w] on for each w, one after another, and the end of each."""
+    n = n[which]
+    ends = np.cumsum(n)
+    return ids[np.repeat(start[which] - (ends - n), n) + np.arange(n.sum())], ends
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The values of a column without nulls; to_pylist takes ten times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Bpe:
     """A tokenizer of the kind: NFC, white space, lower case; split by pattern; byte letters; BPE with word ends."""
 
@@ -65,23 +80,64 @@ class Bpe:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.odd = re.compile(f"[^{AGREED}]")
-        # the same pattern with its classes spelled out for Latin letters, which the standard library runs faster
+        # the same pattern with its classes spelled out for Latin letters, which the standard library runs faster; both find line ends
         kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-        spelled = self.words.pattern
+        spelled = words
         for k, letters in kinds.items():
             spelled = spelled.replace(f"[\\p{{{k}}}]", f"[{letters}]").replace(f"\\p{{{k}}}", letters)
-        self.latin, self.beyond = re.compile(spelled), re.compile("[^\0-\u024f]")
+        self.latin, self.beyond = re.compile(spelled + "|\n"), re.compile("[^\0-\u024f]")
+        self.any = regex.compile(words + "|\n")
         self.library = Tokenizer.from_file(path)
         self.bytes = {c: b for b, c in enumerate(byte_letters())}
-        keys = np.array([a << 32 | b for a, b in self.rank], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
-        self.made_of = np.array(self.made, np.int64)
-        self.first_of, self.last_of = np.array(self.first, np.int64), np.array(self.last, np.int64)
-        self.memo: dict[str, bytes] = {}
+        self._hash()
+        self.made_of = np.array(self.made, np.int32)
+        self.first_of, self.last_of = np.array(self.first, np.int32), np.array(self.last, np.int32)
+        one, two = np.repeat(self.first_of, 256), np.tile(np.arange(256), 256)
+        #: ranks of the pairs of two bytes inside a word, and of those at its end
+        self.inner, self.outer = self._rank_of(one, self.first_of[two]), self._rank_of(one, self.last_of[two])
+        self._forget()
+
+    def _forget(self) -> None:
+        """The memo: the number of each piece; its ids are those from one end to the next."""
+        self.memo: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _hash(self) -> None:
+        """Ranks by pair in a hash table that is probed in steps of one slot."""
+        left = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        rank = np.array(list(self.rank.values()), np.int32)
+        bits = max(4 * len(left), 2).bit_length()
+        self.shift, self.keys, self.ranks = np.uint64(64 - bits), np.full(1 << bits, EMPTY), np.full(1 << bits, NO, np.int32)
+        slot = self._slot(left)
+        while len(left):
+            free = self.keys[slot] == EMPTY
+            self.keys[slot[free]] = left[free]
+            there = self.keys[slot] == left
+            self.ranks[slot[there]] = rank[there]
+            left, rank, slot = left[~there], rank[~there], (slot[~there] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, NO for those that are not merged; an id of -1 is in no pair."""
+        key = a.astype(np.int64) << 32 | b
+        slot = self._slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.ranks[slot], np.int32(NO))
+        left = np.flatnonzero((found != key) & (found != EMPTY))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            found = self.keys[slot]
+            hit = found == key[left]
+            out[left[hit]] = self.ranks[slot[hit]]
+            on = ~hit & (found != EMPTY)
+            left, slot = left[on], slot[on]
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         ids = [self.first[b] for b in word[:-1]]
@@ -130,91 +186,132 @@ class Bpe:
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        size = np.array([len(w) for w in words])
-        for i in np.flatnonzero(size > SHORT):
-            out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+        ids, start, n = self._merged(words)
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * a : 4 * (a + k)] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in some order, where those of each word start, and how many they are."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start, n, ids, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.empty(0, np.uint32)], 0
+        for i in np.flatnonzero(size > SHORT).tolist():
+            ids.append(np.array(self.merge(words[i]), np.uint32))
+            start[i], n[i] = at, len(ids[-1])
+            at += len(ids[-1])
         width = 2
         while width <= SHORT:
-            at = np.flatnonzero((size <= width) & (size > (width // 2 if width > 2 else 0)))
-            if len(at):
-                ids, n = self._side_by_side([words[i] for i in at], width)
-                flat, ends = ids[ids >= 0].astype("<u4").tobytes(), np.cumsum(n) * 4
-                for i, a, b in zip(at.tolist(), (ends - n * 4).tolist(), ends.tolist(), strict=True):
-                    out[i] = flat[a:b]
+            these = np.flatnonzero((size <= width) & (size > (width // 2 if width > 2 else 0)))
+            for k in range(0, len(these), ROWS):
+                some = these[k : k + ROWS]
+                flat, count = self._side_by_side([words[i] for i in some.tolist()], size[some], width)
+                ids.append(flat)
+                start[some], n[some] = at + np.cumsum(count) - count, count
+                at += len(flat)
             width *= 2
-        return out
+        return np.concatenate(ids), start, n
+
+    def _side_by_side(self, words: list[bytes], size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of at most `width` bytes (a power of two): their ids, and how many each has.
 
-    def _rank_of(self, a: np.ndarray, b: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[i] == key) & (a >= 0) & (b >= 0), self.ranks[i] << 32 | leaf, NONE)
-
-    def _side_by_side(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words of at most `width` bytes (a power of two): ids with -1 where merged away, and how many are left."""
-        count, n = len(words), np.array([len(w) for w in words])
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(count, width)
-        ids, col = self.first_of[raw], np.arange(width)
-        ids[np.arange(count), n - 1] = self.last_of[raw[np.arange(count), n - 1]]
-        ids[col >= n[:, None]] = -1
-        tree = np.full((count, 2 * width), NONE, np.int64)
-        tree[:, width:-1] = self._rank_of(ids[:, :-1], ids[:, 1:], col[:-1])
+        Rows of ids, and of the places of neighbours, have one column more, which is no id; the place before the first is that of the row above.
+        """
+        count, col, over = len(words), np.arange(width), width + 1
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(count, width)
+        last = np.arange(count), size - 1
+        ids = np.full((count, over), -1, np.int32)
+        ids[:, :-1] = np.where(col < size[:, None], self.first_of[raw], -1)
+        ids[last] = self.last_of[raw[last]]
+        tree = np.full((count, 2 * width), NO, np.int32)
+        pair = raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]
+        end = size[:, None] - 2
+        rank = np.where(col[:-1] < end, self.inner[pair], np.where(col[:-1] == end, self.outer[pair], NO))
+        tree[:, width:-1] = np.where(rank == NO, NO, rank << LEAF | col[:-1])
         level = width
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
             level //= 2
-        after, before = np.tile(np.append(col[1:], width), (count, 1)), np.tile(col - 1, (count, 1))
-        after[after >= n[:, None]] = width
-        row = np.flatnonzero(tree[:, 1] != NONE)
+        after = np.tile(np.minimum(np.arange(1, over + 1), width), (count, 1))
+        after[last] = width
+        before = np.tile(np.arange(-1, width), (count, 1))
+        row = np.flatnonzero(tree[:, 1] != NO)
+        tree, flat, after, before = tree.ravel(), ids.ravel(), after.ravel(), before.ravel()
         while len(row):
-            top = tree[row, 1]
-            i = top & 0xFFFFFFFF
-            gone = after[row, i]
-            right = after[row, gone]
-            ids[row, i] = mine = self.made_of[top >> 32]
-            ids[row, gone] = -1
-            after[row, i] = right
-            inside = right < width
-            before[row[inside], right[inside]] = i[inside]
-            left = before[row, i]
-            next_id = np.where(inside, ids[row, np.minimum(right, width - 1)], -1)
-            left_id = np.where(left >= 0, ids[row, np.maximum(left, 0)], -1)
+            top, base, root = tree[2 * width * row + 1], over * row, 2 * width * row
+            i = (top & (1 << LEAF) - 1).astype(np.int64)
+            here = base + i
+            gone = after[here]
+            right = after[base + gone]
+            mine = self.made_of[top >> LEAF]
+            flat[here], flat[base + gone] = mine, -1
+            after[here], before[base + right] = right, i
+            left = before[here]
             some = left >= 0
-            for r, leaf, value in ((row, gone, np.full(len(row), NONE)), (row, i, self._rank_of(mine, next_id, i)),
-                                   (row[some], left[some], self._rank_of(left_id[some], mine[some], left[some]))):
-                node = leaf + width
-                tree[r, node] = value
-                while len(r) and node[0] > 1:
-                    node = node >> 1
-                    tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
-            row = row[tree[row, 1] != NONE]
-        return ids, (ids >= 0).sum(1)
-
-    def pieces(self, text: str) -> list[str]:
-        """What stands between white space, normalised; text without special tokens."""
+            leaf = np.concatenate([i, left[some]])
+            rank = self._rank_of(np.concatenate([mine, flat[(base + left)[some]]]), np.concatenate([flat[base + right], mine[some]]))
+            value = np.where(rank == NO, NO, rank << LEAF | leaf.astype(np.int32))
+            root = np.concatenate([root, root[some], root])
+            node = np.concatenate([leaf, gone]) + width
+            tree[root + node] = np.concatenate([value, np.full(len(row), NO, np.int32)])
+            for _ in range(width.bit_length() - 1):
+                node >>= 1
+                child = root + 2 * node
+                tree[root + node] = np.minimum(tree[child], tree[child + 1])
+            row = row[tree[2 * width * row + 1] != NO]
+        kept = ids >= 0
+        return ids[kept].astype(np.uint32), kept.sum(1)
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds pieces, which are different and hold no white space, to the memo."""
+        far = set(filter(self.beyond.search, new)) if self.beyond.search("".join(new)) else set()
+        near = [p for p in new if p not in far] if far else new
+        new = [*near, *far]
+        found = self.latin.findall("\n".join([*near, ""])) + self.any.findall("\n".join([*far, ""]))
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        words, code = strings(coded.dictionary), coded.indices.to_numpy()
+        line = words.index("\n")
+        words[line] = ""
+        ids, ends = gathered(*self._merged([w.encode() for w in words]), code)
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends[code == line]])
+
+    def _numbers(self, found: list[str]) -> np.ndarray:
+        """The numbers in the memo of different pieces, which are added if they are new."""
+        out = np.fromiter(map(self.memo.get, found, repeat(-1)), np.int64, len(found))
+        missing = np.flatnonzero(out < 0)
+        if len(self.memo) + len(missing) > MEMO:
+            self._forget()
+            missing = np.arange(len(found))
+        if len(missing):
+            new = [found[i] for i in missing.tolist()]
+            self._learn(new)
+            out[missing] = np.fromiter(map(self.memo.__getitem__, new), np.int64, len(new))
+        return out
+
+    def _plain(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens and odd letters (and so without a zero), one after another, and the end of each text's."""
+        text = "\0".join([*values, ""])
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
-        return text.lower().split()
+            text = text.replace("\x85", " ").replace("\xa0", " ")  # the only white space in AGREED above ASCII
+        raw = np.frombuffer(text.lower().encode(), np.uint8)
+        inside = raw > 0x20
+        edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+        start, stop = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        offsets = np.concatenate([[0], np.cumsum(stop - start)])
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]
+        coded = pa.Array.from_buffers(pa.large_string(), len(start), buffers).dictionary_encode()
+        number = self._numbers(strings(coded.dictionary))
+        ids, ends = gathered(self.ids, self.ends[number], self.ends[number + 1] - self.ends[number], coded.indices.to_numpy())
+        return ids, np.concatenate([[0], ends])[np.searchsorted(start, np.flatnonzero(raw == 0))]
 
     def encode_all(self, values: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        plain = [None if "<|" in v or self.odd.search(v) else self.pieces(v) for v in values]
-        ids = [None if p is None else list(map(memo.get, p)) for p in plain]
-        new = list(dict.fromkeys(chain.from_iterable(compress(p, map(not_, x)) for p, x in zip(plain, ids, strict=True) if p)))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-        latin, beyond = self.latin.findall, self.beyond.search
-        found = [self.words.findall(p) if beyond(p) else latin(p) for p in new]
-        known = list(dict.fromkeys(chain.from_iterable(found)))
-        made = dict(zip(known, self.merge_all([w.encode() for w in known]), strict=True))
-        for p, words in zip(new, found, strict=True):
-            memo[p] = made[words[0]] if len(words) == 1 else b"".join(map(made.__getitem__, words))
-        for p, x in zip(plain, ids, strict=True):
-            if p:
-                for k in compress(range(len(x)), map(not_, x)):
-                    x[k] = memo[p[k]]
-        return [self._odd(v) if x is None else b"".join(x) for v, x in zip(values, ids, strict=True)]
+        odd = ["<|" in v or self.odd.search(v) is not None for v in values]
+        ids, ends = self._plain([v for v, o in zip(values, odd, strict=True) if not o])
+        ids, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        plain = map(ids.__getitem__, map(slice, [0, *ends], ends))
+        return [self._odd(v) if o else next(plain) for v, o in zip(values, odd, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
