@@ -29,8 +29,8 @@ from tokenizers import Tokenizer
 from quietlog.llm.common import pieces, texts
 
 VOCABULARY = "word_bpe_49k.json"
-#: pieces between white space kept by each Python worker; then it starts anew
-MEMO = 1_000_000
+#: pieces between white space kept by each Python worker, at some 180 bytes each; then those go that have not come again
+MEMO = 500_000
 #: bytes up to which words are merged side by side, and how many words at a time, so that their trees stay in the cache
 SHORT, ROWS = 32, 4096
 NONE = 1 << 62
@@ -38,8 +38,8 @@ NONE = 1 << 62
 EMPTY = np.iinfo(np.int64).min
 #: in the trees of short words: bits below the rank for the leaf, and no pair
 LEAF, NO = 8, np.iinfo(np.int32).max
-#: bytes of text whose new words are merged side by side
-BATCH_BYTES = 4 << 20
+#: bytes of text whose ids are held at a time, and characters that are looked up together, which take numpy some 25 times as many bytes
+BATCH_BYTES, STEP = 4 << 20, 2 << 20
 #: fixed values: ranges in which all Unicode versions agree on letters and digits; other text is split by the library
 AGREED = "\\t-\\r -\u024f\u0391-\u03ff\u0410-\u044f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 
@@ -64,6 +64,16 @@ def strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+def steps(values: list[str], limit: int) -> Iterator[list[str]]:
+    """The values in stretches of about `limit` characters, at least one value each."""
+    ends, start = np.cumsum([len(v) for v in values], dtype=np.int64), 0
+    while start < len(values):
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield values[start:end]
+        start = end
+
+
 class Bpe:
     """A tokenizer of the kind: NFC, white space, lower case; split by pattern; byte letters; BPE with word ends."""
 
@@ -103,7 +113,16 @@ class Bpe:
     def _forget(self) -> None:
         """The memo: the number of each piece; its ids are those from one end to the next."""
         self.memo: dict[str, int] = {}
-        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.ends, self.again = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, bool)
+
+    def _thin(self) -> None:
+        """Forgets the pieces that have not come again since they were learned or last kept, and all if the others fill half the memo."""
+        kept, found, ids, ends = np.flatnonzero(self.again), list(self.memo), self.ids, self.ends
+        self._forget()
+        if len(kept) <= MEMO // 2:
+            self.memo = {found[i]: k for k, i in enumerate(kept.tolist())}
+            self.ids, ends = gathered(ids, ends[:-1], np.diff(ends), kept)
+            self.ends, self.again = np.concatenate([[0], ends]), np.zeros(len(kept), bool)
 
     def _hash(self) -> None:
         """Ranks by pair in a hash table that is probed in steps of one slot."""
@@ -274,14 +293,16 @@ class Bpe:
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + ends[code == line]])
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
 
     def _numbers(self, found: list[str]) -> np.ndarray:
         """The numbers in the memo of different pieces, which are added if they are new."""
         out = np.fromiter(map(self.memo.get, found, repeat(-1)), np.int64, len(found))
+        self.again[out[out >= 0]] = True
+        if len(self.memo) + np.count_nonzero(out < 0) > MEMO:
+            self._thin()
+            out = np.fromiter(map(self.memo.get, found, repeat(-1)), np.int64, len(found))
         missing = np.flatnonzero(out < 0)
-        if len(self.memo) + len(missing) > MEMO:
-            self._forget()
-            missing = np.arange(len(found))
         if len(missing):
             new = [found[i] for i in missing.tolist()]
             self._learn(new)
@@ -307,6 +328,9 @@ class Bpe:
 
     def encode_all(self, values: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        return [ids for some in steps(values, STEP) for ids in self._encoded(some)]
+
+    def _encoded(self, values: list[str]) -> list[bytes]:
         odd = ["<|" in v or self.odd.search(v) is not None for v in values]
         ids, ends = self._plain([v for v, o in zip(values, odd, strict=True) if not o])
         ids, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quietlog.llm.bpe import BATCH_BYTES, Bpe, loaded
-from quietlog.llm.common import pieces, texts
+from quietlog.llm.common import give_back, pieces, texts
 
 WIDTH = 4096
 END = 2
@@ -150,5 +150,6 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
                 yield rows(found)
         if found := list(stream.packed(True)):
             yield rows(found)
+        give_back()
 
     return texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, PIECES)
