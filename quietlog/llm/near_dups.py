@@ -40,6 +40,8 @@ SIMILAR = 0.8
 ROWS, BANDS = 4, 24
 #: members of a tile when a bucket is compared as a whole
 TILE = 1024
+#: bytes of text that are sketched at a time
+SKETCHED = 1 << 20
 #: agreeing share of a signature below which a pair can't be similar (five standard deviations at 0.8)
 LEAST_AGREEMENT = 0.6
 
@@ -128,7 +130,7 @@ def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
     k = ROWS * BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SKETCHED):
             values, n = batch.column("text").to_pylist(), batch.num_rows
             owner, element, count = shingles(values)
             weight = count if weighted else np.ones(len(count))

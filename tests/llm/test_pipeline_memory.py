@@ -2,11 +2,12 @@
 
 import random
 from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
 
-from quietlog.llm import bpe, language, packing
+from quietlog.llm import bpe, language, near_dups, packing
 from quietlog.llm.queries import TOKENIZER
 
 
@@ -66,3 +67,17 @@ def test_languages_are_weighed_in_small_steps(monkeypatch):
     batch = pa.record_batch({"doc_id": list(range(12)), "text": ["some words " * 9_000] * 11 + ["12"]})
     assert [r["doc_id"] for b in run(iter([batch])) for r in b.to_pylist()] == list(range(11))
     assert sum(sizes) == 11 * 99_000 + 2 and max(sizes) <= 1 << 19
+
+
+def test_near_duplicates_are_sketched_in_small_steps(monkeypatch):
+    sizes, shingles = [], near_dups.shingles
+    monkeypatch.setattr(near_dups, "shingles", lambda values: sizes.append(sum(map(len, values))) or shingles(values))
+    monkeypatch.setattr(near_dups, "F", MagicMock())
+    docs = SimpleNamespace(mapInArrow=lambda run, schema: run)
+    docs.select = lambda *columns: docs
+    text = "one two three four five six " * 7_000
+    batch = pa.record_batch({"doc_id": pa.array(range(9), pa.int64()), "text": [text] * 8 + [""]})
+    rows = [r for b in near_dups.sketches(docs)(iter([batch])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(9)) and rows[-1]["node"] is None
+    assert all({**r, "doc_id": 0} == rows[0] for r in rows[:-1])
+    assert sum(sizes) == 8 * len(text) and max(sizes) <= 1 << 20
